@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from windrow.functions.ranges import explode_range
 from windrow.functions.ratios import fbeta, nan, ratio_or_nan
-from windrow.operators.overlap import overlap_pairs
+from windrow.operators.overlap import binned_sides
 from windrow.operators.quality import require_single_source, single_source_columns
-from windrow.operators.runs import positive_runs
+from windrow.operators.runs import clock, positive_runs
 
 BIN_SEC = 3600.0
 
@@ -49,22 +50,65 @@ def record_spans(
 
 def match_events(
     runs: DataFrame, truth: DataFrame, keys: list[str], bin_sec: float = BIN_SEC
-) -> tuple[DataFrame, DataFrame]:
-    """Detected truth intervals with their first run start; runs with a matched flag.
+) -> DataFrame:
+    """One row per run (``is_run``, ``matched``) and per truth interval (``run_start``).
 
     ``truth`` carries the keys already: a run counts against the intervals of its own key.
+    Both sides come out of one grouping of the binned join, so runs are computed once.
+    ``run_start`` is the start of the first run that overlaps the interval, null without one.
     """
     on = keys + ["record_id"]
-    sides = runs.select(*on, "first_idx", "start_sec", "end_sec")
-    marks = truth.select(*on, "seizure_idx", "start_sec", "end_sec")
-    pairs = overlap_pairs(sides, marks, on, bin_sec)
-    first = pairs.groupBy(*on, "seizure_idx").agg(F.min("start_sec").alias("run_start"))
-    detected = truth.join(first, on + ["seizure_idx"], "left")
-    hit = pairs.groupBy(*on, "first_idx").agg(F.lit(True).alias("matched"))
-    flagged = runs.join(hit, on + ["first_idx"], "left").withColumn(
-        "matched", F.coalesce("matched", F.lit(False))
+    sides = binned_sides(
+        runs.select(*on, "first_idx", "start_sec", "end_sec", "n_windows"),
+        truth.select(*on, "seizure_idx", "start_sec", "end_sec"),
+        on,
+        bin_sec,
+    )
+    by_run, by_truth = on + ["first_idx"], on + ["seizure_idx"]
+    is_run = F.col("is_run")
+    return (
+        sides.groupingSets([by_run, by_truth], *on, "first_idx", "seizure_idx")
+        .agg(
+            (F.grouping("first_idx") == 0).alias("is_run"),
+            F.max("overlaps").alias("matched"),
+            F.min(F.when(F.col("overlaps"), F.col("start_sec"))).alias("run_start"),
+            F.max("start_sec").alias("__run_start"),
+            F.max("end_sec").alias("__run_end"),
+            F.max("n_windows").alias("n_windows"),
+            F.max("truth_start").alias("__truth_start"),
+            F.max("truth_end").alias("__truth_end"),
+        )
+        .where(F.when(is_run, F.col("first_idx")).otherwise(F.col("seizure_idx")).isNotNull())
+        .select(
+            *on,
+            "is_run",
+            "first_idx",
+            "seizure_idx",
+            F.when(is_run, F.col("__run_start")).otherwise(F.col("__truth_start")).alias("start_sec"),
+            F.when(is_run, F.col("__run_end")).otherwise(F.col("__truth_end")).alias("end_sec"),
+            "n_windows",
+            "matched",
+            "run_start",
+        )
+    )
+
+
+def match_counts(matches: DataFrame, by: list[str]) -> DataFrame:
+    """Counters, seconds and latency quartiles per group of matched runs and intervals."""
+    run, truth = F.col("is_run"), ~F.col("is_run")
+    missed = run & ~F.col("matched")
+    length = F.col("end_sec") - F.col("start_sec")
+    latency = F.when(truth, F.col("run_start") - F.col("start_sec"))
+    return matches.groupBy(*by).agg(
+        F.count_if(truth).alias("n_true_events"),
+        F.count_if(truth & F.col("matched")).alias("n_detected"),
+        F.sum(F.when(truth, length).otherwise(0.0)).alias("ictal_sec"),
+        F.percentile(latency, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("latencies"),
+        F.count_if(run).alias("n_runs"),
+        F.count_if(missed).alias("false_alarms"),
+        F.sum(F.when(run, length).otherwise(0.0)).alias("alarm_sec"),
+        F.sum(F.when(missed, length).otherwise(0.0)).alias("false_alarm_sec"),
     )
-    return detected, flagged
 
 
 def event_metrics(
@@ -104,8 +148,6 @@ def event_metrics_of_runs(
     truth_in = truth.select("record_id", "seizure_idx", "start_sec", "end_sec").join(
         spans.select(*keys, "record_id"), "record_id"
     )
-    detected, flagged = match_events(runs, truth_in, keys, bin_sec)
-
     totals = require_single_source(
         spans.groupBy(*keys).agg(
             F.sum("total_sec").alias("total_sec"),
@@ -115,26 +157,13 @@ def event_metrics_of_runs(
             F.max("__source_max").alias("__source_max"),
         )
     )
-    latency = F.col("run_start") - F.col("start_sec")
-    events = detected.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_true_events"),
-        F.count("run_start").alias("n_detected"),
-        F.sum(F.col("end_sec") - F.col("start_sec")).cast("double").alias("ictal_sec"),
-        F.percentile(latency, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__lat"),
-    )
-    length = F.col("end_sec") - F.col("start_sec")
-    alarms = flagged.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_runs"),
-        F.count_if(~F.col("matched")).alias("false_alarms"),
-        F.sum(length).alias("alarm_sec"),
-        F.sum(F.when(~F.col("matched"), length).otherwise(0.0)).alias("false_alarm_sec"),
-    )
-    joined = totals.join(events, keys, "left").join(alarms, keys, "left")
+    matches = match_events(runs, truth_in, keys, bin_sec)
+    joined = totals.join(match_counts(matches, keys), keys, "left")
     counts = ["n_true_events", "n_detected", "n_runs", "false_alarms"]
     seconds = ["ictal_sec", "alarm_sec", "false_alarm_sec"]
     joined = joined.fillna(0, counts).fillna(0.0, seconds)
     quiet = F.col("total_sec") - F.col("ictal_sec") - F.col("excluded_sec")
-    at = lambda i: F.coalesce(F.col("__lat")[i], nan())
+    at = lambda i: F.coalesce(F.col("latencies")[i], nan())
     out = joined.withColumns(
         {
             "interictal_hours": F.greatest(F.lit(0.0), quiet) / 3600.0,
@@ -156,7 +185,7 @@ def event_metrics_of_runs(
             "fa_per_hour": ratio_or_nan(F.col("false_alarms"), F.col("interictal_hours")),
             "time_in_alarm_frac": ratio_or_nan(F.col("alarm_hours"), F.col("evaluated_hours")),
         }
-    ).drop("__lat", "total_sec", "excluded_sec", "ictal_sec", "alarm_sec", "false_alarm_sec")
+    ).drop("latencies", "total_sec", "excluded_sec", "ictal_sec", "alarm_sec", "false_alarm_sec")
     return out.drop("__all") if everything else out
 
 
@@ -172,17 +201,14 @@ def validation_event_score(events: DataFrame) -> DataFrame:
     return events.withColumn("event_f2", F.when(n_true == 0, nan()).otherwise(scaled))
 
 
-def false_and_true_alarms(
+def flagged_segments(
     windows: DataFrame, runs: DataFrame, truth: DataFrame, bin_sec: float = BIN_SEC
 ) -> DataFrame:
     """Flagged segments of each record: times, windows, peak score, overlap with annotations.
 
-    The peak is over windows that lie wholly inside the run, found by window index.
+    The peak is over the windows inside the run, found by window index.
     """
-    from windrow.functions.ranges import explode_range
-    from windrow.operators.runs import clock
-
-    _, flagged = match_events(runs, truth, [], bin_sec)
+    segments = match_events(runs, truth, [], bin_sec).where("is_run")
     members = explode_range(
         runs.select("record_id", "first_idx", "last_idx"),
         F.col("first_idx"),
@@ -194,7 +220,7 @@ def false_and_true_alarms(
         .groupBy("record_id", "first_idx")
         .agg(F.max("score").alias("peak_score"))
     )
-    return flagged.join(peaks, ["record_id", "first_idx"], "left").select(
+    return segments.join(peaks, ["record_id", "first_idx"], "left").select(
         "record_id",
         "first_idx",
         clock(F.col("start_sec")).alias("start_clock"),

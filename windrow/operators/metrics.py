@@ -50,15 +50,21 @@ def ranking_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
 def window_metrics(rows: DataFrame, keys: list[str], threshold: Column | float) -> DataFrame:
     """All window metrics per key of ``label, score, source`` rows at ``score >= threshold``."""
     thr = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    if "source" not in rows.columns:
+        raise ValueError("frame has no 'source' column; every derived table carries one")
+    per_source = rows.groupBy(*keys, "source").agg(
+        F.max(thr).alias("threshold"), *confusion_columns(F.col("label"), F.col("score") >= thr)
+    )
     counts = require_single_source(
-        rows.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(F.col("label") == 1).alias("n_pos"),
-            F.max(thr).alias("threshold"),
-            *confusion_columns(F.col("label"), F.col("score") >= thr),
-            *single_source_columns(rows),
+        per_source.groupBy(*keys).agg(
+            F.max("threshold").alias("threshold"),
+            *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")],
+            *single_source_columns(per_source),
         )
-    ).withColumn("pos_rate", F.col("n_pos") / F.col("n"))
+    )
+    n_pos = F.col("tp") + F.col("fn")
+    n = n_pos + F.col("fp") + F.col("tn")
+    counts = counts.withColumns({"n": n, "n_pos": n_pos, "pos_rate": n_pos / n})
     return add_window_ratios(counts).join(ranking_metrics(rows, keys), keys)
 
 

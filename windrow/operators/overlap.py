@@ -8,32 +8,25 @@ from pyspark.sql import functions as F
 from windrow.functions.ranges import explode_range
 
 
-def overlap_pairs(
-    left: DataFrame,
-    right: DataFrame,
-    on: list[str],
-    bin_sec: float,
+def binned_sides(
+    runs: DataFrame, truth: DataFrame, on: list[str], bin_sec: float
 ) -> DataFrame:
-    """Pairs with ``left.end > right.start and left.start < right.end`` that share ``on``.
+    """Runs and truth intervals side by side per time bin (full outer), with ``overlaps``.
 
-    Both sides carry ``start_sec``/``end_sec``; the right ones come out as ``truth_start`` and
-    ``truth_end``. Each side is listed under the time bins it covers and joined by bin, which
-    spreads a long or busy record over many keys; a pair is kept in its first common bin only,
-    so every pair comes out once for any ``bin_sec``.
+    Each side is listed under the time bins it covers and joined by bin, which spreads a long
+    or busy record over many keys. A side without partner in a bin stays, with nulls for the
+    other. Any ``bin_sec`` is right; it sets only how fine the work is cut.
     """
+
     def bins(df, start, end):
         return explode_range(df, F.floor(start / bin_sec), F.floor(end / bin_sec), "__bin")
 
-    a = bins(left, F.col("start_sec"), F.col("end_sec"))
-    b = right.withColumnsRenamed({"start_sec": "truth_start", "end_sec": "truth_end"})
+    a = bins(runs, F.col("start_sec"), F.col("end_sec"))
+    b = truth.withColumnsRenamed({"start_sec": "truth_start", "end_sec": "truth_end"})
     b = bins(b, F.col("truth_start"), F.col("truth_end"))
-    first_common = F.floor(F.greatest("start_sec", "truth_start") / bin_sec)
-    return (
-        a.join(b, on + ["__bin"])
-        .where(
-            (F.col("end_sec") > F.col("truth_start"))
-            & (F.col("start_sec") < F.col("truth_end"))
-            & (F.col("__bin") == first_common)
-        )
-        .drop("__bin")
+    overlaps = (F.col("end_sec") > F.col("truth_start")) & (
+        F.col("start_sec") < F.col("truth_end")
+    )
+    return a.join(b, on + ["__bin"], "full").withColumn(
+        "overlaps", F.coalesce(overlaps, F.lit(False))
     )

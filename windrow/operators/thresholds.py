@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windrow.functions.ratios import fbeta, nan
+from windrow.operators.events import match_counts, match_events
 from windrow.operators.ranking import linspace, quantiles, ranked_blocks
 from windrow.operators.runs import longest_run, positive_runs
 
@@ -176,8 +177,6 @@ def threshold_sweep(
     lo: float = 0.50, hi: float = 0.9995, bin_sec: float = 3600.0,
 ) -> DataFrame:
     """Per record and candidate threshold: segments, time in alarm, detections, false alarms."""
-    from windrow.operators.events import event_metrics_of_runs
-
     cands = threshold_candidates(windows, ["record_id"], linspace(lo, hi, n_grid), drop_top=False)
     runs = positive_runs(at_each_threshold(windows, cands, ["record_id"]), k, ["threshold"])
     listed = cands.select("record_id", F.explode("candidates").alias("threshold"))
@@ -201,28 +200,20 @@ def k_sweep(
 
 
 def _sweep_rows(windows, listed, runs, truth, by, bin_sec):
-    from windrow.operators.events import match_events
-
     on = ["record_id"] + by
     truth_in = truth.select("record_id", "seizure_idx", "start_sec", "end_sec").join(
         listed, "record_id"
     )
-    detected, flagged = match_events(runs, truth_in, by, bin_sec)
-    alarms = flagged.groupBy(*on).agg(
-        F.count(F.lit(1)).alias("segments"),
-        F.sum(F.col("end_sec") - F.col("start_sec")).alias("alarm_sec"),
-        F.count_if(~F.col("matched")).alias("false_alarms"),
-    )
-    hits = detected.groupBy(*on).agg(
-        F.count("run_start").alias("detected"), F.count(F.lit(1)).alias("n_true_events")
-    )
+    counts = match_counts(match_events(runs, truth_in, by, bin_sec), on)
     lengths = windows.groupBy("record_id").agg(F.max("t_end_sec").alias("duration_sec"))
     return (
-        listed.join(alarms, on, "left")
-        .join(hits, on, "left")
+        listed.join(counts, on, "left")
         .join(lengths, "record_id")
-        .fillna(0, ["segments", "false_alarms", "detected", "n_true_events"])
-        .fillna(0.0, ["alarm_sec"])
-        .withColumn("time_in_alarm", F.col("alarm_sec") / F.col("duration_sec"))
-        .drop("alarm_sec", "duration_sec")
+        .select(
+            *on,
+            F.coalesce("n_runs", F.lit(0)).alias("segments"),
+            (F.coalesce("alarm_sec", F.lit(0.0)) / F.col("duration_sec")).alias("time_in_alarm"),
+            F.coalesce("n_detected", F.lit(0)).alias("detected"),
+            F.coalesce("false_alarms", F.lit(0)).alias("false_alarms"),
+        )
     )

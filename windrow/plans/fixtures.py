@@ -5,8 +5,6 @@ Every Spark view here has a twin in ``CTES``; the SQL checks are written over th
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,13 +18,29 @@ THRESHOLD = 0.25
 BIN = 86400.0
 
 
-@dataclass(frozen=True)
+SCHEMAS = {
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "labels": "doc_id long, quality int, toxic int",
+}
+
+
 class Tables:
-    spark: SparkSession
-    folder: str
+    """The given tables by name; schemas are declared, so opening one starts no job."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self._open = spark, folder, {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name.startswith("_"):
+            raise AttributeError(name)
+        if name not in self._open:
+            reader = self.spark.read
+            if name in SCHEMAS:
+                reader = reader.schema(SCHEMAS[name])
+            self._open[name] = reader.parquet(f"{self.folder}/{name}.parquet")
+        return self._open[name]
 
 
 def seconds(ts="ts"):
