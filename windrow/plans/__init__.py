@@ -3,4 +3,4 @@
 
 def register_all() -> None:
     """Import the modules that register queries."""
-    from windrow.plans import windows_events  # noqa: F401
+    from windrow.plans import operating_points, windows_events  # noqa: F401
