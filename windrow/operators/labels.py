@@ -47,29 +47,33 @@ def with_demographics(registry: DataFrame, info: DataFrame) -> DataFrame:
     return registry.join(info.select("case_id", "gender", "age"), "case_id", "left")
 
 
-def require_registry(
-    registry: DataFrame,
-    n_cases: int = fv.N_CASES,
-    n_subjects: int = fv.N_SUBJECTS,
-    shared_cases: tuple[str, ...] = ("chb01", "chb21"),
-    shared_subject: str = "sub01",
-    unknown_case: str = fv.CASE_WITHOUT_DEMOGRAPHICS,
+def registry_facts(
+    registry: DataFrame, shared_cases: list[str], shared_subject: str, unknown_case: str
 ) -> DataFrame:
-    """One row of registry facts; fails when one of them is not as expected."""
-    in_shared = F.col("case_id").isin(*shared_cases)
-    facts = registry.agg(
+    """One row: cases, subjects, shared cases with another subject, unknown case with gender."""
+    in_shared = F.col("case_id").isin(shared_cases)
+    return registry.agg(
         F.count(F.lit(1)).alias("n_cases"),
         F.count_distinct("subject_id").alias("n_subjects"),
-        F.count_if(in_shared & (F.col("subject_id") != shared_subject)).alias("n_split_shared"),
         F.count_if(in_shared).alias("n_shared"),
+        F.count_if(in_shared & (F.col("subject_id") != shared_subject)).alias("n_split_shared"),
         F.count_if((F.col("case_id") == unknown_case) & F.col("gender").isNotNull()).alias(
             "n_unknown_with_gender"
         ),
     )
+
+
+def require_registry(
+    registry: DataFrame, n_cases: int = fv.N_CASES, n_subjects: int = fv.N_SUBJECTS
+) -> DataFrame:
+    """The facts of the numbered-case registry; fails when one is not as expected."""
+    shared = ["chb01", *fv.SHARED_SUBJECT_CASES]
+    facts = registry_facts(registry, shared, "sub01", fv.CASE_WITHOUT_DEMOGRAPHICS)
     facts = require(facts, F.col("n_cases") == n_cases, "unexpected number of cases")
     facts = require(facts, F.col("n_subjects") == n_subjects, "unexpected number of subjects")
     facts = require(
-        facts, (F.col("n_split_shared") == 0) & (F.col("n_shared") == len(shared_cases)),
+        facts,
+        (F.col("n_split_shared") == 0) & (F.col("n_shared") == len(shared)),
         "cases of one person must share the subject",
     )
     return require(facts, F.col("n_unknown_with_gender") == 0, "unknown demographics must stay null")

@@ -127,12 +127,18 @@ def linspace(lo: float, hi: float, n: int) -> list[float]:
 
 
 def hash_rank(
-    rows: DataFrame, keys: list[str], seed: int, uid: str, out: str = "rank"
+    rows: DataFrame,
+    keys: list[str],
+    seed: int,
+    uid: str,
+    out: str = "rank",
+    total: str | None = None,
 ) -> DataFrame:
     """A seeded pseudo-random rank 1..n per key, the same for any partitioning.
 
     Rows are ordered by md5(seed:uid). The first three hex digits are 4096 even cells; cell
-    counts give offsets, so no single task ranks a whole key. ``uid`` is unique per key.
+    counts give offsets, so no single task ranks a whole key. ``uid`` is unique per key;
+    ``total`` names a column for the rows per key.
     """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(uid).cast("string")))
     marked = rows.withColumn("__md5", digest).withColumn("__cell", F.substring("__md5", 1, 3))
@@ -143,12 +149,16 @@ def hash_rank(
         marked.groupBy(*keys, "__cell")
         .agg(F.count(F.lit(1)).alias("__n"))
         .select(
-            *keys, "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")
+            *keys,
+            "__cell",
+            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
+            F.sum("__n").over(Window.partitionBy(*keys)).alias("__total"),
         )
     )
     inside = Window.partitionBy(*keys, "__cell").orderBy("__md5", uid)
     return (
         marked.join(cells, keys + ["__cell"])
         .withColumn(out, F.col("__before") + F.row_number().over(inside))
-        .drop("__md5", "__cell", "__before")
+        .withColumn(total or "__total", F.col("__total"))
+        .drop("__md5", "__cell", "__before", "__total")
     )

@@ -3,4 +3,9 @@
 
 def register_all() -> None:
     """Import the modules that register queries."""
-    from windrow.plans import operating_points, windows_events  # noqa: F401
+    from windrow.plans import (  # noqa: F401
+        operating_points,
+        sources_labels,
+        splits_ledger,
+        windows_events,
+    )
