@@ -218,3 +218,41 @@ def ledger(t: Tables) -> DataFrame:
     )
     old = current.withColumns({"state": F.lit("pending"), "updated": F.lit(0)})
     return old.unionByName(current)
+
+
+RECORDING_RATE = 64
+
+
+def recording_contents(t: Tables) -> DataFrame:
+    """Whole recordings: one second of four channels per file, 16-bit, 0.1 µV per step."""
+    digital = F.transform("embedding", lambda x: F.round(x.cast("double") * 10000).cast("long"))
+    body = F.array_join(
+        F.transform(digital, lambda v: _little_endian(v.bitwiseAND(F.lit(65535)))), ""
+    )
+    names = F.array(*[F.lit(c) for c in fx.SIGNAL_CHANNELS])
+    place = (F.col("vec_id") % 4 + 1).cast("int")
+    per_file = (
+        t.embeddings.select(
+            F.floor(F.col("vec_id") / 4).alias("n"),
+            F.struct("vec_id", F.element_at(names, place).alias("label"), body.alias("body")).alias("s"),
+        )
+        .groupBy("n")
+        .agg(F.array_sort(F.collect_list("s")).alias("s"))
+    )
+    ns = F.size("s")
+    pad = lambda c, n: F.rpad(c.cast("string"), n, " ")
+    each = lambda text, n: F.repeat(F.rpad(F.lit(text), n, " "), ns)
+    header = F.concat(
+        pad(F.lit("0"), 8), pad(F.lit("X"), 80), pad(F.lit("Startdate X"), 80), F.lit("01.01.24"),
+        F.lit("10.00.00"), pad(ns * 256 + 256, 8), pad(F.lit(""), 44), pad(F.lit(1), 8),
+        pad(F.lit(1), 8), pad(ns, 4),
+        F.array_join(F.transform("s", lambda x: F.rpad(x["label"], 16, " ")), ""),
+        each("AgCl", 80), each("uV", 8), each("-3276.8", 8), each("3276.7", 8), each("-32768", 8),
+        each("32767", 8), each("", 80), each(str(RECORDING_RATE), 8), each("", 32),
+    )
+    content = F.unhex(
+        F.concat(F.hex(header), F.array_join(F.transform("s", lambda x: x["body"]), ""))
+    )
+    return per_file.select(
+        F.format_string("root/c00/chb01_%05d.edf", "n").alias("path"), content.alias("content")
+    )
