@@ -5,6 +5,7 @@ def register_all() -> None:
     """Import the modules that register queries."""
     from windrow.plans import (  # noqa: F401
         operating_points,
+        reports,
         signal_features,
         sources_labels,
         splits_ledger,

@@ -20,16 +20,16 @@ EVENT_SQL = {
           (coalesce(any_value(d.duration_sec), 0) = 0)::INTEGER AS fb,
           greatest(0, max(window_idx) + 1 - count(*)) * quantile_cont(t_end_sec - t_start_sec, 0.5) AS excl
         FROM {frame} w LEFT JOIN fx_duration d ON d.record_id = w.record_id GROUP BY 1, 2""",
-    "ex_run": "SELECT * FROM {runs} WHERE n_windows >= {k}",
+    "ex_run": "SELECT {key} AS key_id, w.* FROM {runs} w WHERE n_windows >= {k}",
     "ex_truth": """
         SELECT s.key_id, i.record_id, i.seizure_idx, i.start_sec, i.end_sec, min(r.start_sec) AS run_start
         FROM fx_interval i JOIN ex_span s ON s.record_id = i.record_id
-        LEFT JOIN ex_run r ON r.record_id = i.record_id AND r.end_sec > i.start_sec AND r.start_sec < i.end_sec
+        LEFT JOIN ex_run r ON r.record_id = i.record_id AND r.key_id = s.key_id AND r.end_sec > i.start_sec AND r.start_sec < i.end_sec
         GROUP BY ALL""",
     "ex_alarm": """
-        SELECT s.key_id, r.*, EXISTS (SELECT 1 FROM fx_interval i WHERE i.record_id = r.record_id
+        SELECT r.*, EXISTS (SELECT 1 FROM fx_interval i WHERE i.record_id = r.record_id
             AND r.end_sec > i.start_sec AND r.start_sec < i.end_sec) AS matched
-        FROM ex_run r JOIN ex_span s ON s.record_id = r.record_id""",
+        FROM ex_run r""",
     "ex_raw": """
         SELECT a.*, coalesce(n_true_events, 0) AS n_true_events, coalesce(n_detected, 0) AS n_detected,
           coalesce(ictal, 0) AS ictal, p25, p50, p75, coalesce(n_runs, 0) AS n_runs,
