@@ -38,9 +38,10 @@ def ranking_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Average precision and ROC area (ties count half) per key; NaN with one class."""
     b = ranked_blocks(rows, keys)
     both = (F.max("total_pos") > 0) & (F.max("total_neg") > 0)
-    gain = F.col("pos") / F.col("total_pos") * (F.col("tp") / (F.col("tp") + F.col("fp")))
+    share = F.col("pos") / F.greatest(F.col("total_pos"), F.lit(1))
+    gain = share * (F.col("tp") / (F.col("tp") + F.col("fp")))
     wins = F.col("neg") * (F.col("tp") - F.col("pos") / 2)
-    pairs = F.max("total_pos") * F.max("total_neg")
+    pairs = F.greatest(F.max("total_pos") * F.max("total_neg"), F.lit(1))
     return b.groupBy(*keys).agg(
         F.when(both, F.sum(gain)).otherwise(nan()).alias("pr_auc"),
         F.when(both, F.sum(wins) / pairs).otherwise(nan()).alias("roc_auc"),
