@@ -31,12 +31,13 @@ from windrow.operators.metrics import ranking_metrics, window_metrics
 from windrow.operators.ranking import hash_rank
 from windrow.operators.runs import positive_runs
 from windrow.operators.thresholds import pick_k, pick_threshold, pick_threshold_and_k
-from windrow.session import shared_folder
+from windrow.session import pinned, shared_folder
 
 PARALLEL_FITS = 4
 
 
 def class_sizes(train: DataFrame) -> tuple[int, int]:
+    """Rows and positives, two numbers."""
     row = train.agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("p")
     ).head()
@@ -181,9 +182,12 @@ def search(
     return points[best], means[best]
 
 
-def fold_list(folds: DataFrame) -> list[int]:
-    """Fold numbers; each is a model fit, so the list is short."""
-    return [r[0] for r in folds.select("fold_idx").distinct().orderBy("fold_idx").collect()]
+def held_out_groups(folds: DataFrame, group: str = "subject_id") -> dict[int, dict[str, list[str]]]:
+    """Fold -> role -> groups. A fold is a model fit and holds out a few groups, so this is short."""
+    out: dict[int, dict[str, list[str]]] = {}
+    for r in folds.orderBy("fold_idx", group).collect():
+        out.setdefault(r["fold_idx"], {"test": [], "val": []})[r["role"]].append(r[group])
+    return out
 
 
 def score_folds(
@@ -192,26 +196,37 @@ def score_folds(
     """Held-out scores of every fold and model as one stored table.
 
     Columns of ``rows`` without the features, plus ``fold_idx, role, model, score``. Negatives
-    are thinned in training rows only.
+    are thinned in training rows only. Folds select rows by plain group filters, which reach the
+    scan; a fold's training rows are kept for all its models.
     """
     tr, seed = settings.training, settings.splits.seed
     keys = [c for c in rows.columns if c not in columns]
+    spark = rows.sparkSession
+    target = f"{shared_folder(spark)}/windrow-scores-{uuid.uuid4().hex}"
+    groups = held_out_groups(folds)
     rows = rows.persist()
+    subject = F.col("subject_id")
+
+    def run(fold: int) -> None:
+        test, val = groups[fold]["test"], groups[fold]["val"]
+        train = rows.where(~subject.isin(test + val))
+        thin = sp.downsample_negatives(train, tr.negative_downsample_ratio, seed, "window_uid").persist()
+        held = rows.where(subject.isin(test + val)).withColumn(
+            "role", F.when(subject.isin(test), "test").otherwise("val")
+        )
+        for name in tr.models:
+            params = {}
+            if tr.search:
+                params, _ = search(name, thin, columns, "subject_id", tr.inner_splits, seed)
+            out = fit_and_score(name, thin, held, columns, seed, params).select(*keys, "role", "score")
+            out.write.mode("overwrite").parquet(f"{target}/fold_idx={fold}/model={name}")
+        thin.unpersist()
 
-    def scores(fold: int, name: str) -> DataFrame:
-        train = sp.training_rows(rows, folds, "subject_id", fold)
-        thin = sp.downsample_negatives(train, tr.negative_downsample_ratio, seed, "window_uid")
-        held = rows.join(folds.where(F.col("fold_idx") == fold), "subject_id")
-        params = {}
-        if tr.search:
-            params, _ = search(name, thin, columns, "subject_id", tr.inner_splits, seed)
-        return fit_and_score(name, thin, held, columns, seed, params).select(*keys, "role", "score")
-
-    jobs = [(f, m) for f in (only if only is not None else fold_list(folds)) for m in tr.models]
     try:
-        return stored_scores(rows.sparkSession, ["fold_idx", "model"], jobs, scores)
+        in_parallel(spark, run, only if only is not None else list(groups))
     finally:
         rows.unpersist()
+    return spark.read.option("basePath", target).parquet(target)
 
 
 FOLD = ["fold_idx", "model"]
@@ -257,7 +272,7 @@ def evaluate_folds(
     bin_sec: float = 3600.0,
 ) -> DataFrame:
     """Fold detail: operating point from validation rows, metrics of the test rows at it."""
-    points = operating_points(scored, settings).persist()
+    points = pinned(operating_points(scored, settings))
     test, val = scored.where("role = 'test'"), scored.where("role = 'val'")
     val_events = validation_event_score(events_at(val, points, truth, durations, bin_sec))
     at = test.join(points.select(*FOLD, F.col("threshold").alias("__t")), FOLD)
@@ -321,8 +336,8 @@ def export_scores(
 
     one = replace(settings, training=replace(settings.training, models=(model,)))
     folds = sp.held_out(rows, "subject_id", settings.splits.n_val_subjects, settings.splits.seed)
-    wanted = folds.where((F.col("role") == "test") & F.col("subject_id").isin(subjects))
-    scored = score_folds(rows, columns, one, folds, fold_list(wanted))
+    wanted = [f for f, g in held_out_groups(folds).items() if set(g["test"]) & set(subjects)]
+    scored = score_folds(rows, columns, one, folds, wanted)
     points = operating_points(scored, one).select(
         *FOLD, F.col("threshold").alias("chosen_threshold"), F.col("k").alias("chosen_k")
     )

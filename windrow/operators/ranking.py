@@ -79,42 +79,41 @@ def ranked_blocks(
 
 
 def quantiles(
-    rows: DataFrame, keys: list[str], probs: list[float], value: str = "score"
+    rows: DataFrame, keys: list[str], lo: float, hi: float, n_grid: int, value: str = "score"
 ) -> DataFrame:
-    """Linear-interpolated quantiles per key as an array ``q``, plus ``n`` and ``top``.
+    """``n_grid`` evenly spaced quantiles per key as an array ``q`` (linear interpolation), and ``n``.
 
-    Ranks come from the cumulative counts of the tie blocks, so only the few blocks that hold
-    a wanted rank are gathered per key.
+    Ranks come from the cumulative counts of the tie blocks: each block works out which grid
+    points fall on ranks it holds, so only a few rows per key are gathered.
     """
+    step = (hi - lo) / max(1, n_grid - 1)
     blocks = ranked_blocks(rows.withColumn("__one", F.lit(1)), keys, value, "__one")
-    n = F.col("total_pos")
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    position = lambda p: p * (n - 1)
-    low, high = n - F.col("tp"), n - F.col("tp") + F.col("pos") - 1  # ascending ranks held
-    holds = lambda r: (r >= low) & (r <= high)
-    hits = F.filter(
-        F.transform(wanted, lambda p, i: F.struct(i.alias("i"), position(p).alias("at"))),
-        lambda s: holds(F.floor(s["at"])) | holds(F.ceil(s["at"])),
+    blocks = blocks.select(
+        *keys,
+        "score",
+        F.col("total_pos").alias("n"),
+        (F.col("total_pos") - F.col("tp")).alias("low"),
+        (F.col("total_pos") - F.col("tp") + F.col("pos") - 1).alias("high"),
     )
-    picked = blocks.select(
-        *keys, "score", n.alias("n"), low.alias("low"), high.alias("high"), F.explode(hits).alias("hit")
-    ).select(*keys, "n", "score", "low", "high", "hit.i", "hit.at")
-    floor, ceil = F.floor("at"), F.ceil("at")
-    per_prob = (
-        picked.groupBy(*keys, "i")
-        .agg(
-            F.max("n").alias("n"),
-            F.max("at").alias("at"),
-            F.max(F.when((floor >= F.col("low")) & (floor <= F.col("high")), F.col("score"))).alias("a"),
-            F.max(F.when((ceil >= F.col("low")) & (ceil <= F.col("high")), F.col("score"))).alias("b"),
-        )
-        .withColumn("v", F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at")))
+    last = F.col("n") - 1
+    near = lambda rank: (rank / F.greatest(last, F.lit(1)) - lo) / step
+    first_i = F.greatest(F.floor(near(F.col("low") - 1)).cast("int"), F.lit(0))
+    last_i = F.least(F.ceil(near(F.col("high") + 1)).cast("int"), F.lit(n_grid - 1))
+    prob = F.when(F.col("i") == n_grid - 1, F.lit(float(hi))).otherwise(lo + F.col("i") * step)
+    held = lambda rank: (rank >= F.col("low")) & (rank <= F.col("high"))
+    picked = (
+        blocks.where(first_i <= last_i)
+        .withColumn("i", F.explode(F.sequence(first_i, last_i)))
+        .withColumn("pt", prob * last)
+        .withColumn("a", F.when(held(F.floor("pt")), F.col("score")))
+        .withColumn("b", F.when(held(F.ceil("pt")), F.col("score")))
+        .where("a IS NOT NULL OR b IS NOT NULL")
     )
-    return per_prob.groupBy(*keys).agg(
+    value_at = F.max("a") + (F.max("b") - F.max("a")) * (F.max("pt") - F.floor(F.max("pt")))
+    per_point = picked.groupBy(*keys, "i").agg(F.max("n").alias("n"), value_at.alias("v"))
+    return per_point.groupBy(*keys).agg(
         F.max("n").alias("n"),
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]
-        ).alias("q"),
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("q"),
     )
 
 

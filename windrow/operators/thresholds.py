@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from windrow.functions.ratios import fbeta, nan
 from windrow.operators.events import match_counts, match_events
-from windrow.operators.ranking import linspace, quantiles, ranked_blocks
+from windrow.operators.ranking import quantiles, ranked_blocks
 from windrow.operators.runs import longest_run, positive_runs
 
 
@@ -109,13 +109,13 @@ def pick_k(
 
 
 def threshold_candidates(
-    windows: DataFrame, keys: list[str], probs: list[float], drop_top: bool
+    windows: DataFrame, keys: list[str], lo: float, hi: float, n_grid: int, drop_top: bool
 ) -> DataFrame:
     """Distinct score quantiles per key as the sorted array ``candidates``.
 
     With ``drop_top`` those at the highest score go, unless only one is left.
     """
-    q = quantiles(windows, keys, probs)
+    q = quantiles(windows, keys, lo, hi, n_grid)
     c = F.array_distinct("q")
     if drop_top:
         # the last quantile asked for is 1.0, the highest score
@@ -143,7 +143,7 @@ def pick_threshold_and_k(
     Candidates are score quantiles. Ties go to the smaller k in list order, then the lower
     threshold. With one class only: 0.5, the first k, NaN.
     """
-    cands = threshold_candidates(windows, keys, linspace(0.0, 1.0, n_grid), drop_top=True)
+    cands = threshold_candidates(windows, keys, 0.0, 1.0, n_grid, drop_top=True)
     if reach == 0:
         counts = mask_counts(at_each_threshold(windows, cands, keys), keys + ["threshold"], ks)
     else:
@@ -177,7 +177,7 @@ def threshold_sweep(
     lo: float = 0.50, hi: float = 0.9995, bin_sec: float = 3600.0,
 ) -> DataFrame:
     """Per record and candidate threshold: segments, time in alarm, detections, false alarms."""
-    cands = threshold_candidates(windows, ["record_id"], linspace(lo, hi, n_grid), drop_top=False)
+    cands = threshold_candidates(windows, ["record_id"], lo, hi, n_grid, drop_top=False)
     runs = positive_runs(at_each_threshold(windows, cands, ["record_id"]), k, ["threshold"])
     listed = cands.select("record_id", F.explode("candidates").alias("threshold"))
     return _sweep_rows(windows, listed, runs, truth, ["threshold"], bin_sec)

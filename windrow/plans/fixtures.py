@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from windrow.config import Windowing
 from windrow.operators.windows import drop_guard, label_windows
+from windrow.session import pinned
 
 DAYS30 = 2592000.0
 SPEC = Windowing(21600.0, 21600.0, 0.5, 10800.0, sample_rate=1)
@@ -30,7 +31,13 @@ class Tables:
     """The given tables by name; schemas are declared, so opening one starts no job."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self._open = spark, folder, {}
+        self.spark, self.folder, self._open, self._kept = spark, folder, {}, {}
+
+    def keep(self, name: str, make) -> DataFrame:
+        """A frame of this query written once to the shared folder."""
+        if name not in self._kept:
+            self._kept[name] = pinned(make())
+        return self._kept[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -134,6 +141,11 @@ def evaluated(t: Tables, spec: Windowing = SPEC) -> DataFrame:
     return drop_guard(scored(t, spec))
 
 
+def stored_evaluated(t: Tables, spec: Windowing = SPEC) -> DataFrame:
+    """The same rows written once, for queries that read them several times."""
+    return t.keep(f"evaluated-{spec.stride_sec}", lambda: evaluated(t, spec))
+
+
 def durations(t: Tables) -> DataFrame:
     """Known durations, for even users only."""
     return records(t).where("user_id % 2 = 0").select("record_id", "duration_sec")

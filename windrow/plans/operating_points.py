@@ -62,7 +62,7 @@ def window_metrics_sql(frame: str, key: str, source: str, thr: float) -> str:
 @query(window_metrics_sql("fx_eval", "subject_id", "events", 0.25))
 def window_metrics_by_subject(t: Tables):
     """Confusion counts, ratios, average precision and ROC area."""
-    return mt.window_metrics(fx.evaluated(t), ["subject_id"], fx.THRESHOLD)
+    return mt.window_metrics(fx.stored_evaluated(t), ["subject_id"], fx.THRESHOLD)
 
 
 @query(window_metrics_sql("fx_scored_doc", "group_id", "documents", 0.1))
@@ -133,7 +133,7 @@ def pick_k_sql(frame: str, runs: str) -> str:
 @query(pick_k_sql("fx_eval", "fx_run1"))
 def best_k(t: Tables):
     """K with the best F2 of the run mask at a fixed threshold."""
-    return th.pick_k(fx.evaluated(t), ["subject_id"], fx.THRESHOLD, [1, 2, 3])
+    return th.pick_k(fx.stored_evaluated(t), ["subject_id"], fx.THRESHOLD, [1, 2, 3])
 
 
 @query(pick_k_sql("fx_eval_overlap", "fx_run_overlap1"))
@@ -141,7 +141,7 @@ def best_k_sliding(t: Tables):
     """E9 where windows overlap."""
     spec = fx.OVERLAPPING_SPEC
     return th.pick_k(
-        fx.evaluated(t, spec), ["subject_id"], fx.THRESHOLD, [1, 2, 3], spec.reach
+        fx.stored_evaluated(t, spec), ["subject_id"], fx.THRESHOLD, [1, 2, 3], spec.reach
     )
 
 
@@ -170,7 +170,7 @@ GRID60 = rk.linspace(0.50, 0.9995, 60)
            **quantile_views("fx_eval", "subject_id", GRID24)))
 def score_quantiles(t: Tables):
     """The quantile grid of the scores."""
-    q = rk.quantiles(fx.evaluated(t), ["subject_id"], GRID24)
+    q = rk.quantiles(fx.evaluated(t), ["subject_id"], 0.0, 1.0, 24)
     return q.select("subject_id", F.posexplode("q").alias("i", "v"))
 
 
@@ -206,7 +206,7 @@ JOINT_VIEWS = {
     WHERE rn = 1""", **JOINT_VIEWS))
 def joint_threshold_and_k(t: Tables):
     """Threshold and k chosen together on the run mask."""
-    return th.pick_threshold_and_k(fx.evaluated(t), ["subject_id"], [1, 2, 3])
+    return th.pick_threshold_and_k(fx.stored_evaluated(t), ["subject_id"], [1, 2, 3])
 
 
 @query(event_sql("subject_id", "subject_id", 2, tail="""
@@ -216,7 +216,7 @@ def joint_threshold_and_k(t: Tables):
 def validation_event_scores(t: Tables):
     """Event F2 scaled by the time not in alarm."""
     metrics = ev.event_metrics(
-        fx.evaluated(t), fx.intervals(t), 2, ["subject_id"], fx.durations(t), bin_sec=fx.BIN
+        fx.stored_evaluated(t), fx.intervals(t), 2, ["subject_id"], fx.durations(t), bin_sec=fx.BIN
     )
     return ev.validation_event_score(metrics)
 
@@ -247,7 +247,7 @@ SWEEP_VIEWS = {
       ON h.record_id = c.record_id AND h.thr = c.thr""", **SWEEP_VIEWS))
 def threshold_sweep(t: Tables):
     """Segments, time in alarm, detections and false alarms along the score quantiles."""
-    return th.threshold_sweep(fx.evaluated(t), fx.intervals(t), 2, bin_sec=fx.BIN)
+    return th.threshold_sweep(fx.stored_evaluated(t), fx.intervals(t), 2, bin_sec=fx.BIN)
 
 
 @query(sql("""
@@ -265,7 +265,7 @@ def threshold_sweep(t: Tables):
       (VALUES (1), (2), (3), (4), (5)) v(k)"""))
 def k_sweep(t: Tables):
     """The same figures for k = 1..5 at the fixed threshold."""
-    return th.k_sweep(fx.evaluated(t), fx.intervals(t), fx.THRESHOLD, bin_sec=fx.BIN)
+    return th.k_sweep(fx.stored_evaluated(t), fx.intervals(t), fx.THRESHOLD, bin_sec=fx.BIN)
 
 
 @query(sql("""
@@ -280,5 +280,5 @@ def k_sweep(t: Tables):
     FROM fx_run1 r WHERE r.n_windows >= 2"""))
 def flagged_segments(t: Tables):
     """F8: flagged segments with clock times, peak score and overlap with annotations."""
-    frame = fx.evaluated(t)
+    frame = fx.stored_evaluated(t)
     return ev.flagged_segments(frame, rn.positive_runs(frame, 2), fx.intervals(t), fx.BIN)

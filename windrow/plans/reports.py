@@ -50,7 +50,7 @@ KEYS = ["model", "subject_id"]
 
 def detail(t: Tables, spec=fx.SPEC):
     """Fold detail: a subject's windows under each rule are the test rows of its fold."""
-    frame = by_model(fx.evaluated(t, spec))
+    frame = by_model(fx.stored_evaluated(t, spec))
     windows = mt.window_metrics(frame, KEYS, fx.THRESHOLD)
     events = ev.event_metrics(frame, fx.intervals(t), 2, KEYS, fx.durations(t), bin_sec=fx.BIN)
     return rp.fold_detail(windows, events, KEYS).withColumn("test_subject", F.col("subject_id"))
@@ -110,7 +110,7 @@ def runs_by_model_and_subject(t: Tables):
     """Runs keyed by model and subject in one pass."""
     from windrow.operators.runs import positive_runs
 
-    frame = by_model(fx.evaluated(t))
+    frame = by_model(fx.stored_evaluated(t))
     runs = positive_runs(frame, 2, KEYS).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_runs"))
     return frame.groupBy(*KEYS).agg(F.sum("window_idx").alias("window_idx_sum")).join(runs, KEYS)
 
@@ -138,7 +138,7 @@ def subjects_worst_first(t: Tables):
     FROM dt WHERE model = 'peak' GROUP BY 1""", **DETAIL))
 def confusion_matrix(t: Tables):
     """Pooled confusion matrix of one model."""
-    frame = by_model(fx.evaluated(t))
+    frame = by_model(fx.stored_evaluated(t))
     counts = frame.groupBy(*KEYS).agg(*mt.confusion_columns(F.col("label"), F.col("pred")))
     return rp.confusion(counts, "peak")
 
@@ -146,14 +146,14 @@ def confusion_matrix(t: Tables):
 @query(sql("SELECT model, round(avg(accuracy), 6) AS accuracy FROM dt WHERE model = 'dummy' GROUP BY 1", **DETAIL))
 def majority_accuracy(t: Tables):
     """Accuracy of always predicting the majority class."""
-    frame = by_model(fx.evaluated(t)).where("model = 'dummy'")
+    frame = by_model(fx.stored_evaluated(t)).where("model = 'dummy'")
     counts = frame.groupBy(*KEYS).agg(*mt.confusion_columns(F.col("label"), F.col("pred")))
     return mt.add_window_ratios(counts).groupBy("model").agg(F.avg("accuracy").alias("accuracy"))
 
 
 def overall(t: Tables, spec=fx.SPEC):
     """The same rows as one set, as a split that ignores subjects sees them."""
-    return mt.window_metrics(by_model(fx.evaluated(t, spec)), ["model"], fx.THRESHOLD)
+    return mt.window_metrics(by_model(fx.stored_evaluated(t, spec)), ["model"], fx.THRESHOLD)
 
 
 def overall_views(frame: str, prefix: str) -> dict[str, str]:
@@ -263,7 +263,7 @@ OP_VIEWS = {
     **OP_VIEWS))
 def operating_point(t: Tables):
     """Median threshold and modal k over folds."""
-    frame = fx.evaluated(t)
+    frame = fx.stored_evaluated(t)
     picked = th.pick_threshold_and_k(frame, ["subject_id"], [1, 2, 3]).select(
         F.lit("peak").alias("model"), F.col("subject_id").alias("test_subject"), "threshold", F.col("best_k").alias("k"),
         F.lit(0.0).alias("pr_auc"), F.lit(0).alias("n_detected"), F.lit(0).alias("n_true_events"),

@@ -47,7 +47,7 @@ def fold_assignments(t: Tables):
     **ring_views("fx_eval", "subject_id", 4)))
 def fold_composition(t: Tables):
     """Who is held out in each fold, with row counts by role."""
-    frame = fx.evaluated(t)
+    frame = fx.stored_evaluated(t)
     folds = sp.held_out(frame, "subject_id", 4, SEED)
     counts = frame.groupBy("subject_id").agg(F.count(F.lit(1)).alias("w"))
     test, val = F.col("role") == "test", F.col("role") == "val"
@@ -66,7 +66,7 @@ def fold_composition(t: Tables):
     FROM fx_eval w JOIN held h ON h.g = w.subject_id GROUP BY 1, 2""", **ring_views("fx_eval", "subject_id", 4)))
 def evaluation_rows_by_fold(t: Tables):
     """Held-out rows under each fold by role."""
-    frame = fx.evaluated(t)
+    frame = fx.stored_evaluated(t)
     rows = sp.evaluation_rows(frame, sp.held_out(frame, "subject_id", 4, SEED), "subject_id")
     return rows.groupBy("fold_idx", "role").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("n_pos")
@@ -154,7 +154,7 @@ def duplicate_row_count(t: Tables):
     WHERE r <= 10 * greatest(1, n_pos)"""))
 def downsampled_negatives(t: Tables):
     """All positives and at most ten negatives per positive, seeded."""
-    rows = sp.downsample_negatives(fx.evaluated(t), 10, SEED, "window_uid", ["subject_id"])
+    rows = sp.downsample_negatives(fx.stored_evaluated(t), 10, SEED, "window_uid", ["subject_id"])
     return rows.select("subject_id", "window_uid", "label")
 
 

@@ -275,7 +275,7 @@ def run_mask_sliding(t: Tables):
 def event_metrics_by_subject(t: Tables):
     """Event metrics per subject at k = 2."""
     return ev.event_metrics(
-        fx.evaluated(t), fx.intervals(t), 2, ["subject_id"], fx.durations(t), bin_sec=fx.BIN
+        fx.stored_evaluated(t), fx.intervals(t), 2, ["subject_id"], fx.durations(t), bin_sec=fx.BIN
     )
 
 
@@ -283,7 +283,7 @@ def event_metrics_by_subject(t: Tables):
 def event_metrics_overall(t: Tables):
     """D12-D15 over all records at k = 1."""
     return ev.event_metrics(
-        fx.evaluated(t), fx.intervals(t), 1, None, fx.durations(t), bin_sec=fx.BIN
+        fx.stored_evaluated(t), fx.intervals(t), 1, None, fx.durations(t), bin_sec=fx.BIN
     )
 
 
@@ -291,7 +291,7 @@ def event_metrics_overall(t: Tables):
 def event_metrics_sliding(t: Tables):
     """D12-D15 on overlapping windows at k = 3."""
     return ev.event_metrics(
-        fx.evaluated(t, fx.OVERLAPPING_SPEC), fx.intervals(t), 3, ["subject_id"],
+        fx.stored_evaluated(t, fx.OVERLAPPING_SPEC), fx.intervals(t), 3, ["subject_id"],
         fx.durations(t), bin_sec=fx.BIN,
     )
 
@@ -299,6 +299,6 @@ def event_metrics_sliding(t: Tables):
 @query(event_sql("w.record_id", "record_id", 1))
 def recording_indicators(t: Tables):
     """The same figures for each single recording."""
-    frame = fx.evaluated(t).withColumn("recording", F.col("record_id"))
+    frame = fx.stored_evaluated(t).withColumn("recording", F.col("record_id"))
     out = ev.event_metrics(frame, fx.intervals(t), 1, ["recording"], fx.durations(t), bin_sec=fx.BIN)
     return out.withColumnRenamed("recording", "record_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,7 @@ def local_session(cores: int | str = "*", app: str = "windrow") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "16g")
+        .config("spark.sql.files.openCostInBytes", "131072")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -32,8 +34,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """Cut lineage: write the rows once to the shared checkpoint folder and read them back."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    """Cut lineage: write the rows once to a table in the shared folder and read it back.
+
+    What follows reads columns of that table instead of repeating the work before it, also
+    after executors are lost.
+    """
+    target = f"{shared_folder(df.sparkSession)}/windrow-{uuid.uuid4().hex}"
+    df.write.parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(target)
