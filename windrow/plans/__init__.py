@@ -4,6 +4,7 @@
 def register_all() -> None:
     """Import the modules that register queries."""
     from windrow.plans import (  # noqa: F401
+        ingest_queries,
         learning,
         operating_points,
         reports,
