@@ -297,3 +297,57 @@ def label_set_operations(t: Tables):
         .unionByName(tag(a.subtract(b), True, False))
         .unionByName(tag(b.subtract(a), False, True))
     )
+
+
+def _csv_lines(t: Tables):
+    """Wide rows as CSV text: four channels of sixteen samples and a target."""
+    text = F.concat_ws(",", F.transform("embedding", lambda x: x.cast("string")))
+    target = (F.col("label") == 5).cast("int").cast("string")
+    return t.embeddings.select(
+        F.col("vec_id").alias("row_index"), F.concat(text, F.lit(","), target).alias("value")
+    )
+
+
+@query(sql("""
+    SELECT vec_id AS row_index, (label = 5)::INTEGER AS label, c::INTEGER AS channel,
+      round(list_sum(list_slice(embedding::DOUBLE[], c * 16 + 1, c * 16 + 16)), 6) + 0.0 AS total
+    FROM embeddings, range(4) r(c)"""))
+def wide_csv_rows(t: Tables):
+    """Wide CSV rows reshaped to channels × samples."""
+    from windrow.sources.wide_csv import parse_rows
+
+    rows = parse_rows(_csv_lines(t), 4, 16)
+    total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double"))
+    return rows.select("row_index", "label", F.posexplode("samples").alias("channel", "x")).select(
+        "row_index", "label", "channel", total.alias("total")
+    )
+
+
+CSV = Settings(
+    signal=Signal(sample_rate=16, notch_hz=(4.0,), bandpass=(0.5, 7.0)),
+    features=Features(bands={"low": (0.5, 4.0), "high": (4.0, 8.0)}, welch_nperseg=16, welch_noverlap=8),
+)
+
+
+@query()
+def csv_feature_table(t: Tables):
+    """Features of wide rows with pseudo-records and repeat marks."""
+    from windrow.sources.wide_csv import csv_features, parse_rows
+
+    table = csv_features(parse_rows(_csv_lines(t), 4, 16), CSV, fs=16.0)
+    return table.drop("subject_id")
+
+
+@query()
+def scored_recordings(t: Tables):
+    """A fitted model over the feature table of new recordings."""
+    from windrow.operators import models as md
+    from windrow.operators.labels import case_registry
+
+    states, iv = _small_truth(t)
+    vectors = ex.features_of_contents(fl.recording_contents(t), PLAN, SMALL)
+    table = ex.labelled_features(states, vectors, SMALL, iv, case_registry(t.spark), "aggregated")
+    columns = ft.aggregated_names(SMALL.features.names)
+    table = t.keep("recordings", lambda: table)
+    model = md.fit("logreg", table, columns, 42)
+    return md.score_recordings(model, table, columns).select("record_id", "window_idx", "label", "score")

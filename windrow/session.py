@@ -24,13 +24,20 @@ def local_session(cores: int | str = "*", app: str = "windrow") -> SparkSession:
     )
 
 
+_own_folder: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only where none is set (local tests) a temporary one is made.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="windrow-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="windrow-"))
+    return _own_folder[0]
 
 
 def pinned(df: DataFrame) -> DataFrame:

@@ -24,13 +24,13 @@ def check_header(line: str, n_features: int) -> None:
         raise ValueError("no 'target' column found")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str, header: str) -> DataFrame:
     """``row_index, value`` of the data lines of a CSV file, numbered from 0 as written.
 
     Ids rise within a file split, so a split's first id and the lines in earlier splits give the
     number; only the list of splits is ordered, the wide lines are not shuffled.
     """
-    lines = spark.read.text(path).select(
+    lines = spark.read.text(path).where(F.col("value") != header).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("id"),
@@ -42,12 +42,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         .agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
         .select("file", "start", "first_id", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     )
-    number = F.col("before") + F.col("id") - F.col("first_id") - 1  # the header is line 0
-    return (
-        lines.join(splits, ["file", "start"])
-        .select(number.alias("row_index"), "value")
-        .where("row_index >= 0")
-    )
+    number = F.col("before") + F.col("id") - F.col("first_id")
+    return lines.join(splits, ["file", "start"]).select(number.alias("row_index"), "value")
 
 
 def parse_rows(lines: DataFrame, n_channels: int, n_samples: int) -> DataFrame:
@@ -77,8 +73,9 @@ def parse_rows(lines: DataFrame, n_channels: int, n_samples: int) -> DataFrame:
 def read_wide_csv(
     spark: SparkSession, path: str, n_channels: int = CSV_CHANNELS, n_samples: int = CSV_SAMPLES
 ) -> DataFrame:
-    check_header(spark.read.text(path).head()[0], n_channels * n_samples)
-    return parse_rows(numbered_lines(spark, path), n_channels, n_samples)
+    header = spark.read.text(path).head()[0]
+    check_header(header, n_channels * n_samples)
+    return parse_rows(numbered_lines(spark, path, header), n_channels, n_samples)
 
 
 def csv_features(
