@@ -14,6 +14,7 @@ from windrow.operators.features import aggregated_names, per_channel_names
 from windrow.operators.labels import case_of
 from windrow.operators.quality import refusal_reason
 from windrow.operators.windows import label_windows, stamp_keys, window_count
+from windrow.session import pinned
 from windrow.sources.recordings import (
     HEADER_ARROW,
     HEADER_SCHEMA,
@@ -222,7 +223,7 @@ def extract_files(
 ) -> DataFrame:
     """Recordings under ``root`` to a labelled feature table, case and subject from the record id."""
     plan = BlockPlan(tuple(settings.signal.canonical_channels), settings.data.on_missing_channel)
-    headers = recording_headers(spark, root, plan)
+    headers = pinned(recording_headers(spark, root, plan))
     return labelled_features(
         record_states(headers, settings), features_of_files(headers, plan, settings), settings,
         intervals, registry, view, disputed,
@@ -237,8 +238,6 @@ def labelled_features(
     records = states.where("state = 'extracted'").select(
         "record_id", "n_samples", case_of(F.col("record_id")).alias("case_id")
     )
-    labelled = stamp_keys(
-        label_windows(records, intervals, settings.windowing, disputed).drop("n_samples"),
-        registry, settings.extraction_hash, settings.data.source,
-    )
+    records = stamp_keys(records, registry, settings.extraction_hash, settings.data.source)
+    labelled = label_windows(records, intervals, settings.windowing, disputed).drop("n_samples")
     return feature_table(features, labelled, settings, view)

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrow import fixed_values as fv
 from windrow.operators.quality import require
+from windrow.operators.ranking import cell_rank
 
 
-def enumerate_intervals(intervals: DataFrame, first: int = 1) -> DataFrame:
-    """``seizure_idx`` 1, 2, … per record in order of start and end.
+DAY_SEC = 86400
 
-    Intervals are annotations (a few per record hour), not rows of signal.
-    """
-    w = Window.partitionBy("record_id").orderBy("start_sec", "end_sec")
-    return intervals.withColumn("seizure_idx", (F.row_number().over(w) + (first - 1)).cast("long"))
+
+def enumerate_intervals(intervals: DataFrame, first: int = 1) -> DataFrame:
+    """``seizure_idx`` 1, 2, … per record in order of start and end, ranked day by day."""
+    day = F.floor(F.col("start_sec") / DAY_SEC)
+    ranked = cell_rank(intervals, ["record_id"], day, ["start_sec", "end_sec"], "seizure_idx")
+    return ranked.withColumn("seizure_idx", (F.col("seizure_idx") + (first - 1)).cast("long"))
 
 
 def case_of(record: Column, pattern: str = fv.RECORD_ID_PATTERN, strict: bool = False) -> Column:

@@ -125,22 +125,20 @@ def linspace(lo: float, hi: float, n: int) -> list[float]:
     return [lo + i * step for i in range(n - 1)] + [hi]
 
 
-def hash_rank(
+def cell_rank(
     rows: DataFrame,
     keys: list[str],
-    seed: int,
-    uid: str,
+    cell: Column,
+    order: list[str],
     out: str = "rank",
     total: str | None = None,
 ) -> DataFrame:
-    """A seeded pseudo-random rank 1..n per key, the same for any partitioning.
+    """Rank 1..n per key in the order of (cell, order), without one task ranking a whole key.
 
-    Rows are ordered by md5(seed:uid). The first three hex digits are 4096 even cells; cell
-    counts give offsets, so no single task ranks a whole key. ``uid`` is unique per key;
-    ``total`` names a column for the rows per key.
+    Cell counts give offsets and only the rows of a cell are sorted together. ``total`` names a
+    column for the rows per key.
     """
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(uid).cast("string")))
-    marked = rows.withColumn("__md5", digest).withColumn("__cell", F.substring("__md5", 1, 3))
+    marked = rows.withColumn("__cell", cell)
     before = (
         Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -154,10 +152,28 @@ def hash_rank(
             F.sum("__n").over(Window.partitionBy(*keys)).alias("__total"),
         )
     )
-    inside = Window.partitionBy(*keys, "__cell").orderBy("__md5", uid)
+    inside = Window.partitionBy(*keys, "__cell").orderBy(*order)
     return (
         marked.join(cells, keys + ["__cell"])
         .withColumn(out, F.col("__before") + F.row_number().over(inside))
         .withColumn(total or "__total", F.col("__total"))
-        .drop("__md5", "__cell", "__before", "__total")
+        .drop("__cell", "__before", "__total")
     )
+
+
+def hash_rank(
+    rows: DataFrame,
+    keys: list[str],
+    seed: int,
+    uid: str,
+    out: str = "rank",
+    total: str | None = None,
+) -> DataFrame:
+    """A seeded pseudo-random rank 1..n per key, the same for any partitioning.
+
+    Rows are ordered by md5(seed:uid), whose first three hex digits are 4096 even cells.
+    ``uid`` is unique per key.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(uid).cast("string")))
+    marked = rows.withColumn("__md5", digest)
+    return cell_rank(marked, keys, F.substring("__md5", 1, 3), ["__md5", uid], out, total).drop("__md5")

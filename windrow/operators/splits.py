@@ -98,18 +98,16 @@ def downsample_negatives(
     if ratio is None:
         return rows
     keys = keys or []
-    on = keys or ["__all"]
-    base = rows if keys else rows.withColumn("__all", F.lit(0))
-    positive, negative = base.where("label = 1"), base.where("label = 0")
-    n_pos = base.groupBy(*on).agg(F.count_if(F.col("label") == 1).alias("__pos"))
-    kept = (
-        hash_rank(negative, on, seed, uid)
-        .join(n_pos, on)
-        .where(F.col("rank") <= ratio * F.greatest(F.lit(1), F.col("__pos")))
-        .drop("rank", "__pos")
-    )
-    both = positive.unionByName(kept)
-    return both if keys else both.drop("__all")
+    positive, negative = rows.where("label = 1"), rows.where("label = 0")
+    n_pos = F.count_if(F.col("label") == 1).alias("__pos")
+    ranked = hash_rank(negative, keys, seed, uid)
+    if keys:
+        ranked = ranked.join(rows.groupBy(*keys).agg(n_pos), keys)
+    else:
+        # a single total row, joined on a constant
+        ranked = ranked.withColumn("__k", F.lit(0)).join(rows.agg(n_pos).withColumn("__k", F.lit(0)), "__k")
+    kept = ranked.where(F.col("rank") <= ratio * F.greatest(F.lit(1), F.col("__pos")))
+    return positive.unionByName(kept.select(*positive.columns))
 
 
 def pseudo_records(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:

@@ -186,9 +186,12 @@ def label_counts(windows: DataFrame) -> DataFrame:
 
 
 def stamp_keys(
-    windows: DataFrame, registry: DataFrame, config_hash: str, source: str
+    records: DataFrame, registry: DataFrame, config_hash: str, source: str
 ) -> DataFrame:
-    """Add subject, configuration hash and source to windows that know their case."""
-    return windows.join(registry.select("case_id", "subject_id"), "case_id", "left").withColumns(
+    """Subject, configuration hash and source on records that know their case.
+
+    Stamped before records become windows, so the join sees one row per record.
+    """
+    return records.join(registry.select("case_id", "subject_id"), "case_id", "left").withColumns(
         {"config_hash": F.lit(config_hash), "source": F.lit(source)}
     )

@@ -326,8 +326,8 @@ def windows_by_case_and_label(t: Tables):
 def distinct_config_hashes(t: Tables):
     """Distinct configuration hashes of a stamped table."""
     registry = fx.records(t).select("case_id", "subject_id").distinct()
-    cut = wn.cut_windows(fx.records(t).select("record_id", "case_id", "n_samples"), fx.SPEC)
-    return wn.stamp_keys(cut, registry, "abc", "events").select("config_hash", "subject_id").distinct()
+    records = fx.records(t).select("record_id", "case_id", "n_samples")
+    return wn.cut_windows(wn.stamp_keys(records, registry, "abc", "events"), fx.SPEC).select("config_hash", "subject_id").distinct()
 
 
 @query(sql("""

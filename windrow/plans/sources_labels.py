@@ -289,8 +289,8 @@ def record_case(t: Tables):
 def stamped_windows(t: Tables):
     """Windows with case, subject, configuration hash and source."""
     registry = fx.records(t).select("case_id", "subject_id").distinct()
-    cut = wn.cut_windows(fx.records(t).select("record_id", "case_id", "n_samples"), fx.SPEC)
-    return wn.stamp_keys(cut, registry, "abc", "events").select(
+    records = fx.records(t).select("record_id", "case_id", "n_samples")
+    return wn.cut_windows(wn.stamp_keys(records, registry, "abc", "events"), fx.SPEC).select(
         "window_uid", "case_id", "subject_id", "config_hash", "source"
     )
 

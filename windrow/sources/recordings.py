@@ -21,6 +21,8 @@ from windrow.fixed_values import ELECTRODES
 from windrow.sources.headers import FIXED_BYTES, FIXED_FIELDS, SIGNAL_BYTES, SIGNAL_FIELDS
 
 FILES_PER_TASK = 64
+BLOCKS_PER_TASK = 8
+MAX_TASKS = 100_000
 HEADER_SCHEMA = (
     "record_id string, path string, fs double, n_samples long, n_blocks int, "
     "channels array<string>, missing array<string>, error string"
@@ -285,12 +287,17 @@ def recording_headers(spark: SparkSession, root: str, plan: BlockPlan) -> DataFr
 
 
 def block_list(headers: DataFrame) -> DataFrame:
-    """One row per block of the readable recordings, spread over tasks."""
-    return (
-        headers.where("error IS NULL AND n_blocks > 0")
-        .select("path", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block_idx"))
-        .repartition("path", "block_idx")
-    )
+    """One row per block of the readable recordings, spread over tasks of a few blocks each.
+
+    A row is tiny but stands for megabytes to read, so the number of tasks follows the number of
+    blocks and is given outright; adaptive execution would pack the rows by their own size.
+    """
+    readable = headers.where("error IS NULL AND n_blocks > 0")
+    total = readable.agg(F.sum("n_blocks")).head()[0] or 0
+    tasks = min(MAX_TASKS, max(1, -(-total // BLOCKS_PER_TASK)))
+    return readable.select(
+        "path", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block_idx")
+    ).repartition(tasks, "path", "block_idx")
 
 
 def blocks_of_files(batch: pa.RecordBatch, plan: BlockPlan) -> Iterator[dict]:

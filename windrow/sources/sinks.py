@@ -11,10 +11,11 @@ from pyspark.sql.utils import AnalysisException
 def overwrite_parts(df: DataFrame, path: str, by: list[str]) -> None:
     """Write partitions, replacing those present in ``df`` and leaving the others.
 
-    Rows are gathered by partition first, so each gets a few files instead of one per task.
+    Rows are gathered by partition first; adaptive execution splits a large one over several
+    tasks and packs small ones together.
     """
     (
-        df.repartition(*by, F.spark_partition_id() % 8)
+        df.hint("rebalance", *[F.col(c) for c in by])
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*by)
