@@ -245,3 +245,17 @@ def test_wide_csv_numbers_rows_across_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     with pytest.raises(ValueError, match="feature columns"):
         read_wide_csv(spark, str(path), 3, 32)
+
+
+def test_inventory_and_manifest_from_files(spark, folder):
+    from windrow.sources import headers as hd
+
+    root, _ = folder
+    files = hd.recording_files(spark, str(root))
+    sizes = {r["path"].rsplit("/", 1)[-1]: r["length"] for r in files.select("path", "length").collect()}
+    assert set(sizes) == {f"chb01_0{i}.edf" for i in range(1, 6)} and sizes["chb01_05.edf"] == 5
+    got = {r["record_id"]: r for r in hd.manifest(files, f"file:{root}").collect()}
+    assert got["chb01_01"]["rel"] == "chb01/chb01_01.edf" and got["chb01_01"]["case_id"] == "chb01"
+    assert got["chb01_01"]["size_matches_header"] and not got["chb01_03"]["size_matches_header"]
+    assert got["chb01_01"]["dropped_duplicate"] == ["FZ-CZ"] and got["chb01_01"]["dropped_non_eeg"] == ["ECG"]
+    assert "too short" in got["chb01_05"]["error"]

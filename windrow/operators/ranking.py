@@ -12,10 +12,11 @@ def score_cell(score: Column, cells: int = CELLS) -> Column:
     """A cell number that rises with the score.
 
     The fourth root spreads scores crowded near 0; values outside [0, 1] share the end cells,
-    which keeps the order right whatever the range is.
+    which keeps the order right whatever the range is. Never null, so that both uses of the
+    blocks share one shuffle.
     """
     unit = F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))
-    return F.floor(F.sqrt(F.sqrt(unit)) * cells)
+    return F.coalesce(F.floor(F.sqrt(F.sqrt(unit)) * cells), F.lit(-1).cast("long"))
 
 
 def score_blocks(

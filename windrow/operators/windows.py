@@ -22,8 +22,21 @@ def window_count(n_samples: Column, spec: Windowing) -> Column:
     return F.when(usable >= 0, F.floor(usable / spec.stride_samples) + 1).otherwise(0)
 
 
+def _uid() -> Column:
+    return F.format_string("%s_%06d", "record_id", "window_idx")
+
+
 def cut_windows(records: DataFrame, spec: Windowing) -> DataFrame:
     """One row per window of each record (``record_id``, ``n_samples``, other columns kept)."""
+    return _indexed(records, spec).withColumns(_times(spec)).withColumn("window_uid", _uid())
+
+
+def _times(spec: Windowing) -> dict[str, Column]:
+    t0, t1 = _bounds(F.col("window_idx"), spec)
+    return {"t_start_sec": t0, "t_end_sec": t1}
+
+
+def _indexed(records: DataFrame, spec: Windowing) -> DataFrame:
     rows = explode_range(
         records,
         F.lit(0),
@@ -31,15 +44,7 @@ def cut_windows(records: DataFrame, spec: Windowing) -> DataFrame:
         "window_idx",
         spread_by=["record_id"],
     )
-    t0, t1 = _bounds(F.col("window_idx"), spec)
-    return rows.withColumns(
-        {
-            "window_uid": F.format_string("%s_%06d", "record_id", "window_idx"),
-            "t_start_sec": t0,
-            "t_end_sec": t1,
-            "window_idx": F.col("window_idx").cast("int"),
-        }
-    )
+    return rows.withColumn("window_idx", F.col("window_idx").cast("int"))
 
 
 def interval_hits(
@@ -95,7 +100,9 @@ def label_windows(
     enough overlap, disputed span, partial overlap or a boundary nearby, otherwise 0.
     """
     hits = interval_hits(records, intervals, spec, disputed)
-    rows = cut_windows(records, spec).join(hits, ["record_id", "window_idx"], "left")
+    # ids and times follow from the index and are added after the join
+    rows = _indexed(records, spec).join(hits, ["record_id", "window_idx"], "left")
+    rows = rows.withColumns(_times(spec))
     frac = F.coalesce(F.col("overlap_sec"), F.lit(0.0)) / (
         F.col("t_end_sec") - F.col("t_start_sec")
     )
@@ -108,6 +115,7 @@ def label_windows(
     return (
         rows.withColumn("overlap_frac", frac)
         .withColumn("label", label)
+        .withColumn("window_uid", _uid())
         .drop("overlap_sec", "near_boundary", "disputed_sec")
     )
 
