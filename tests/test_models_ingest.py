@@ -6,7 +6,6 @@ from pathlib import Path
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from recording_files import recording
 from test_signals import LABELS, SMALL

@@ -4,7 +4,6 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from recording_files import recording
 from windrow import fixed_values as fv

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from windrow.operators import ledger as lg
 from windrow.operators.labels import case_registry
 from windrow.plans import files as fl
-from windrow.plans import fixtures as fx
 from windrow.plans.catalog import query
 from windrow.plans.fixtures import Tables, sql
 from windrow.plans.signal_features import SMALL

@@ -223,11 +223,11 @@ _of = "(SELECT pr_auc FROM lk_pr WHERE protocol = '{}')".format
 
 
 @query(sql(f"""
-    SELECT 'length' AS model, round(a, 6) AS pr_dup_random, round(b, 6) AS pr_dup_grouped, round(c, 6) AS pr_dedup_random,
-      round(d, 6) AS pr_dedup_grouped, round(a - c, 6) + 0.0 AS dedup_effect_random, round(b - d, 6) + 0.0 AS dedup_effect_grouped,
-      round(a - b, 6) + 0.0 AS grouping_effect_with_dups, round(c - d, 6) + 0.0 AS grouping_effect_deduped
+    SELECT 'length' AS model, round(a, 9) AS pr_dup_random, round(b, 9) AS pr_dup_grouped, round(c, 9) AS pr_dedup_random,
+      round(d, 9) AS pr_dedup_grouped, round(a - c, 9) + 0.0 AS dedup_effect_random, round(b - d, 9) + 0.0 AS dedup_effect_grouped,
+      round(a - b, 9) + 0.0 AS grouping_effect_with_dups, round(c - d, 9) + 0.0 AS grouping_effect_deduped
     FROM (SELECT {_of('random_with_duplicates')} AS a, {_of('grouped_with_duplicates')} AS b,
-      {_of('random_deduplicated')} AS c, {_of('grouped_deduplicated')} AS d)""", **LEAK_VIEWS))
+      {_of('random_deduplicated')} AS c, {_of('grouped_deduplicated')} AS d)""", **LEAK_VIEWS), digits=9)
 def leakage_decomposition(t: Tables):
     """Four protocols side by side and what each change costs."""
     from windrow.operators.splits import mark_repeats

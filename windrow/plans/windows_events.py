@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from windrow.operators import events as ev
-from windrow.operators import metrics as mt
 from windrow.operators import runs as rn
-from windrow.operators import thresholds as th
 from windrow.operators import windows as wn
 from windrow.plans import fixtures as fx
 from windrow.plans.catalog import query

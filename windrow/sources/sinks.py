@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 
 def overwrite_parts(df: DataFrame, path: str, by: list[str]) -> None:
@@ -27,8 +27,10 @@ def read_parts(spark: SparkSession, path: str) -> DataFrame | None:
     """A partitioned table, or None where nothing was written yet."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def read_features(spark: SparkSession, path: str, cases: list[str] | None = None) -> DataFrame:
