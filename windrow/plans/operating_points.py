@@ -272,7 +272,7 @@ def k_sweep(t: Tables):
     SELECT r.record_id, r.first_idx,
       printf('%02d:%02d', (r.start_sec // 60)::BIGINT, (r.start_sec % 60)::BIGINT) AS start_clock,
       printf('%02d:%02d', (r.end_sec // 60)::BIGINT, (r.end_sec % 60)::BIGINT) AS end_clock,
-      r.end_sec - r.start_sec AS seconds, r.n_windows::BIGINT AS n_windows,
+      r.end_sec - r.start_sec AS seconds, r.n_windows::INTEGER AS n_windows,
       round((SELECT max(score) FROM fx_eval w WHERE w.record_id = r.record_id
         AND w.window_idx BETWEEN r.first_idx AND r.last_idx), 6) AS peak_score,
       CASE WHEN EXISTS (SELECT 1 FROM fx_interval i WHERE i.record_id = r.record_id AND r.end_sec > i.start_sec

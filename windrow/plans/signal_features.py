@@ -259,7 +259,7 @@ def extracted_features(t: Tables):
 
 
 @query(sql("""
-    SELECT record_id, state, 64 AS n_samples, 1.0::DOUBLE AS duration_sec, 3 AS n_windows FROM (
+    SELECT record_id, state, 64::BIGINT AS n_samples, 1.0::DOUBLE AS duration_sec, 3 AS n_windows FROM (
       SELECT DISTINCT printf('chb01_%05d', vec_id // 4) AS record_id, 'extracted' AS state FROM fx_signal)"""))
 def recording_states(t: Tables):
     """State, length and windows of each recording."""

@@ -19,7 +19,7 @@ SEED = 42
 def ring_views(frame: str, group: str, n_val: int) -> dict[str, str]:
     return {
         "ring": f"""
-            SELECT g, row_number() OVER (ORDER BY g) - 1 AS fold_idx, count(*) OVER () AS n,
+            SELECT g, (row_number() OVER (ORDER BY g) - 1)::INTEGER AS fold_idx, count(*) OVER () AS n,
               row_number() OVER (ORDER BY md5('{SEED}:' || g), g) - 1 AS place
             FROM (SELECT DISTINCT {group}::VARCHAR AS g FROM {frame})""",
         "held": f"""

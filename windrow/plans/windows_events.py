@@ -229,7 +229,7 @@ def threshold_predictions(t: Tables):
 
 
 @query(sql("""
-    SELECT record_id, first_idx, last_idx, start_sec, end_sec, n_windows::BIGINT AS n_windows
+    SELECT record_id, first_idx, last_idx, start_sec, end_sec, n_windows::INTEGER AS n_windows
     FROM fx_run1 WHERE n_windows >= 2"""))
 def alarm_runs(t: Tables):
     """Runs of two or more adjacent positive windows."""
@@ -239,7 +239,7 @@ def alarm_runs(t: Tables):
 
 
 @query(sql("""
-    SELECT record_id, first_idx, last_idx, start_sec, end_sec, n_windows::BIGINT AS n_windows
+    SELECT record_id, first_idx, last_idx, start_sec, end_sec, n_windows::INTEGER AS n_windows
     FROM fx_run_overlap1 WHERE n_windows >= 3"""))
 def alarm_runs_sliding(t: Tables):
     """E2 on windows that overlap their neighbours."""
