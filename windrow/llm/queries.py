@@ -1,6 +1,9 @@
 """Every query of this subpackage and the SQL that gives the same rows."""
 
 from windrow.llm import (  # noqa: F401
+    attention_mil,
+    interleave,
     ngram_quality,
+    subword_language,
 )
 from windrow.llm.registry import ORACLES, QUERIES  # noqa: F401
