@@ -3,7 +3,13 @@
 from windrow.llm import (  # noqa: F401
     attention_mil,
     interleave,
+    maxent_lm,
     ngram_quality,
+    occurrence_join,
+    open_windows,
+    positional_index,
+    simple8b,
     subword_language,
+    wrapper,
 )
 from windrow.llm.registry import ORACLES, QUERIES  # noqa: F401
