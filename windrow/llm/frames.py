@@ -3,24 +3,15 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-
-_own: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where it is unset (tests) one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="llm-"))
-    return _own[0]
+from windrow.session import shared_folder
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -43,6 +34,19 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def long_columns(rows: DataFrame) -> list[np.ndarray]:
+    """Columns of longs of a bounded table as arrays; tasks send bytes, not rows."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [pa.array([c.to_numpy().astype("<i8").tobytes()]) for c in batch.columns]
+            yield pa.RecordBatch.from_arrays(parts, batch.schema.names)
+
+    names = rows.columns
+    found = rows.mapInArrow(send, ", ".join(f"{c} binary" for c in names)).collect()
+    return [np.frombuffer(b"".join(r[c] for r in found), "<i8") for c in names]
+
+
 def crc_of_id(doc_id: Column) -> Column:
     """Unsigned crc32 of the id as text; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.frames import crc_of_id, stored
+from windrow.llm.frames import crc_of_id, long_columns, stored
 from windrow.llm.registry import query, table
 from windrow.llm.textblock import Block, blocks, lower_ascii, mixed, owners
 
@@ -104,8 +104,9 @@ def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]
         least = r.level
     if least is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    rows = counts.where(level >= least).toPandas().sort_values(["count", "word"], ascending=[False, True])
-    return rows.word.to_numpy(np.int64).view(np.uint64), rows["count"].to_numpy(np.int64)
+    words, seen = long_columns(counts.where(level >= least).select("word", "count"))
+    order = np.lexsort((words, -seen))
+    return words[order].view(np.uint64), seen[order]
 
 
 class Lexicon:
