@@ -6,6 +6,8 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from recording_files import recording
 from test_signals import LABELS, SMALL
@@ -57,7 +59,7 @@ def test_grouped_evaluation_finds_the_signal(learn, spans):
         assert dull["threshold"] == 0.0 and dull["time_in_alarm_frac"] == 1.0 and dull["val_event_f2"] == 0.0
         assert good["n"] == 60 and good["n_val"] == 60 and good["test_subject"] == f"s{fold}"
     table = {r["model"]: r for r in rp.model_table(detail).collect()}
-    assert table["logreg"]["n_detected"] == 12 and "|" in rp.markdown(rp.model_table(detail))
+    assert table["logreg"]["n_detected"] == 12 and rp.markdown(rp.model_table(detail)).count() == rp.model_table(detail).count() + 2
 
 
 def test_logistic_regression_matches_its_objective(learn):
@@ -173,6 +175,20 @@ def test_work_list_and_manifest_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "m/file_manifest_full")).head()["labels_raw"] == ["x"]
 
 
+def test_preparation_drops_guard_relabels_and_refuses_repeats(learn):
+    marked = learn.withColumns({
+        "label": F.when(F.col("window_idx") % 20 == 4, -1).otherwise(F.col("label")),
+        "overlap_frac": F.when(F.col("label") == 1, F.when(F.col("window_idx") % 20 == 5, 0.2).otherwise(0.9)).otherwise(0.0),
+    })
+    rows, columns = md.prepared(marked, ["f0", "f1"], replace(SET, training=replace(SET.training, relabel_overlap_min=0.5)))
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    assert columns == ["f0", "f1"] and counts == {1: 4 * 3 * 2, 0: 4 * 60 - 4 * 3 * 2 - 4 * 3}
+    with pytest.raises(PySparkException, match="repeat the features"):
+        md.prepared(learn.unionByName(learn.limit(1)), ["f0", "f1"], SET)
+    off = replace(SET, data=replace(SET.data, dedupe=False))
+    assert md.prepared(learn.unionByName(learn.limit(1)), ["f0", "f1"], off)[0].count() == 241
+
+
 def test_hashes_separate_extraction_from_training():
     a = Settings()
     b = replace(a, training=replace(a.training, models=("rf",)))

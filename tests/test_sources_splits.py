@@ -12,6 +12,7 @@ from windrow.operators import quality as ql
 from windrow.operators import splits as sp
 from windrow.sources import annotations as an
 from windrow.sources import headers as hd
+from windrow.sources import recordings as rec
 from windrow.sources import textual as tt
 
 
@@ -151,11 +152,23 @@ def test_header_errors(spark):
             ("m", 9, recording(["FP1-F7"], 4, 2, [[0.0] * 8], declared=999))]
     df = spark.createDataFrame(rows, "path string, length long, content binary")
     got = {r["path"]: r["error"] for r in hd.parse_headers(df).collect()}
-    assert got["g"] is None and "too short" in got["s"] and "truncated" in got["t"] and "mismatch" in got["m"]
+    assert got["g"] is None and "fixed part" in got["s"] and "cut at" in got["t"] and "says it has" in got["m"]
     row = hd.derived_fields(hd.parse_headers(df.where("path = 'g'"))).head()
     assert row["duration_sec"] == 2.0 and row["sample_rates"] == [4.0] and row["size_matches_header"]
 
 
+def test_headers_without_usable_records_are_error_rows(spark):
+    """A record length of zero or below, or no signals, makes an error row and the job goes on."""
+    good = recording(["FP1-F7"], 4, 2, [[0.0] * 8])
+    put = lambda at, field: good[:at] + field.ljust(8 if at == 244 else 4) + good[at + (8 if at == 244 else 4) :]
+    files = {"good": good, "zero": put(244, b"0"), "minus": put(244, b"-1"), "word": put(244, b"x"), "none": put(252, b"0")}
+    df = spark.createDataFrame([(f"c/{k}.edf", len(v), v) for k, v in files.items()], "path string, length long, content binary")
+    got = {r["record_id"]: r["error"] for r in hd.manifest(df).collect()}
+    assert {k for k, v in got.items() if v} == {"zero", "minus", "word", "none"}
+    rows = {k: rec.header_row(lambda at, n, v=v: v[at : at + n], f"c/{k}.edf", rec.BlockPlan()) for k, v in files.items()}
+    assert {k for k, v in rows.items() if v["error"]} == {"zero", "minus", "word", "none"}
+
+
 def split_frame(spark, subjects=6, n=20):
     rows = [(f"s{s}", f"s{s}_{i}", i % 5 == 0, float(s * 100 + i)) for s in range(subjects) for i in range(n)]
     return spark.createDataFrame(rows, "subject_id string, window_uid string, pos boolean, f0 double").withColumn(
@@ -166,9 +179,9 @@ def split_frame(spark, subjects=6, n=20):
 @pytest.mark.parametrize("subjects,n_val", [(6, 2), (6, 10), (2, 4), (1, 4)])
 def test_folds_are_disjoint_whole_and_repeatable(spark, subjects, n_val):
     df = split_frame(spark, subjects)
-    got = {parts: sorted(map(tuple, sp.fold_roles(df.repartition(parts), "subject_id", n_val, 1).collect())) for parts in (1, 8)}
-    assert got[1] == got[8] and len(got[1]) == subjects**2
+    got = {parts: sorted(map(tuple, sp.held_out(df.repartition(parts), "subject_id", n_val, 1).collect())) for parts in (1, 8)}
     k = max(0, min(n_val, subjects - 2))
+    assert got[1] == got[8] and len(got[1]) == subjects * (k + 1)
     for fold in range(subjects):
         roles = [r for f, _, r in got[1] if f == fold]
         assert roles.count("test") == 1 and roles.count("val") == k
@@ -199,7 +212,7 @@ def test_downsampling_keeps_positives(spark):
 def test_duplicates_are_refused(spark):
     df = split_frame(spark)
     assert ql.require_deduplicated(df, ["f0"]).count() == 1
-    with pytest.raises(PySparkException, match="duplicate feature rows"):
+    with pytest.raises(PySparkException, match="repeat the features"):
         ql.require_deduplicated(df.unionByName(df.limit(1)), ["f0"]).collect()
 
 

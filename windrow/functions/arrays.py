@@ -30,14 +30,3 @@ def variance(x: Column) -> Column:
 def decimate(x: Column, step: int) -> Column:
     """Every ``step``-th sample."""
     return F.filter(x, lambda v, i: i % step == 0)
-
-
-def display_step(n_values: Column, budget_mb: float = 40.0) -> Column:
-    """Decimation that keeps a float32 copy within the budget, at least 4."""
-    return F.greatest(F.lit(4), F.ceil(n_values * 4 / 1024 / 1024 / budget_mb))
-
-
-def display_rate(rate: Column, step: Column, min_hz: float = 16.0) -> Column:
-    """Rate left after decimation, null where too coarse to draw."""
-    left = rate / step
-    return F.when(left >= min_hz, left)

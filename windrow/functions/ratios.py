@@ -20,10 +20,9 @@ def ratio_or_nan(num: Column, den: Column) -> Column:
 
 def fbeta(tp: Column, fp: Column, fn: Column, beta: float) -> Column:
     """F-beta of counts; 0 without a true positive."""
-    p = tp / (tp + fp)
-    r = tp / (tp + fn)
     b2 = float(beta * beta)
-    return F.when(tp > 0, F.lit(1 + b2) * p * r / (F.lit(b2) * p + r)).otherwise(F.lit(0.0))
+    hits = F.lit(1 + b2) * tp
+    return F.when(tp > 0, hits / (hits + F.lit(b2) * fn + fp)).otherwise(F.lit(0.0))
 
 
 def number_or_null(c: Column) -> Column:

@@ -33,9 +33,11 @@ CLEAN_SCHEMA = (
     "samples array<array<float>>"
 )
 FEATURE_SCHEMA = (
-    "record_id string, window_idx int, channels array<string>, features array<array<float>>"
+    "record_id string, window_idx int, channels array<string>, features array<array<float>>, error string"
 )
 
+FEATURE_NAMES = ["record_id", "window_idx", "channels", "features", "error"]
+
 
 def clean_block(block: dict, settings: Settings, halo_sec: float) -> np.ndarray:
     """A block with halos, filtered; reflected where the recording begins or ends."""
@@ -75,8 +77,46 @@ def block_features(block: dict, settings: Settings, halo_sec: float) -> pa.Recor
             pa.array(idx.astype(np.int32)),
             pa.array([block["channels"]] * len(idx), pa.list_(pa.string())),
             nested(f),
+            pa.nulls(len(idx), pa.string()),
+        ],
+        names=FEATURE_NAMES,
+    )
+
+
+def failure(block: dict) -> pa.RecordBatch:
+    """The row of a block that could not be read: its error, and no window."""
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([block["record_id"]]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.list_(pa.string())),
+            pa.nulls(1, pa.list_(pa.list_(pa.float32()))), pa.array([block["error"]]),
         ],
-        names=["record_id", "window_idx", "channels", "features"],
+        names=FEATURE_NAMES,
+    )
+
+
+def batches_of(blocks, settings: Settings, halo_sec: float):
+    """Feature rows of blocks; a block that cannot be read gives its error row and the rest goes on."""
+    for block in blocks:
+        if block["error"]:
+            yield failure(block)
+        elif _usable(block, settings):
+            out = block_features(block, settings, halo_sec)
+            if out is not None:
+                yield out
+
+
+def with_failures(states: DataFrame, features: DataFrame) -> DataFrame:
+    """Ledger rows in which a recording with a failed block is ``failed``, whatever its header said."""
+    broken = features.where("error IS NOT NULL").groupBy("record_id").agg(F.min("error").alias("__error"))
+    bad = F.col("__error").isNotNull() & (F.col("state") == "extracted")
+    return states.join(broken, "record_id", "left").select(
+        *[
+            F.when(bad, F.lit("failed")).otherwise(F.col("state")).alias(c) if c == "state"
+            else F.when(bad, F.col("__error")).otherwise(F.col("error")).alias(c) if c == "error"
+            else F.when(~bad, F.col("n_windows")).alias(c) if c == "n_windows"
+            else F.col(c)
+            for c in states.columns
+        ]
     )
 
 
@@ -93,27 +133,17 @@ def features_of_files(headers: DataFrame, plan: BlockPlan, settings: Settings) -
 
     def run(batches):
         for batch in batches:
-            for block in blocks_of_files(batch, plan):
-                if block["error"]:
-                    raise ValueError(f"{block['path']}: {block['error']}")
-                if _usable(block, settings):
-                    out = block_features(block, settings, plan.halo_sec)
-                    if out is not None:
-                        yield out
+            yield from batches_of(blocks_of_files(batch, plan), settings, plan.halo_sec)
 
     return block_list(headers).mapInArrow(run, FEATURE_SCHEMA)
 
 
 def features_of_contents(files: DataFrame, plan: BlockPlan, settings: Settings) -> DataFrame:
-    """The same for recordings already loaded as ``path, content``; failed blocks give no rows."""
+    """The same for recordings already loaded as ``path, content``."""
 
     def run(batches):
         for batch in batches:
-            for block in blocks_of_contents(batch, plan):
-                if _usable(block, settings):
-                    out = block_features(block, settings, plan.halo_sec)
-                    if out is not None:
-                        yield out
+            yield from batches_of(blocks_of_contents(batch, plan), settings, plan.halo_sec)
 
     return files.select("path", "content").mapInArrow(run, FEATURE_SCHEMA)
 
@@ -179,7 +209,7 @@ def feature_table(
 ) -> DataFrame:
     """Labelled key columns with the columns of one view, both by array position in the row."""
     names = settings.features.names
-    joined = labelled.join(features, ["record_id", "window_idx"])
+    joined = labelled.join(features.drop("error"), ["record_id", "window_idx"])
     keys = [c for c in labelled.columns if c not in ("record_id", "window_idx")]
     head = ["record_id", "window_idx", *keys]
     if view == "per_channel":
@@ -224,10 +254,9 @@ def extract_files(
     """Recordings under ``root`` to a labelled feature table, case and subject from the record id."""
     plan = BlockPlan(tuple(settings.signal.canonical_channels), settings.data.on_missing_channel)
     headers = pinned(recording_headers(spark, root, plan))
-    return labelled_features(
-        record_states(headers, settings), features_of_files(headers, plan, settings), settings,
-        intervals, registry, view, disputed,
-    )
+    vectors = pinned(features_of_files(headers, plan, settings))
+    states = with_failures(record_states(headers, settings), vectors)
+    return labelled_features(states, vectors, settings, intervals, registry, view, disputed)
 
 
 def labelled_features(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,20 +78,22 @@ def band_share_series(view: DataFrame, keys: list[str], bands: list[str]) -> Dat
 
 
 def line_noise_ratio(
-    signals: DataFrame, keys: list[str], fs: float, n: int, f0: float = 60.0, delta: float = 5.0
+    signals: DataFrame, keys: list[str], rate: float, length: int, mains_hz: float = 60.0, apart_hz: float = 5.0
 ) -> DataFrame:
-    """Power at ``f0`` over the mean power at f0 ± delta, channels averaged first.
+    """How far the mains frequency stands out: its power over that of both sides, ``apart_hz`` away.
 
-    ``n`` is the number of samples of a row; the nearest bins follow from it.
+    Power is averaged over the channels of a key first; infinite where the sides have none.
+    ``length`` is the number of samples of a row.
     """
-    nper = min(1024, n)
-    bins = nper // 2 + 1
-    nearest = lambda f: min(range(bins), key=lambda k: abs(k * fs / nper - f))
-    mean_at = lambda f: F.avg(F.col("psd")[nearest(f)])
-    psd = power_density(F.col("samples"), fs, nper, nper // 2)
-    side = (mean_at(f0 - delta) + mean_at(f0 + delta)) / 2
-    ratio = F.when(side > 0, mean_at(f0) / side).otherwise(F.lit("Infinity").cast("double"))
-    return signals.select(*keys, psd.alias("psd")).groupBy(*keys).agg(ratio.alias("line_noise_ratio"))
+    segment = min(1024, length)
+    wanted = {"__below": mains_hz - apart_hz, "__mains": mains_hz, "__above": mains_hz + apart_hz}
+    bins = {name: min(max(math.ceil(hz * segment / rate - 0.5), 0), segment // 2) for name, hz in wanted.items()}
+    density = power_density(F.col("samples"), rate, segment, segment // 2)
+    spectra = signals.select(*keys, density.alias("__psd"))
+    three = spectra.groupBy(*keys).agg(*[F.avg(F.col("__psd")[k]).alias(name) for name, k in bins.items()])
+    sides = (F.col("__below") + F.col("__above")) / 2
+    stands_out = F.when(sides > 0, F.col("__mains") / sides).otherwise(F.lit("Infinity").cast("double"))
+    return three.select(*keys, stands_out.alias("line_noise_ratio"))
 
 
 def channel_stats(signals: DataFrame, keys: list[str]) -> DataFrame:

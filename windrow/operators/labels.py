@@ -95,7 +95,7 @@ def cross_validate(a: DataFrame, b: DataFrame, tolerance_sec: int = 1) -> DataFr
         "record_id",
         F.lit(None).cast("long").alias("seizure_idx"),
         F.format_string(
-            "%s: summary has %d seizures, annotations have %d", "record_id", "n_a", "n_b"
+            "%s: %d against %d intervals", "record_id", "n_a", "n_b"
         ).alias("problem"),
     )
     left = enumerate_intervals(a.select("record_id", "start_sec", "end_sec"))
@@ -113,7 +113,7 @@ def cross_validate(a: DataFrame, b: DataFrame, tolerance_sec: int = 1) -> DataFr
             "record_id",
             "seizure_idx",
             F.format_string(
-                "%s seizure %d: summary %d-%ds vs annotation %d-%ds",
+                "%s: interval %d is %d..%d against %d..%d",
                 "record_id", "seizure_idx", "start_sec", "end_sec", "b_start", "b_end",
             ).alias("problem"),
         )

@@ -28,9 +28,10 @@ from windrow.fixed_values import SEARCH_GRIDS
 from windrow.operators import splits as sp
 from windrow.operators.events import event_metrics_of_runs, validation_event_score
 from windrow.operators.metrics import ranking_metrics, window_metrics
-from windrow.operators.ranking import hash_rank
+from windrow.operators.quality import require_deduplicated
 from windrow.operators.runs import positive_runs
 from windrow.operators.thresholds import pick_k, pick_threshold, pick_threshold_and_k
+from windrow.operators.windows import drop_guard, overlap_sweep, relabel
 from windrow.session import pinned, shared_folder
 
 PARALLEL_FITS = 4
@@ -292,12 +293,32 @@ def evaluate_folds(
     return out.withColumn("protocol", F.lit("loso"))
 
 
+def prepared(rows: DataFrame, columns: list[str], settings: Settings) -> tuple[DataFrame, list[str]]:
+    """Rows and columns as every protocol takes them.
+
+    Labels at the overlap threshold of the settings (if one is set and rows know their overlap), no guard
+    windows, the chosen feature subset, and no two rows with equal features: the query fails on
+    repeats unless ``data.dedupe`` is off. The count of repeats is one row, read with the rows.
+    """
+    tr = settings.training
+    if tr.relabel_overlap_min is not None:
+        rows = relabel(rows, tr.relabel_overlap_min)
+    rows = drop_guard(rows)
+    columns = sp.feature_columns(columns, set(), tr.feature_subset)
+    if settings.data.dedupe:
+        require_deduplicated(rows, columns).collect()  # one row
+    return rows, columns
+
+
 def grouped_evaluation(
     rows: DataFrame, columns: list[str], settings: Settings, truth: DataFrame,
     durations: DataFrame | None = None, bin_sec: float = 3600.0,
 ) -> DataFrame:
     """Leave-one-subject-out: fit per fold, pick on validation, measure the test subject once."""
-    folds = sp.held_out(rows, "subject_id", settings.splits.n_val_subjects, settings.splits.seed)
+    rows, columns = prepared(rows, columns, settings)
+    folds = sp.require_disjoint(
+        sp.held_out(rows, "subject_id", settings.splits.n_val_subjects, settings.splits.seed), "subject_id"
+    )
     scored = score_folds(rows, columns, settings, folds)
     return evaluate_folds(scored, settings, truth, durations, bin_sec)
 
@@ -305,6 +326,7 @@ def grouped_evaluation(
 def random_window_evaluation(rows: DataFrame, columns: list[str], settings: Settings) -> DataFrame:
     """The contrast that ignores subjects: 20/10/70 test, validation, training rows."""
     tr, seed = settings.training, settings.splits.seed
+    rows, columns = prepared(rows, columns, settings)
     split = sp.random_split(
         rows, "window_uid", seed, [("test", 0.2), ("val", 0.1), ("train", 0.7)]
     ).persist()
@@ -370,13 +392,10 @@ def final_fit(
 
 
 def with_folds(rows: DataFrame, seed: int, group: str | None, uid: str, n_folds: int) -> DataFrame:
-    """Rows with a ``fold`` number, whole groups together or row by row."""
+    """Rows with a ``fold`` number by seeded hash, whole groups together or row by row; sizes vary a little."""
     if not group:
-        return hash_rank(rows, [], seed, uid).withColumn("fold", F.col("rank") % n_folds).drop("rank")
-    ring = sp.group_ring(rows, group, seed).select(
-        F.col("group_id").alias("__g"), (F.col("place") % n_folds).alias("fold")
-    )
-    return rows.withColumn("__g", F.col(group).cast("string")).join(ring, "__g").drop("__g")
+        return rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), uid), F.lit(n_folds)).cast("int"))
+    return rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(group).cast("string")), F.lit(n_folds)).cast("int"))
 
 
 def leakage_study(
@@ -421,12 +440,11 @@ def overlap_model_sweep(
     from dataclasses import replace
 
     from windrow.operators.report import sweep_summary
-    from windrow.operators.windows import drop_guard, overlap_sweep, relabel
 
-    one = replace(settings, training=replace(settings.training, models=(model,), search=False))
     parts = []
     for f in fractions:
-        detail = grouped_evaluation(drop_guard(relabel(rows, f)), columns, one, truth, None, bin_sec)
+        training = replace(settings.training, models=(model,), search=False, relabel_overlap_min=f)
+        detail = grouped_evaluation(rows, columns, replace(settings, training=training), truth, None, bin_sec)
         parts.append(detail.withColumn("min_overlap_frac", F.lit(float(f))))
     detail = parts[0]
     for part in parts[1:]:

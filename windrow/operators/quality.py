@@ -46,7 +46,7 @@ def require_deduplicated(df: DataFrame, columns: list[str]) -> DataFrame:
     if not columns:
         return duplicate_rows(df.limit(0), df.columns)
     counts = duplicate_rows(df, columns)
-    text = F.concat(F.col("n_duplicates").cast("string"), F.lit(" duplicate feature rows present"))
+    text = F.concat(F.col("n_duplicates").cast("string"), F.lit(" rows repeat the features of another"))
     return require(counts, F.col("n_duplicates") == 0, text)
 
 

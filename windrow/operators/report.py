@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from windrow.functions.ratios import number_or_null, ratio_or_nan
 from windrow.operators.metrics import add_window_ratios
@@ -155,9 +156,15 @@ def best_setting(summary: DataFrame, by: str) -> DataFrame:
     return summary.agg(F.max_by(by, number_or_null(F.col("pr_auc"))).alias(by))
 
 
-def markdown(table: DataFrame, limit: int = 1000) -> str:
-    """A report table as Markdown; for the short tables of this module only."""
-    rows = table.limit(limit).collect()
-    cell = lambda v: "–" if v is None or v != v else f"{v:.4f}" if isinstance(v, float) else str(v)
-    lines = ["| " + " | ".join(table.columns) + " |", "|" + "---|" * len(table.columns)]
-    return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows])
+def markdown(table: DataFrame) -> DataFrame:
+    """A report table as Markdown, a ``line`` per row after ``part`` 0 (names) and 1 (rule)."""
+    cells = []
+    for f in table.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            c = F.when(~F.isnan(c), F.format_string("%.4f", c))
+        cells.append(F.coalesce(c.cast("string"), F.lit("–")))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    head = [(0, "| " + " | ".join(table.columns) + " |"), (1, "|" + "---|" * len(table.columns))]
+    names = table.sparkSession.createDataFrame(head, "part int, line string")
+    return names.unionByName(table.select(F.lit(2).alias("part"), line.alias("line")))

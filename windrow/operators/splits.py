@@ -17,20 +17,16 @@ def _hash(seed: int, c: Column) -> Column:
 
 
 def group_ring(rows: DataFrame, group: str, seed: int) -> DataFrame:
-    """Distinct groups with ``fold_idx`` (by name) and ``place`` on a seeded ring.
+    """Distinct groups with ``place`` on a seeded ring, which is also their ``fold_idx``, and ``n_groups``.
 
-    Folds are as many as groups, each a model fit, so this list is short.
+    Places come from the two-level hash rank, so also a list of groups that grows with the rows
+    (pseudo-records) is not ordered in one task.
     """
     if group not in rows.columns:
         raise ValueError(f"grouped folds need a {group!r} column")
     groups = rows.select(F.col(group).cast("string").alias("group_id")).distinct()
-    ring = Window.orderBy(_hash(seed, F.col("group_id")), "group_id")
-    return groups.select(
-        "group_id",
-        (F.row_number().over(Window.orderBy("group_id")) - 1).alias("fold_idx"),
-        (F.row_number().over(ring) - 1).alias("place"),
-        F.count(F.lit(1)).over(Window.partitionBy()).alias("n_groups"),
-    )
+    ring = hash_rank(groups, [], seed, "group_id", out="place", total="n_groups")
+    return ring.select("group_id", (F.col("place") - 1).cast("int").alias("place"), "n_groups").withColumn("fold_idx", F.col("place"))
 
 
 def held_out(rows: DataFrame, group: str, n_val: int, seed: int) -> DataFrame:
@@ -54,17 +50,6 @@ def held_out(rows: DataFrame, group: str, n_val: int, seed: int) -> DataFrame:
     )
 
 
-def fold_roles(rows: DataFrame, group: str, n_val: int, seed: int) -> DataFrame:
-    """The whole assignment table, one row per fold and group, for reports."""
-    ring = group_ring(rows, group, seed)
-    pairs = ring.select(
-        F.col("group_id").alias(group),
-        F.explode(F.sequence(F.lit(0), (F.col("n_groups") - 1).cast("int"))).alias("fold_idx"),
-    )
-    out = held_out(rows, group, n_val, seed)
-    return pairs.join(out, ["fold_idx", group], "left").fillna("train", ["role"])
-
-
 def evaluation_rows(rows: DataFrame, folds: DataFrame, group: str) -> DataFrame:
     """Rows of the held-out groups under each fold that holds them out, with their role."""
     return rows.join(folds, group)

@@ -17,11 +17,9 @@ def pick_threshold(rows: DataFrame, keys: list[str], metric: str = "f2") -> Data
     It lies midway to the next lower distinct score. Among equal values the highest score
     wins. Without positives or with a single distinct score: 0.5 and 0.
     """
-    b2 = 4.0 if metric == "f2" else 1.0
+    beta = 2 if metric == "f2" else 1
     b = ranked_blocks(rows, keys)
-    p = F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1))
-    r = F.col("tp") / F.greatest(F.col("total_pos"), F.lit(1))
-    f = F.lit(1 + b2) * p * r / F.greatest(F.lit(b2) * p + r, F.lit(1e-12))
+    f = fbeta(F.col("tp"), F.col("fp"), F.col("total_pos") - F.col("tp"), beta)
     best = b.withColumn("f", f).groupBy(*keys).agg(
         F.max(F.struct("f", "score", "next_score")).alias("best"),
         F.max("total_pos").alias("n_pos"),

@@ -17,6 +17,7 @@ SPEC = Windowing(21600.0, 21600.0, 0.5, 10800.0, sample_rate=1)
 OVERLAPPING_SPEC = Windowing(21600.0, 10800.0, 0.5, 10800.0, sample_rate=1)
 THRESHOLD = 0.25
 BIN = 86400.0
+VALUES = 64  # of an embedding
 
 
 SCHEMAS = {
@@ -195,14 +196,14 @@ def label_sequence(t: Tables) -> DataFrame:
 
 
 def learning_rows(t: Tables) -> DataFrame:
-    """Rows for models: eight features, a binary label and a group."""
+    """Rows for models: every value of the vector, a binary label and a group."""
     return t.embeddings.select(
         "vec_id",
         F.format_string("w%06d", "vec_id").alias("window_uid"),
         F.format_string("g%02d", F.pmod("vec_id", F.lit(12)).cast("int")).alias("subject_id"),
         (F.col("label") == 5).cast("int").alias("label"),
         F.lit("embeddings").alias("source"),
-        *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(8)],
+        *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(VALUES)],
     )
 
 
@@ -298,7 +299,7 @@ CTES["fx_label_seq"] = """
 CTES["fx_ml"] = """
     SELECT vec_id, printf('w%06d', vec_id) AS window_uid, printf('g%02d', vec_id % 12) AS subject_id,
       (label = 5)::INTEGER AS label, """ + ", ".join(
-    f"embedding[{i + 1}]::DOUBLE AS f{i}" for i in range(8)
+    f"embedding[{i + 1}]::DOUBLE AS f{i}" for i in range(VALUES)
 ) + " FROM embeddings"
 
 ORDER = list(CTES)

@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from windrow.config import Settings, Splits, Training, Windowing
+from windrow.fixed_values import OVERLAP_FRACTIONS
 from windrow.operators import models as md
 from windrow.operators import runs as rn
 from windrow.operators import splits as sp
@@ -15,7 +16,7 @@ from windrow.plans.catalog import query
 from windrow.plans.fixtures import Tables, sql
 from windrow.plans.splits_ledger import ring_views
 
-COLUMNS = [f"f{i}" for i in range(8)]
+COLUMNS = [f"f{i}" for i in range(fx.VALUES)]
 SETTINGS = Settings(
     windowing=Windowing(10.0, 10.0, 0.5, 30.0, sample_rate=1),
     splits=Splits(n_val_subjects=3),
@@ -37,6 +38,16 @@ def rows(t: Tables):
     )
 
 
+def distinct_rows(t: Tables):
+    """Learning rows without exact repeats of a vector, which the protocols refuse."""
+    marked = sp.mark_repeats(rows(t).withColumns({"row_index": F.col("vec_id"), "row_hash": vector_hash()}))
+    return marked.where(~F.col("is_repeat")).drop("row_index", "row_hash", "is_repeat")
+
+
+def vector_hash():
+    return F.md5(F.concat_ws(",", *[F.col(c).cast("string") for c in COLUMNS]))
+
+
 def truth(t: Tables):
     """Intervals: the stretches of positive rows."""
     from windrow.operators.labels import enumerate_intervals
@@ -91,13 +102,13 @@ def grid_search(t: Tables):
 @query()
 def grouped_evaluation(t: Tables):
     """Leave-one-subject-out evaluation."""
-    return md.grouped_evaluation(rows(t), COLUMNS, SETTINGS, truth(t))
+    return md.grouped_evaluation(distinct_rows(t), COLUMNS, SETTINGS, truth(t))
 
 
 @query()
 def random_window_evaluation(t: Tables):
     """The contrast that ignores subjects."""
-    return md.random_window_evaluation(rows(t), COLUMNS, SETTINGS)
+    return md.random_window_evaluation(distinct_rows(t), COLUMNS, SETTINGS)
 
 
 @query()
@@ -109,7 +120,7 @@ def exported_scores(t: Tables):
 @query(sql("""
     SELECT 'logreg' AS model, 12::BIGINT AS n_subjects, count(*) AS n_rows_available,
       count(*) FILTER (label = 1) + least(count(*) FILTER (label = 0), 3 * count(*) FILTER (label = 1)) AS n_rows_fitted,
-      8 AS n_features FROM fx_ml"""))
+      64 AS n_features FROM fx_ml"""))
 def final_model(t: Tables):
     """Metadata of the model fitted on every subject."""
     three = replace(SETTINGS, training=replace(SETTINGS.training, negative_downsample_ratio=3))
@@ -119,14 +130,13 @@ def final_model(t: Tables):
 
 @query()
 def overlap_model_sweep(t: Tables):
-    """One model at several overlap thresholds."""
-    return md.overlap_model_sweep(rows(t), COLUMNS, SETTINGS, truth(t), [0.1, 0.2], "dummy")
+    """One model at every overlap threshold."""
+    return md.overlap_model_sweep(distinct_rows(t), COLUMNS, SETTINGS, truth(t), OVERLAP_FRACTIONS, "logreg")
 
 
 @query()
 def leakage_study(t: Tables):
     """Four protocols of out-of-fold scores."""
-    frame = sp.mark_repeats(
-        rows(t).withColumns({"row_index": F.col("vec_id"), "row_hash": F.md5(F.round("f0", 2).cast("string"))})
-    ).withColumn("pseudo_record", F.col("subject_id"))
-    return md.leakage_study(frame, COLUMNS, ["dummy", "logreg"], 42)
+    frame = rows(t).withColumns({"row_index": F.col("vec_id"), "row_hash": vector_hash()})
+    frame = sp.pseudo_records(sp.mark_repeats(frame))
+    return md.leakage_study(frame, COLUMNS, list(SETTINGS.training.models), 42)

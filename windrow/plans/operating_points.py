@@ -92,8 +92,7 @@ def threshold_sql(frame: str, key: str, b2: int) -> str:
           round(CASE WHEN P > 0 AND n_scores > 1 THEN coalesce((score + next_score) / 2, score) ELSE 0.5 END, 6) AS threshold,
           round(CASE WHEN P > 0 AND n_scores > 1 THEN f ELSE 0 END, 6) AS achieved
         FROM (SELECT *, row_number() OVER (PARTITION BY key_id ORDER BY f DESC, score DESC) AS rn FROM (
-          SELECT *, {1 + b2} * (tp / greatest(tp + fp, 1)) * (tp / greatest(P, 1))
-            / greatest({b2} * (tp / greatest(tp + fp, 1)) + tp / greatest(P, 1), 1e-12) AS f FROM rk_block))
+          SELECT *, CASE WHEN tp > 0 THEN ({1 + b2} * tp) / ({1 + b2} * tp + {b2} * (P - tp) + fp) ELSE 0 END AS f FROM rk_block))
         WHERE rn = 1""", **ranking_views(frame, key))
 
 
@@ -112,7 +111,7 @@ def best_f1_threshold_documents(t: Tables):
 def f2_of(tp: str, marked: str, pos: str) -> str:
     """F2 from true positives, marked windows and positives."""
     return (
-        f"CASE WHEN {tp} > 0 THEN 5 * ({tp} / {marked}) * ({tp} / {pos}) / (4 * ({tp} / {marked}) + {tp} / {pos}) ELSE 0 END"
+        f"CASE WHEN {tp} > 0 THEN (5 * {tp}) / (5 * {tp} + 4 * ({pos} - {tp}) + {marked} - {tp}) ELSE 0 END"
     )
 
 

@@ -192,13 +192,12 @@ def display_slice(t: Tables):
 
 
 @query(sql("""
-    SELECT vec_id, (n // 4)::INTEGER AS pos, round(x, 6) + 0.0 AS x, 16.0::DOUBLE AS rate FROM fx_sample WHERE n % 4 = 0"""))
+    SELECT vec_id, (n // 5)::INTEGER AS pos, round(x, 6) + 0.0 AS x, 12.8::DOUBLE AS rate FROM fx_sample WHERE n % 5 = 0"""))
 def display_decimation(t: Tables):
-    """Decimation of a signal to a byte budget, with the rate left."""
-    step = ar.display_step(F.size("samples"))
-    rate = ar.display_rate(F.col("fs"), step)
+    """Every fifth sample of a signal, with the rate left."""
+    step = 5
     return fx.signals(t).select(
-        "vec_id", rate.alias("rate"), F.posexplode(ar.decimate(F.col("samples"), 4)).alias("pos", "x")
+        "vec_id", (F.col("fs") / step).alias("rate"), F.posexplode(ar.decimate(F.col("samples"), step)).alias("pos", "x")
     )
 
 

@@ -131,7 +131,7 @@ HEADER = """
       (256 + 256 * ns)::INTEGER AS header_bytes,
       CASE WHEN NOT cut THEN 256 + 256 * ns + n_records * 2 * ((ns * 256 - CASE WHEN mixed THEN 128 ELSE 0 END) * dur)::BIGINT END AS expected_file_bytes,
       CASE WHEN NOT cut THEN NOT longer END AS size_matches_header,
-      CASE WHEN cut THEN printf('truncated header: have %d B, need %d B', 156 + 256 * ns, 256 + 256 * ns) END AS error
+      CASE WHEN cut THEN printf('header cut at byte %d of %d', 156 + 256 * ns, 256 + 256 * ns) END AS error
     FROM hx""", hx=HEADER))
 def header_manifest(t: Tables):
     """Manifest rows from header bytes, size agreement, errors as rows."""
@@ -331,9 +331,9 @@ def registry_facts(t: Tables):
             FROM a FULL JOIN b ON a.record_id = b.record_id),
       br AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY start_sec, end_sec) AS i FROM fx_interval_b)
     SELECT record_id, NULL::BIGINT AS seizure_idx,
-      printf('%s: summary has %d seizures, annotations have %d', record_id, na, nb) AS problem FROM c WHERE na <> nb
+      printf('%s: %d against %d intervals', record_id, na, nb) AS problem FROM c WHERE na <> nb
     UNION ALL
-    SELECT x.record_id, x.seizure_idx, printf('%s seizure %d: summary %d-%ds vs annotation %d-%ds',
+    SELECT x.record_id, x.seizure_idx, printf('%s: interval %d is %d..%d against %d..%d',
       x.record_id, x.seizure_idx, x.start_sec, x.end_sec, br.start_sec, br.end_sec)
     FROM fx_interval x JOIN c ON c.record_id = x.record_id AND na = nb
     JOIN br ON br.record_id = x.record_id AND br.i = x.seizure_idx

@@ -19,7 +19,7 @@ SEED = 42
 def ring_views(frame: str, group: str, n_val: int) -> dict[str, str]:
     return {
         "ring": f"""
-            SELECT g, (row_number() OVER (ORDER BY g) - 1)::INTEGER AS fold_idx, count(*) OVER () AS n,
+            SELECT g, (row_number() OVER (ORDER BY md5('{SEED}:' || g), g) - 1)::INTEGER AS fold_idx, count(*) OVER () AS n,
               row_number() OVER (ORDER BY md5('{SEED}:' || g), g) - 1 AS place
             FROM (SELECT DISTINCT {group}::VARCHAR AS g FROM {frame})""",
         "held": f"""
@@ -29,12 +29,11 @@ def ring_views(frame: str, group: str, n_val: int) -> dict[str, str]:
 
 
 @query(sql("""
-    SELECT a.fold_idx, b.g AS subject_id, coalesce(h.role, 'train') AS role
-    FROM ring a CROSS JOIN ring b LEFT JOIN held h ON h.fold_idx = a.fold_idx AND h.g = b.g""",
+    SELECT fold_idx, g AS subject_id, role FROM held""",
     **ring_views("fx_record", "subject_id", 4)))
 def fold_assignments(t: Tables):
-    """Leave-one-subject-out roles of every subject in every fold."""
-    return sp.fold_roles(fx.records(t), "subject_id", 4, SEED)
+    """Who is held out in every fold, and as what; all others train in it."""
+    return sp.held_out(fx.records(t), "subject_id", 4, SEED).select("fold_idx", "subject_id", "role")
 
 
 @query(sql("""

@@ -222,10 +222,10 @@ def label_counts_by_record(t: Tables):
 
 
 @query(sql("""
-    SELECT record_id, window_idx, score >= 0.25 AS pred FROM fx_score WHERE score > 0"""))
+    SELECT record_id, window_idx, score >= 0.25 AS pred FROM fx_score"""))
 def threshold_predictions(t: Tables):
     """Score at or above the threshold."""
-    return fx.scored(t).where("score > 0").select("record_id", "window_idx", "pred")
+    return fx.scored(t).select("record_id", "window_idx", "pred")
 
 
 @query(sql("""

@@ -33,7 +33,7 @@ def marks(content: bytes) -> tuple[float, list[tuple[int, int]]]:
             break
         if code == CODE["SKIP"]:
             if at + 2 > len(words):
-                raise ValueError("truncated SKIP payload")
+                raise ValueError("the file ends inside a skip")
             high, low = words[at : at + 2]
             clock += int(np.int16(high)) * 65536 + int(low)
             at += 2

@@ -68,12 +68,15 @@ def parse_headers(files: DataFrame) -> DataFrame:
     need = ns * SIGNAL_BYTES + FIXED_BYTES
     have = F.length("content")
     error = (
-        F.when(have < FIXED_BYTES, F.format_string("buffer too short for a header: %d B", have))
-        .when(ns.isNull() | (ns < 1), F.lit("unreadable signal count"))
-        .when(have < need, F.format_string("truncated header: have %d B, need %d B", have, need))
+        F.when(have < FIXED_BYTES, F.format_string("%d bytes are fewer than the fixed part of a header", have))
+        .when(ns.isNull() | (ns < 1), F.lit("the number of signals cannot be read"))
+        .when(have < need, F.format_string("header cut at byte %d of %d", have, need))
         .when(
             F.col("declared_bytes").isNull() | (F.col("declared_bytes") != need),
-            F.format_string("header size mismatch: declared %d B, computed %d B", "declared_bytes", need),
+            F.format_string("header says it has %d bytes but has %d", "declared_bytes", need),
+        )
+        .when(
+            F.coalesce(F.col("record_duration_sec"), F.lit(0.0)) <= 0, F.lit("no usable length of a data record")
         )
     )
     good = fixed.withColumn("error", error).withColumn("header_bytes", need)
@@ -91,7 +94,7 @@ def parse_headers(files: DataFrame) -> DataFrame:
 
 def derived_fields(headers: DataFrame) -> DataFrame:
     """Duration, rates, the common rate (-1 when mixed), expected size and size agreement."""
-    rates = F.transform("samples_per_record", lambda n: n / F.col("record_duration_sec"))
+    rates = F.transform("samples_per_record", lambda n: F.try_divide(n.cast("double"), F.col("record_duration_sec")))
     total = F.aggregate("samples_per_record", F.lit(0).cast("long"), lambda a, n: a + n)
     distinct = F.array_distinct("sample_rates")
     return (

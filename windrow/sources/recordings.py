@@ -22,7 +22,6 @@ from windrow.sources.headers import FIXED_BYTES, FIXED_FIELDS, SIGNAL_BYTES, SIG
 
 FILES_PER_TASK = 64
 BLOCKS_PER_TASK = 8
-MAX_TASKS = 100_000
 HEADER_SCHEMA = (
     "record_id string, path string, fs double, n_samples long, n_blocks int, "
     "channels array<string>, missing array<string>, error string"
@@ -66,18 +65,20 @@ def read_header(read: Callable[[int, int], bytes]) -> dict:
     """Header fields from ``read(offset, length)``: the fixed part, then the signal part."""
     fixed = read(0, FIXED_BYTES)
     if len(fixed) < FIXED_BYTES:
-        raise ValueError(f"buffer too short for a header: {len(fixed)} B")
+        raise ValueError(f"{len(fixed)} bytes are fewer than the fixed part of a header")
     head = {
         name: fixed[start - 1 : start - 1 + width].decode("ascii", "replace").strip()
         for name, start, width in FIXED_FIELDS
     }
     ns = int(head["n_signals"])
+    if ns < 1:
+        raise ValueError(f"no signals declared: {ns}")
     rest = read(FIXED_BYTES, SIGNAL_BYTES * ns)
     need = FIXED_BYTES + SIGNAL_BYTES * ns
     if len(rest) < SIGNAL_BYTES * ns:
-        raise ValueError(f"truncated header: have {FIXED_BYTES + len(rest)} B, need {need} B")
+        raise ValueError(f"header cut at byte {FIXED_BYTES + len(rest)} of {need}")
     if int(head["declared_bytes"]) != need:
-        raise ValueError(f"header size mismatch: declared {head['declared_bytes']} B, computed {need} B")
+        raise ValueError(f"header says it has {head['declared_bytes']} bytes but has {need}")
     at = 0
     for name, width in SIGNAL_FIELDS:
         cells = [rest[at + i * width : at + (i + 1) * width] for i in range(ns)]
@@ -87,6 +88,8 @@ def read_header(read: Callable[[int, int], bytes]) -> dict:
         head[name] = np.array(head[name], dtype=float)
     head["samples_per_record"] = np.array(head["samples_per_record"], dtype=int)
     head["record_sec"] = float(head["record_duration_sec"])
+    if not 0 < head["record_sec"] < float("inf"):
+        raise ValueError(f"no usable length of a data record: {head['record_duration_sec']}")
     head["n_records"] = int(head["n_records"])
     head["header_bytes"] = need
     return head
@@ -144,8 +147,8 @@ def header_row(read: Callable[[int, int], bytes], path: str, plan: BlockPlan) ->
         if signal_bytes < 0:
             raise ValueError("unknown number of data records")
         if signal_bytes and not read(head["header_bytes"] + signal_bytes - 1, 1):
-            raise ValueError(f"truncated signal: fewer than {signal_bytes} B")
-    except (ValueError, OSError) as e:
+            raise ValueError(f"samples end before byte {signal_bytes}")
+    except (ValueError, ArithmeticError, OSError) as e:
         row["error"] = f"{type(e).__name__}: {e}"
     return {"record_id": record_name(path), "path": path, **row}
 
@@ -167,7 +170,7 @@ def read_block(read: Callable[[int, int], bytes], path: str, plan: BlockPlan, b:
     want = (last - first) * stride * 2
     raw = read(head["header_bytes"] + first * stride * 2, want)
     if len(raw) < want:
-        raise ValueError(f"truncated signal: have {len(raw)} B of {want} B in block {b}")
+        raise ValueError(f"block {b} has {len(raw)} of {want} bytes")
     table = np.frombuffer(raw, "<i2").reshape(last - first, stride)
     samples = np.full((len(facts["channels"]), (last - first) * size), np.nan)
     for row, label in enumerate(facts["channels"]):
@@ -294,7 +297,7 @@ def block_list(headers: DataFrame) -> DataFrame:
     """
     readable = headers.where("error IS NULL AND n_blocks > 0")
     total = readable.agg(F.sum("n_blocks")).head()[0] or 0
-    tasks = min(MAX_TASKS, max(1, -(-total // BLOCKS_PER_TASK)))
+    tasks = max(1, -(-total // BLOCKS_PER_TASK))
     return readable.select(
         "path", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block_idx")
     ).repartition(tasks, "path", "block_idx")
@@ -305,7 +308,7 @@ def blocks_of_files(batch: pa.RecordBatch, plan: BlockPlan) -> Iterator[dict]:
     for path, b in zip(batch.column("path").to_pylist(), batch.column("block_idx").to_pylist()):
         try:
             yield read_block(opened(path), path, plan, b)
-        except (ValueError, OSError) as e:
+        except (ValueError, ArithmeticError, OSError) as e:
             yield failed_block(path, b, e)
 
 
@@ -326,7 +329,6 @@ def blocks_of_contents(batch: pa.RecordBatch, plan: BlockPlan) -> Iterator[dict]
                 yield read_block(read, path, plan, b)
             except ValueError as e:
                 yield failed_block(path, b, e)
-                break
 
 
 def read_recordings(headers: DataFrame, plan: BlockPlan) -> DataFrame:

@@ -19,9 +19,9 @@ def check_header(line: str, n_features: int) -> None:
     has_target = columns[-1].strip().lower() == "target"
     found = len(columns) - has_target
     if found != n_features:
-        raise ValueError(f"expected {n_features} feature columns, found {found}")
+        raise ValueError(f"the header names {found} features where {n_features} belong")
     if not has_target:
-        raise ValueError("no 'target' column found")
+        raise ValueError("the last column is not named target")
 
 
 def numbered_lines(spark: SparkSession, path: str, header: str) -> DataFrame:
@@ -79,30 +79,29 @@ def read_wide_csv(
 
 
 def csv_features(
-    rows: DataFrame, settings: Settings, fs: float = CSV_SAMPLE_RATE, notch: bool = True
+    rows: DataFrame, settings: Settings, fs: float = CSV_SAMPLE_RATE, notch: bool = True, pad_sec: float = 4.0
 ) -> DataFrame:
     """Aggregated feature view of wide rows, with pseudo-records and repeat marks.
 
     Channels have no labels here and rows no subject, so there is no per-channel view and the
-    subject is null.
+    subject is null. Rows are reflected by ``pad_sec`` (or their length, if shorter) for the filter.
     """
     feats, signal = settings.features, settings.signal
     bands = dict(feats.bands)
 
     @F.arrow_udf("array<float>")
     def run(column: pa.Array) -> pa.Array:
-        out = []
-        for row in column:
-            x = row.values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            x = x.reshape(len(row.values), -1)
-            if notch:
-                pad = x.shape[-1] - 1
-                x = kernels.zero_phase(x, fs, signal.notch_hz, signal.bandpass, pad, pad)
-            f = kernels.features(
-                x.astype(np.float32), fs, bands, feats.welch_nperseg, feats.welch_noverlap
-            )
-            out.append(kernels.across_channels(f[None])[0])
-        return pa.array(out, pa.list_(pa.float32()))
+        # rows of one file are equally long, so a batch is one array (rows, channels, samples)
+        channels = column.flatten()
+        values = channels.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        if not len(values):
+            return pa.nulls(len(column), pa.list_(pa.float32()))
+        x = values.reshape(len(column), len(channels) // len(column), -1)
+        if notch:
+            pad = int(pad_sec * fs)
+            x = kernels.zero_phase(x, fs, signal.notch_hz, signal.bandpass, pad, pad)
+        f = kernels.features(x.astype(np.float32), fs, bands, feats.welch_nperseg, feats.welch_noverlap)
+        return pa.array(list(kernels.across_channels(f)), pa.list_(pa.float32()))
 
     names = aggregated_names(feats.names)
     vectors = rows.select("row_index", run(F.col("samples")).alias("f"))

@@ -67,6 +67,7 @@ class Ingest:
         ).select("path", "content")
         states = pinned(ex.record_states(ex.content_headers(good, self.plan), settings))
         vectors = pinned(ex.features_of_contents(good, self.plan, settings))
+        states = ex.with_failures(states, vectors)
         counts = None
         for view in settings.features.views:
             table = ex.labelled_features(
