@@ -56,6 +56,13 @@ def with_fields(schema: T.StructType, *more: tuple[str, T.DataType]) -> T.Struct
     return T.StructType([*schema.fields, *(T.StructField(n, t) for n, t in more)])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
 def bounded_sample(rows: DataFrame, key: str, size: int, seed: int = 7) -> DataFrame:
     """At most ``size`` rows: those whose key hashes lowest, whatever the partitioning."""
     return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(size)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from windrow.llm.frames import stored
+from windrow.llm.frames import fresh, stored
 from windrow.llm.registry import query, table
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -105,7 +105,7 @@ def matched(documents: DataFrame, benchmark: DataFrame, s: Settings) -> DataFram
     texts = texts.dropDuplicates(["key", "text_key"]).select("key", "text_key", F.transform("words", term).alias("own"))
     both = meeting.join(texts, ["key", "text_key"]).join(items, "item")
     both = both.withColumn(
-        "equal", F.transform("terms", lambda t, i: F.coalesce(F.try_element_at("own", F.col("at") + i + 1) == t, F.lit(False)) & (F.col("at") + i >= 0))
+        "equal", F.transform("terms", lambda t, i: F.coalesce(F.get("own", F.col("at") + i) == t, F.lit(False)))
     ).withColumn("length", F.least(F.lit(s.window), F.col("n")))
     starts = F.filter(
         F.sequence(F.lit(0), F.col("n") - F.col("length")),
@@ -149,9 +149,9 @@ def clean(documents: DataFrame, benchmark: DataFrame, s: Settings | None = None)
     found = matched(documents, benchmark, s or Settings()).where(F.size("starts") > 0).select("key", "text_key").distinct()
     found = stored(found, "contaminated")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    marked = documents.withColumns({"__key": key, "__text_key": F.xxhash64("text")})
-    bad = found.select(F.col("key").alias("__key"), F.col("text_key").alias("__text_key"))
-    return marked.join(bad, ["__key", "__text_key"], "left_anti").select(*documents.columns)
+    names = [fresh(documents, "key"), fresh(documents, "text_key")]
+    marked = documents.withColumns(dict(zip(names, (key, F.xxhash64("text")))))
+    return marked.join(found.toDF(*names), names, "left_anti").select(*documents.columns)
 
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
