@@ -9,11 +9,16 @@ found by counting) last, so the short lists are a prefix of the ordered set; Spa
 What the merge proposes must then reach T: long lists of a query are probed by binary search after its
 short ones have been counted (``t_occurrence``).
 
-Equal sets are one node, whatever the number of copies. A list is not expanded into pairs: first each
-member meets the list's hub only, and what links with its hub is one component; then only lists that
-still hold several components are searched, in bounded chunks, for pairs of different components whose
-parity bitmaps allow the overlap (an upper bound, so nothing is lost). Links inside a component change
-no component and are not looked for. Every proposed pair is verified on whole sets.
+Equal sets are one node, whatever the number of copies. Most lists have one member: lists are counted
+first, and a bounded filter of those with several keeps the rest out of the shuffle (where it fills up,
+more is shuffled and nothing is lost). A list is not expanded into pairs: first each member meets one
+hub only, the one it shares most lists with (the hub of a list is the member with the largest share of
+its own lists in common with others), and what links with its hub is one component. Lists that still
+hold several components are searched, in bounded chunks, for pairs of different components whose parity
+bitmaps allow the overlap (an upper bound, so nothing is lost): once for the likeliest pairs that would
+join the components, a forest, and once more for all that are left. Links inside a component change no
+component and are not looked for. Every proposed pair is verified on whole sets, read again from the
+texts of the documents in question.
 
 Components come from alternating stars over verified links. Nothing per document goes to the driver:
 only the bounded set of frequent shingles and a bounded filter of wanted nodes do.
@@ -30,16 +35,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrow.llm.components import components
-from windrow.llm.frames import stored
+from windrow.llm.frames import fresh, long_columns, stored
 from windrow.llm.registry import query, table
 from windrow.llm.textblock import Block, blocks, lower_ascii, mixed, owners, windows
 
 WHOLE = np.uint64(0xA24BAED4963EE407)  # salt of texts with fewer words than a shingle
 TOP = np.uint64(1 << 63)
+LIST_BITS = np.uint64((1 << 32) - 1)
 
 
 @dataclass(frozen=True)
@@ -175,114 +181,167 @@ def frequent_shingles(documents: DataFrame, s: Settings) -> np.ndarray:
         least = r.level
     if least is None:
         return np.zeros(0, np.uint64)
-    keys = counts.where(level >= least).select("key").toPandas().key.to_numpy(np.int64)
+    (keys,) = long_columns(counts.where(level >= least).select("key"))
     return np.sort(keys.view(np.uint64))
 
 
-def described(documents: DataFrame, frequent, s: Settings) -> DataFrame:
-    """``doc_id, node, n, prefix, bits``; prefix and bits with a task's first copy of a set only."""
+def prefix_of(keys: np.ndarray, s: Settings) -> np.ndarray:
+    """The members of an ordered set whose lists are merged."""
+    return keys[: len(keys) - needed(len(keys), s) + 1]
+
+
+def shared_lists(documents: DataFrame, frequent, s: Settings) -> DataFrame:
+    """``node``: 32 bits of the keys of lists that get more than one entry.
+
+    A task enters equal sets once. Keys that agree in 32 bits only, and copies in different tasks, let
+    some more lists through.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held, size = [], 0
+
+        def taken() -> pa.RecordBatch:
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], ["node", "m"])
+
+        for batch in batches:
+            for _, _, block in blocks(batch.column(0)):
+                for keys in ordered_sets(block, frequent.value, s):
+                    name = node_of(keys) if len(keys) else None
+                    if len(keys) and name not in seen:
+                        seen.add(name)
+                        held.append((prefix_of(keys, s) & LIST_BITS).astype(np.uint32))
+                        size += len(held[-1])
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                if size > 4_000_000:
+                    yield taken()
+                    size = 0
+        if held:
+            yield taken()
+
+    rows = documents.select("text").mapInArrow(count, "node long, m long")
+    return rows.groupBy("node").agg(F.sum("m").alias("m")).where("m > 1").select("node")
+
+
+def row_keys() -> tuple[Column, Column]:
+    """Id, null ids last, and hash of the text (a null text has one of its own)."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(F.col("text").isNull(), F.col("text"))
+
+
+def described(documents: DataFrame, frequent, shared, s: Settings) -> DataFrame:
+    """``key, text_key, doc_id, node, n, prefix, bits``; the last two with a task's first copy of a set only.
+
+    ``prefix`` holds the keys whose lists the filter ``shared`` lets through.
+    """
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, mask = shared.value
         seen: set[int] = set()
         for batch in batches:
-            for lo, hi, block in blocks(batch.column(1)):
+            for lo, hi, block in blocks(batch.column(3)):
                 node, size, prefix, bits = [], [], [], []
                 for keys in ordered_sets(block, frequent.value, s):
                     n = len(keys)
                     name = node_of(keys) if n else None
-                    new = n > 0 and name not in seen
-                    if new:
+                    own = None
+                    if n and name not in seen:
                         seen.add(name)
+                        own = prefix_of(keys, s)
+                        own = own[in_filter(own & LIST_BITS, held, mask)]
+                    listed = own is not None and len(own) > 0
                     node.append(name)
                     size.append(n)
-                    prefix.append(keys[: n - needed(n, s) + 1].view(np.int64) if new else None)
-                    bits.append(bitmap(keys) if new else None)
+                    prefix.append(own.view(np.int64) if listed else None)
+                    bits.append(bitmap(keys) if listed else None)
                 if len(seen) > 1_000_000:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(node, pa.int64()), pa.array(size, pa.int64()),
+                    [*(c.slice(lo, hi - lo) for c in batch.columns[:3]), pa.array(node, pa.int64()), pa.array(size, pa.int64()),
                      pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                    ["doc_id", "node", "n", "prefix", "bits"],
+                    ["key", "text_key", "doc_id", "node", "n", "prefix", "bits"],
                 )
 
-    rows = documents.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(describe, "doc_id long, node long, n long, prefix array<long>, bits binary")
+    key, text_key = row_keys()
+    rows = documents.select(key.alias("key"), text_key.alias("text_key"), F.col("doc_id").cast("long"), "text")
+    return rows.mapInArrow(describe, "key long, text_key long, doc_id long, node long, n long, prefix array<long>, bits binary")
 
 
-def wanted_filter(nodes: DataFrame) -> tuple[np.ndarray, int]:
-    """A Bloom filter of nodes with one hash, at most 16 MB, built by Spark."""
+def filter_of(nodes: DataFrame) -> tuple[np.ndarray, int]:
+    """A one-hash filter of the numbers in ``node``, at most 16 MB, built by Spark: words and bit mask."""
     count = nodes.count()
     bits = 1 << 16
     while bits < 32 * count and bits < 1 << 27:
         bits *= 2
     place = F.col("node").bitwiseAND(F.lit(bits - 1))
     words = nodes.select(F.shiftrightunsigned(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast((node & {bits - 1}L) & 63 as int))").alias("bit"))
-    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    place, held = long_columns(words.groupBy("word").agg(F.bit_or("bit").alias("bits")))
     out = np.zeros(bits // 64, np.uint64)
-    out[rows.word.to_numpy(np.int64)] = rows.bits.to_numpy(np.int64).view(np.uint64)
-    return out, bits
+    out[place] = held.view(np.uint64)
+    return out, bits - 1
+
+
+def in_filter(numbers: np.ndarray, held: np.ndarray, mask: int) -> np.ndarray:
+    at = numbers & np.uint64(mask)
+    return (held[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def sets_of(documents: DataFrame, nodes: DataFrame, frequent, s: Settings) -> DataFrame:
-    """``node, n, keys`` of the wanted nodes, read from the texts again."""
-    wanted = documents.sparkSession.sparkContext.broadcast(wanted_filter(nodes))
+def sets_of(documents: DataFrame, wanted: DataFrame, frequent, s: Settings) -> DataFrame:
+    """``node, keys`` of at least the documents whose row key is in ``wanted`` (column ``node``)."""
+    listed = documents.sparkSession.sparkContext.broadcast(filter_of(wanted))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, bits = wanted.value
-        seen: set[int] = set()
+        held, mask = listed.value
         for batch in batches:
-            for _, _, block in blocks(batch.column(0)):
-                found = []
-                for keys in ordered_sets(block, frequent.value, s):
-                    if len(keys):
-                        name = node_of(keys)
-                        at = name & (bits - 1)
-                        if int(held[at >> 6]) >> (at & 63) & 1 and name not in seen:
-                            seen.add(name)
-                            found.append((name, len(keys), keys.tobytes()))
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                columns = list(zip(*found)) or [(), (), ()]
+            asked = in_filter(batch.column(0).to_numpy().view(np.uint64), held, mask)
+            for _, _, block in blocks(batch.column(1).filter(pa.array(asked))):
+                sets = [keys for keys in ordered_sets(block, frequent.value, s) if len(keys)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["node", "n", "keys"]
+                    [pa.array([node_of(keys) for keys in sets], pa.int64()), pa.array([keys.tobytes() for keys in sets], pa.binary())],
+                    ["node", "keys"],
                 )
 
-    rows = documents.select("text").mapInArrow(read, "node long, n long, keys binary")
-    return rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    rows = documents.select(row_keys()[0].alias("key"), "text").mapInArrow(read, "node long, keys binary")
+    return rows.groupBy("node").agg(F.first("keys").alias("keys"))
+
 
+def verified(documents: DataFrame, pairs: DataFrame, nodes: DataFrame, frequent, s: Settings) -> DataFrame:
+    """The pairs (``a, b``, size ``n`` of ``b``) that link. ``nodes`` has the ``key`` of a row of each node.
 
-def verified(documents: DataFrame, pairs: DataFrame, frequent, s: Settings) -> DataFrame:
-    """The pairs (``a, b``) that link: sets are gathered by the query ``a`` in bounded groups."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = stored(sets_of(documents, stored(nodes, "wanted"), frequent, s), "sets")
-    members = pairs.join(sets.withColumnsRenamed({"node": "b"}), "b")
-    load = members.groupBy("a").agg(F.sum("n").alias("load"))
+    Whole sets go to the groups that ask for them: those of one query ``a``, split by size.
+    """
+    load = pairs.groupBy("a").agg(F.sum("n").alias("load"))
     parts = load.select("a", F.expr(f"cast(ceil(load / {s.group}) as int)").alias("parts"))
-    members = members.join(parts, "a").select(
-        "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), F.col("b").alias("node"), "keys"
+    members = pairs.join(parts, "a").select(
+        F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role")
     )
-    queries = parts.join(sets.withColumnsRenamed({"node": "a"}), "a").select(
-        "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("node"), "keys"
+    queries = parts.select(
+        F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role")
     )
-    rows = queries.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", "role")
+    asked = stored(queries.unionByName(members), "asked")
+    wanted = asked.select("node").distinct().join(nodes.select("node", "key"), "node").select(F.col("key").alias("node"))
+    sets = sets_of(documents, stored(wanted, "wanted"), frequent, s)
+    rows = asked.join(sets, "node").repartition("a", "part").sortWithinPartitions("a", "part", "role")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, query, names, sets = None, None, [], []
+        a, query, names, sets = None, None, [], []
 
         def links() -> pa.RecordBatch:
             n, m = len(query), np.array([len(x) for x in sets], np.int64)
             least = -(-s.percent * (n + m) // (100 + s.percent))
             good = np.flatnonzero(t_occurrence(query, sets, least))
             return pa.RecordBatch.from_arrays(
-                [pa.array([key[0]] * len(good), pa.int64()), pa.array([names[k] for k in good], pa.int64())], ["a", "b"]
+                [pa.array([a] * len(good), pa.int64()), pa.array([names[k] for k in good], pa.int64())], ["a", "b"]
             )
 
         for batch in batches:
-            for a, part, role, node, keys in zip(*(c.to_pylist() for c in batch.columns)):
+            for head, role, node, keys in zip(*(batch.column(c).to_pylist() for c in ("a", "role", "node", "keys"))):
                 if role == 0:
                     if sets:
                         yield links()
-                    key, query, names, sets = (a, part), np.frombuffer(keys, np.uint64), [], []
+                    a, query, names, sets = head, np.frombuffer(keys, np.uint64), [], []
                 else:
                     names.append(node)
                     sets.append(np.frombuffer(keys, np.uint64))
@@ -301,32 +360,65 @@ def folded(words: np.ndarray) -> np.ndarray:
     return words[:, :half] ^ words[:, half:]
 
 
-def possible(n: np.ndarray, bits: list[bytes], i: np.ndarray, j: np.ndarray, s: Settings) -> np.ndarray:
-    """Which pairs of rows the bitmaps allow to link. ``n`` rises along the rows, so ``n[i] <= n[j]``."""
-    size = np.array([len(b) for b in bits])
-    out = np.ones(len(i), bool)
-    rows_of, place = {}, np.zeros(len(bits), np.int64)
-    for w in np.unique(size):
-        own = np.flatnonzero(size == w)
-        place[own] = np.arange(len(own))
-        rows_of[int(w)] = np.frombuffer(b"".join(bits[k] for k in own), np.uint64).reshape(len(own), -1)
-    for w, left in rows_of.items():
-        for v in (w, 2 * w):
-            own = np.flatnonzero((size[i] == w) & (size[j] == v))
-            if len(own):
-                right = rows_of[v] if v == w else folded(rows_of[v])
+class Bitmaps:
+    """Parity bitmaps of rows, laid out by their size."""
+
+    def __init__(self, bits: list[bytes]):
+        self.size = np.array([len(b) for b in bits], np.int64)
+        self.place = np.zeros(len(bits), np.int64)
+        self.rows, self.half = {}, {}
+        for w in np.unique(self.size).tolist():
+            own = np.flatnonzero(self.size == w)
+            self.place[own] = np.arange(len(own))
+            self.rows[w] = np.frombuffer(b"".join(bits[k] for k in own), np.uint64).reshape(len(own), -1)
+            self.half[w] = folded(self.rows[w]) if w > 8 else None
+
+    def possible(self, n: np.ndarray, i: np.ndarray, j: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs of rows may link, and the share of both sets that is known to differ.
+
+        ``n`` rises along the rows, so ``n[i] <= n[j]``.
+        """
+        may, differ = np.ones(len(i), bool), np.zeros(len(i))
+        left, right = self.size[i], self.size[j]
+        for w in np.unique(left).tolist():
+            for other, rows in ((w, self.rows.get(w)), (2 * w, self.half.get(2 * w))):
+                if rows is None:
+                    continue
+                own = np.flatnonzero((left == w) & (right == other))
                 for at in range(0, len(own), 1 << 14):
                     p = own[at : at + (1 << 14)]
-                    apart = np.bitwise_count(left[place[i[p]]] ^ right[place[j[p]]]).sum(1, dtype=np.int64)
+                    apart = np.bitwise_count(self.rows[w][self.place[i[p]]] ^ rows[self.place[j[p]]]).sum(1, dtype=np.int64)
                     total = n[i[p]] + n[j[p]]
-                    out[p] = (100 + s.percent) * ((total - apart) // 2) >= s.percent * total
-    return out
+                    may[p] = (100 + s.percent) * ((total - apart) // 2) >= s.percent * total
+                    differ[p] = apart / total
+        return may, differ
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Which of the links between components, in order, connect what those before have not."""
+    up: dict[int, int] = {}
 
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
 
-def listed_pairs(rows: DataFrame, s: Settings) -> DataFrame:
+    kept = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = top(x), top(y)
+        if x != y:
+            up[x] = y
+            kept.append(k)
+    return kept
+
+
+def listed_pairs(rows: DataFrame, s: Settings, likeliest: bool) -> DataFrame:
     """Pairs ``a, b`` of different components that share a list and may link.
 
     Rows (``key, node, n, root, bits``) of a list longer than a chunk are searched chunk against chunk.
+    ``likeliest`` keeps of the pairs found together only a forest over the components, those with the
+    least known difference first: fewer than rows.
     """
     sizes = rows.groupBy("key").agg(F.count("*").alias("m"))
     rows = rows.join(sizes.select("key", F.expr(f"cast(ceil(m / {s.chunk}) as int)").alias("parts")), "key")
@@ -357,11 +449,11 @@ def listed_pairs(rows: DataFrame, s: Settings) -> DataFrame:
 
     def found(t: pa.Table) -> pa.RecordBatch:
         key, x, y, own, node, n, root = (t.column(k).to_numpy() for k in ("key", "x", "y", "own", "node", "n", "root"))
-        bits = t.column("bits").to_pylist()
+        bits = Bitmaps(t.column("bits").to_pylist())
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
         group = np.cumsum(new)
-        alive, gap, pairs = np.arange(len(key)), 0, set()
+        alive, gap, pairs = np.arange(len(key)), 0, []
         while len(alive):
             gap += 1
             alive = alive[alive + gap < len(key)]
@@ -371,63 +463,88 @@ def listed_pairs(rows: DataFrame, s: Settings) -> DataFrame:
             open_ = (root[alive] != root[j]) & ((x[alive] == y[alive]) | (own[alive] != own[j]))
             i, k = alive[open_], j[open_]
             if len(i):
-                may = possible(n, bits, i, k, s)
-                pairs.update(zip(np.minimum(node[i], node[k])[may].tolist(), np.maximum(node[i], node[k])[may].tolist()))
-        columns = list(zip(*sorted(pairs))) or [(), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+                may, differ = bits.possible(n, i, k, s)
+                pairs.append((i[may], k[may], differ[may]))
+        i, k, differ = (np.concatenate(c) for c in zip(*pairs)) if pairs else (key[:0], key[:0], key[:0])
+        if likeliest:
+            order = np.lexsort((node[k], node[i], differ))
+            i, k = i[order], k[order]
+            kept = forest(root[i], root[k])
+            i, k = i[kept], k[kept]
+        both = np.unique(np.stack([np.minimum(node[i], node[k]), np.maximum(node[i], node[k])]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in both], ["a", "b"])
 
     return rows.mapInArrow(search, "a long, b long").distinct()
 
 
 def links(documents: DataFrame, docs: DataFrame, frequent, s: Settings) -> DataFrame:
     """Verified links (``a, b``) that connect every component of nodes."""
-    nodes = docs.where(F.col("prefix").isNotNull()).groupBy("node").agg(
-        F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")
-    )
-    nodes = stored(nodes, "nodes")
-    postings = nodes.select("node", "n", F.explode("prefix").alias("key"))
-    heads = postings.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1").drop("m")
-    lists = stored(postings.join(heads, "key"), "lists")
-
-    hubs = lists.where("node <> hub").select("node", "n", "hub").distinct()
+    first = docs.where("prefix is not null")
+    share = F.size("prefix") / (F.col("n") - F.ceil(F.col("n") * s.percent / 100) + 1)
+    postings = first.select("node", share.alias("share"), F.explode("prefix").alias("key"))
+    heads = postings.groupBy("key").agg(
+        F.max(F.struct("share", "node"))["node"].alias("hub"), F.min("node").alias("lo"), F.max("node").alias("hi")
+    ).where("lo <> hi").drop("lo", "hi")
+    lists = stored(postings.drop("share").join(heads, "key").distinct(), "lists")
+    nodes = first.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("key").alias("key"))
+    nodes = stored(nodes.join(lists.select("node").distinct(), "node", "left_semi"), "nodes")
+
+    met = lists.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("met"))
     side = nodes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("bits").alias("hub_bits"))
-    near = hubs.join(side, "hub").where(
-        (100 * F.least("n", "hub_n") >= s.percent * F.greatest("n", "hub_n"))
-    ).join(nodes.select("node", "bits"), "node")
+    near = met.join(nodes.drop("key"), "node").join(side, "hub").where(100 * F.least("n", "hub_n") >= s.percent * F.greatest("n", "hub_n"))
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, n, hub, hub_n = (batch.column(k).to_numpy() for k in range(4))
-            bits, hub_bits = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            n, hub_n = batch.column(1).to_numpy(), batch.column(3).to_numpy()
+            both = batch.column(4).to_pylist() + batch.column(5).to_pylist()
             size = np.concatenate([n, hub_n])
             order = np.argsort(size, kind="stable")
             back = np.empty(len(order), np.int64)
             back[order] = np.arange(len(order))
             i, j = back[: len(n)], back[len(n) :]
-            both = bits + hub_bits
-            may = possible(size[order], [both[k] for k in order], np.minimum(i, j), np.maximum(i, j), s)
-            yield pa.RecordBatch.from_arrays([pa.array(hub[may]), pa.array(node[may])], ["a", "b"])
-
-    first = stored(near.select("node", "n", "hub", "hub_n", "bits", "hub_bits").mapInArrow(sift, "a long, b long"), "hub-pairs")
-    first = stored(verified(documents, first, frequent, s), "hub-links")
+            may, _ = Bitmaps([both[k] for k in order]).possible(size[order], np.minimum(i, j), np.maximum(i, j), s)
+            yield pa.RecordBatch.from_arrays(
+                [c.filter(pa.array(may)) for c in (batch.column(0), batch.column(1), batch.column(2), batch.column(6))],
+                ["node", "n", "hub", "met"],
+            )
 
-    roots = stored(components(first), "roots")
-    marked = lists.drop("hub").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    marked = stored(marked, "marked")
-    several = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rows = marked.join(several, "key").join(nodes.select("node", "bits"), "node")
-    second = stored(listed_pairs(rows.select("key", "node", "n", "root", "bits"), s), "pairs")
-    return first.unionByName(stored(verified(documents, second, frequent, s), "links"))
+    sifted = near.select("node", "n", "hub", "hub_n", "bits", "hub_bits", "met").mapInArrow(sift, "node long, n long, hub long, met long")
+    best = sifted.groupBy("node").agg(F.max(F.struct("met", "hub", "n")).alias("best"))
+    pairs = stored(best.select(F.col("best.hub").alias("a"), F.col("node").alias("b"), F.col("best.n").alias("n")), "hub-pairs")
+    found = stored(verified(documents, pairs, nodes, frequent, s), "hub-links")
+    tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    for likeliest in (True, False):
+        roots = stored(components(found), "roots")
+        marked = lists.drop("hub").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        lists = stored(marked.join(several, "key").select("key", "node", "root"), "lists")
+        rows = lists.join(nodes.drop("key"), "node").select("key", "node", "n", "root", "bits")
+        pairs = stored(listed_pairs(rows, s, likeliest).join(tested, ["a", "b"], "left_anti"), "pairs")
+        sized = pairs.join(nodes.select(F.col("node").alias("b"), "n"), "b")
+        found = found.unionByName(stored(verified(documents, sized, nodes, frequent, s), "links"))
+        tested = tested.unionByName(pairs)
+        lists = lists.drop("root").withColumn("hub", F.lit(0))
+    return found
+
+
+def rooted(documents: DataFrame, s: Settings) -> DataFrame:
+    """``key, text_key, doc_id, n, root``: every row with a node of its component (null: no words).
+
+    ``key`` is the id, null ids last.
+    """
+    frequent = documents.sparkSession.sparkContext.broadcast(frequent_shingles(documents, s))
+    shared = stored(shared_lists(documents, frequent, s), "shared")
+    listed = documents.sparkSession.sparkContext.broadcast(filter_of(shared))
+    docs = stored(described(documents, frequent, listed, s), "described")
+    roots = stored(components(links(documents, docs, frequent, s)), "roots")
+    rows = docs.select("key", "text_key", "doc_id", "node", "n").join(roots, "node", "left")
+    return stored(rows.withColumn("root", F.coalesce("root", "node")).drop("node"), "rooted")
 
 
 def grouped(documents: DataFrame, s: Settings | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
-    s = s or Settings()
-    frequent = documents.sparkSession.sparkContext.broadcast(frequent_shingles(documents, s))
-    docs = stored(described(documents, frequent, s), "described")
-    roots = stored(components(links(documents, docs, frequent, s)), "roots")
-    rows = docs.select("doc_id", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = stored(rows, "rooted")
+    rows = rooted(documents, s or Settings())
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")
@@ -437,13 +554,20 @@ def grouped(documents: DataFrame, s: Settings | None = None) -> DataFrame:
 def one_of_each(documents: DataFrame, s: Settings | None = None) -> DataFrame:
     """One row of each group of linked documents, all columns as they are: that of the least id.
 
-    Documents without words are groups of their own. Of rows with one id, one stays.
+    Where several rows of a group have the least id, the one whose text hash is lowest stays. Rows
+    without words are groups of their own. Of rows equal in id and text one stays.
     """
-    kept = grouped(documents, s).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = stored(kept.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__key")), "kept")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    rows = documents.withColumn("__key", key).join(kept, "__key")
-    return rows.dropDuplicates(["__key"]).select(*documents.columns)
+    rows = rooted(documents, s or Settings())
+    names = (fresh(documents, "key"), fresh(documents, "text_key"))
+    same = F.struct("key", "text_key")
+    least = rows.where("root is not null").groupBy("root").agg(F.min(same).alias("least"))
+    stays = F.coalesce(F.col("least") == same, F.lit(True))
+    state = rows.join(least, "root", "left").groupBy("key", "text_key").agg(F.bool_or(stays).alias("stays"), F.count("*").alias("rows"))
+    state = stored(state.where("not stays or rows > 1").withColumnsRenamed(dict(zip(("key", "text_key"), names))), "state")
+    marked = documents.withColumns(dict(zip(names, row_keys())))
+    once = marked.join(state, list(names), "left_anti")
+    several = marked.join(state.where("stays").select(*names), list(names), "left_semi").dropDuplicates(list(names))
+    return once.unionByName(several).select(*documents.columns)
 
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
