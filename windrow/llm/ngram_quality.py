@@ -112,17 +112,24 @@ def fit(texts: pa.Array, labels: np.ndarray, unseen: np.ndarray, s: Settings) ->
     return w, *calibration(margin[unseen] if unseen.any() else margin, labels[unseen] if unseen.any() else labels)
 
 
-def calibration(margin: np.ndarray, labels: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Platt's sigmoid by Newton steps, with his smoothed targets."""
+def calibration(margin: np.ndarray, labels: np.ndarray, steps: int = 100) -> tuple[float, float]:
+    """Platt's sigmoid with his smoothed targets, by Newton steps halved until the loss falls."""
     good, bad = (labels == 1).sum(), (labels == 0).sum()
     target = np.where(labels == 1, (good + 1) / (good + 2), 1 / (bad + 2))
-    x = np.stack([margin, np.ones(len(margin))], 1)
-    theta = np.array([1.0, 0.0])
+    scale = max(float(np.abs(margin).max(initial=0)), 1e-9)
+    x = np.stack([margin / scale, np.ones(len(margin))], 1)
+    theta = np.array([0.0, np.log((good + 1) / (bad + 1))])
+    loss = lambda t: float((np.logaddexp(0, x @ t) - target * (x @ t)).sum())
     for _ in range(steps):
         p = sigmoid(x @ theta)
-        gradient = x.T @ (p - target) + 1e-6 * theta
-        theta -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(2), gradient)
-    return float(theta[0]), float(theta[1])
+        move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(2), x.T @ (p - target))
+        size = 1.0
+        while size > 1e-9 and loss(theta - size * move) > loss(theta):
+            size /= 2
+        theta = theta - size * move if size > 1e-9 else theta
+        if size <= 1e-9 or np.abs(size * move).max() < 1e-9:
+            break
+    return float(theta[0] / scale), float(theta[1])
 
 
 def train(documents: DataFrame, labels: DataFrame, s: Settings) -> tuple[np.ndarray, float, float] | None:
