@@ -413,20 +413,22 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
     return kept
 
 
-def listed_pairs(rows: DataFrame, s: Settings, likeliest: bool) -> DataFrame:
+def listed_pairs(lists: DataFrame, nodes: DataFrame, s: Settings, likeliest: bool) -> DataFrame:
     """Pairs ``a, b`` of different components that share a list and may link.
 
-    Rows (``key, node, n, root, bits``) of a list longer than a chunk are searched chunk against chunk.
+    Rows (``key, node, root``) of a list longer than a chunk are searched chunk against chunk; sizes and
+    bitmaps of ``nodes`` join them last.
     ``likeliest`` keeps of the pairs found together only a forest over the components, those with the
     least known difference first: fewer than rows.
     """
-    sizes = rows.groupBy("key").agg(F.count("*").alias("m"))
-    rows = rows.join(sizes.select("key", F.expr(f"cast(ceil(m / {s.chunk}) as int)").alias("parts")), "key")
+    sizes = lists.groupBy("key").agg(F.count("*").alias("m"))
+    rows = lists.join(sizes.select("key", F.expr(f"cast(ceil(m / {s.chunk}) as int)").alias("parts")), "key")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select(
-        "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "n", "root", "bits"
+        "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "root"
     )
+    rows = rows.join(nodes.select("node", "n", "bits"), "node").select("key", "x", "y", "own", "node", "n", "root", "bits")
     rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "n")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -519,8 +521,7 @@ def links(documents: DataFrame, docs: DataFrame, frequent, s: Settings) -> DataF
         marked = lists.drop("hub").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         several = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
         lists = stored(marked.join(several, "key").select("key", "node", "root"), "lists")
-        rows = lists.join(nodes.drop("key"), "node").select("key", "node", "n", "root", "bits")
-        pairs = stored(listed_pairs(rows, s, likeliest).join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = stored(listed_pairs(lists, nodes, s, likeliest).join(tested, ["a", "b"], "left_anti"), "pairs")
         sized = pairs.join(nodes.select(F.col("node").alias("b"), "n"), "b")
         found = found.unionByName(stored(verified(documents, sized, nodes, frequent, s), "links"))
         tested = tested.unionByName(pairs)
@@ -558,16 +559,28 @@ def one_of_each(documents: DataFrame, s: Settings | None = None) -> DataFrame:
     without words are groups of their own. Of rows equal in id and text one stays.
     """
     rows = rooted(documents, s or Settings())
-    names = (fresh(documents, "key"), fresh(documents, "text_key"))
+    names = [fresh(documents, "key"), fresh(documents, "text_key")]
     same = F.struct("key", "text_key")
     least = rows.where("root is not null").groupBy("root").agg(F.min(same).alias("least"))
     stays = F.coalesce(F.col("least") == same, F.lit(True))
     state = rows.join(least, "root", "left").groupBy("key", "text_key").agg(F.bool_or(stays).alias("stays"), F.count("*").alias("rows"))
     state = stored(state.where("not stays or rows > 1").withColumnsRenamed(dict(zip(("key", "text_key"), names))), "state")
-    marked = documents.withColumns(dict(zip(names, row_keys())))
-    once = marked.join(state, list(names), "left_anti")
-    several = marked.join(state.where("stays").select(*names), list(names), "left_semi").dropDuplicates(list(names))
-    return once.unionByName(several).select(*documents.columns)
+    # a filter passes most rows without a shuffle; only those it names are joined
+    number = F.xxhash64(*names)
+    listed = documents.sparkSession.sparkContext.broadcast(filter_of(state.select(number.alias("node"))))
+
+    def sifted(named: bool) -> DataFrame:
+        def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = in_filter(batch.column(batch.num_columns - 1).to_numpy().view(np.uint64), *listed.value)
+                yield batch.filter(pa.array(found == named)).select(range(batch.num_columns - 1))
+
+        marked = documents.withColumns(dict(zip(names, row_keys())))
+        return marked.withColumn(fresh(marked, "number"), number).mapInArrow(sift, marked.schema)
+
+    once = sifted(True).join(state, names, "left_anti")
+    several = sifted(True).join(state.where("stays").select(*names), names, "left_semi").dropDuplicates(names)
+    return sifted(False).unionByName(once).unionByName(several).select(*documents.columns)
 
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
