@@ -261,4 +261,5 @@ def accepted(documents: DataFrame, labels: DataFrame, s: Settings | None = None)
 
 @query()
 def op5_attention_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document by attention over its passages."""
     return classified(table(spark, folder, "documents"), table(spark, folder, "labels"))

@@ -95,4 +95,5 @@ def interleaved(documents: DataFrame, s: Settings | None = None) -> DataFrame:
 
 @query()
 def op4_interleave(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard and slot of every document, every shard with the mixture of the whole."""
     return interleaved(table(spark, folder, "documents"))

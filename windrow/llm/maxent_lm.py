@@ -344,4 +344,5 @@ def scored(documents: DataFrame, s: Settings | None = None) -> DataFrame:
 
 @query()
 def op7_maxent_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document under the counts and under the model."""
     return scored(table(spark, folder, "documents"))

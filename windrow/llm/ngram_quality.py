@@ -218,4 +218,5 @@ def quality_rules(documents: DataFrame, labels: DataFrame, s: Settings | None =
 
 @query()
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts, probability of good quality and verdict of every document."""
     return quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))

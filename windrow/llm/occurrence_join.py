@@ -164,7 +164,7 @@ def frequent_shingles(documents: DataFrame, s: Settings) -> np.ndarray:
             for _, _, block in blocks(batch.column(0)):
                 held.append(np.concatenate([x[x < limit] for x in ordered_sets(block, np.zeros(0, np.uint64), s)]))
                 size += len(held[-1])
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield taken()
                     size = 0
         if held:
@@ -214,9 +214,9 @@ def shared_lists(documents: DataFrame, frequent, s: Settings) -> DataFrame:
                         seen.add(name)
                         held.append((prefix_of(keys, s) & LIST_BITS).astype(np.uint32))
                         size += len(held[-1])
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield taken()
                     size = 0
         if held:
@@ -256,7 +256,7 @@ def described(documents: DataFrame, frequent, shared, s: Settings) -> DataFrame:
                     size.append(n)
                     prefix.append(own.view(np.int64) if listed else None)
                     bits.append(bitmap(keys) if listed else None)
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays(
                     [*(c.slice(lo, hi - lo) for c in batch.columns[:3]), pa.array(node, pa.int64()), pa.array(size, pa.int64()),
@@ -336,7 +336,7 @@ def verified(documents: DataFrame, pairs: DataFrame, nodes: DataFrame, frequent,
                 [pa.array([a] * len(good), pa.int64()), pa.array([names[k] for k in good], pa.int64())], ["a", "b"]
             )
 
-        for batch in batches:
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             for head, role, node, keys in zip(*(batch.column(c).to_pylist() for c in ("a", "role", "node", "keys"))):
                 if role == 0:
                     if sets:
@@ -602,4 +602,5 @@ FROM docs d LEFT JOIN sizes USING (r) JOIN reach ON reach.a = d.r JOIN docs e ON
 
 @query(ORACLE)
 def op6_occurrence_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every document under shingle similarity of 0.8."""
     return grouped(table(spark, folder, "documents"))

@@ -155,4 +155,5 @@ def packed(documents: DataFrame, s: Settings) -> DataFrame:
 
 @query()
 def op9_open_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens."""
     return packed(table(spark, folder, "documents"), Settings(known_path("word_bpe_49k.json")))

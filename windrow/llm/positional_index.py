@@ -176,4 +176,5 @@ FROM docs LEFT JOIN spots USING (r) LEFT JOIN named USING (r)
 
 @query(ORACLE)
 def op2_positional_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Words hit by benchmark windows and the items they are of, per document."""
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("n_near")

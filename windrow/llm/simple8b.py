@@ -178,6 +178,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op3_simple8b(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids written to Simple-8b files and read back, per document."""
     target = new_folder(spark, "simple8b")
     write(table(spark, folder, "documents"), target, Settings(known_path("byte_bpe_50k.json")))
     return read(spark, target)

@@ -203,4 +203,5 @@ def accepted(documents: DataFrame, s: Settings | None = None) -> DataFrame:
 
 @query()
 def op8_subword_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, and whether it is accepted."""
     return identified(table(spark, folder, "documents"))

@@ -2,7 +2,7 @@
 
 A ``Block`` is a run of texts laid end to end as UTF-8 bytes with document offsets. All results are
 arrays over the whole block, with per-document sums taken from running totals, so no Python loop
-touches a character or a word. Blocks are cut to a few MB, which bounds memory whatever the batch.
+touches a character or a word. Blocks are cut to about a MB, which bounds memory whatever the batch.
 
 64-bit hashes stand for words, lines and windows. They are polynomial in the bytes; two different
 strings of one text collide with a chance of about 2**-64.
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
