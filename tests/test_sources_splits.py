@@ -76,7 +76,7 @@ def test_annotation_golden_bytes(spark):
 
 
 @pytest.mark.parametrize("tail,what", [
-    ("00EC0B00", "truncated"), ("0080" + "0000", "unterminated"), ("0084" + "0000", "offset without"),
+    ("00EC0B00", "inside a skip"), ("0080" + "0000", "unterminated"), ("0084" + "0000", "offset without"),
     ("0080" + "0080" + "0000", "alternate"), ("0080" + "0084" + "0000", "<= onset"),
 ])
 def test_bad_annotations_become_rows(spark, tail, what):
@@ -91,9 +91,9 @@ def test_cross_validation(spark):
     b = spark.createDataFrame([("a", 11, 20), ("b", 410, 20), ("d", 1, 2)], schema)
     got = sorted(r["problem"] for r in lb.cross_validate(a, b).collect())
     assert got == [
-        "b seizure 1: summary 10-20s vs annotation 410-20s",
-        "c: summary has 1 seizures, annotations have 0",
-        "d: summary has 0 seizures, annotations have 1",
+        "b: interval 1 is 10..20 against 410..20",
+        "c: 1 against 0 intervals",
+        "d: 0 against 1 intervals",
     ]
     assert lb.cross_validate(a, a).count() == 0
 
@@ -159,6 +159,8 @@ def test_header_errors(spark):
 
 def test_headers_without_usable_records_are_error_rows(spark):
     """A record length of zero or below, or no signals, makes an error row and the job goes on."""
+    from recording_files import recording
+
     good = recording(["FP1-F7"], 4, 2, [[0.0] * 8])
     put = lambda at, field: good[:at] + field.ljust(8 if at == 244 else 4) + good[at + (8 if at == 244 else 4) :]
     files = {"good": good, "zero": put(244, b"0"), "minus": put(244, b"-1"), "word": put(244, b"x"), "none": put(252, b"0")}
