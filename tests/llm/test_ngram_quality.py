@@ -63,3 +63,25 @@ def test_one_class_of_labels_leaves_the_base_rules(labelled):
 
 def test_empty_table(no_docs, labelled):
     assert nq.quality_rules(no_docs, labelled[1]).count() == 0
+
+
+@pytest.mark.parametrize("last", [None, "", " \n"])
+def test_a_fitted_model_scores_texts_without_words(labelled, messy_rows, spark, last):
+    """Also where such a text ends a block, and each text as if it were alone."""
+    docs, labels = labelled
+    rows = [(1000 + k, r[1]) for k, r in enumerate(messy_rows)] + [(2000, last)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in nq.quality_rules(docs.select("doc_id", "text").unionByName(odd), labels).collect()}
+    assert len(got) == docs.count() + len(rows) and got[2000].n_words == 0 and not got[2000].kept
+    same = {}
+    for k, text in rows:
+        same.setdefault(text, set()).add(round(got[k].quality_prob, 9))
+    assert all(len(p) == 1 for p in same.values()) and same.get("", same[last]) == same[None]
+
+
+def test_margins_of_a_block_equal_those_of_its_texts(messy_rows):
+    weights = np.random.default_rng(2).normal(size=1 << 12)
+    texts = [r[1] for r in messy_rows] + ["a b", None, "one", ""]
+    ((_, _, whole),) = nq.blocks(nq.pa.array(texts))
+    alone = [nq.margins(b, weights, 12)[0] for t in texts for _, _, b in nq.blocks(nq.pa.array([t], nq.pa.string()))]
+    assert np.allclose(nq.margins(whole, weights, 12), alone)

@@ -52,9 +52,10 @@ def families(block: Block, bits: int) -> list[tuple[np.ndarray, np.ndarray, np.n
     single = (h >> shift).astype(np.uint32)
     pairs = (mixed(h[:-1] * np.uint64(3) + h[1:]) >> shift).astype(np.uint32)
     pairs[h[:-1] == h[1:]] = REPEATED
+    opening = np.minimum(first[:-1], len(pairs))  # a wordless text after the last word has no pair to begin at
     return [
         (single, first[:-1], first[1:]),
-        (pairs, first[:-1], np.maximum(first[1:] - 1, first[:-1])),
+        (pairs, opening, np.maximum(first[1:] - 1, opening)),
         block.grams(3, bits, 1),
         block.grams(4, bits, 2),
     ]
