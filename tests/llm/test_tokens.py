@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from windrow.llm import open_windows as ow
 from windrow.llm import simple8b as s8
-from windrow.llm.tokens import encoder, known_path
+from windrow.llm.tokens import encoded, encoder, known_path
 from windrow.llm.textblock import blocks
 
 BYTES, WORDS = known_path("byte_bpe_50k.json"), known_path("word_bpe_49k.json")
@@ -135,3 +135,36 @@ def test_packing_wastes_little(make_docs):
 
 def test_packing_an_empty_table(no_docs):
     assert ow.packed(no_docs, ow.Settings(WORDS)).count() == 0
+
+
+def by_default(path, texts):
+    from tokenizers import Tokenizer
+
+    return [e.ids for e in Tokenizer.from_file(path).encode_batch(list(texts), add_special_tokens=False)]
+
+
+SPECIAL = st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>"])
+
+
+@pytest.mark.parametrize("path, spaced", [(BYTES, True), (WORDS, False)])
+@settings(max_examples=150, deadline=None)
+@given(texts=st.lists(st.lists(PIECES | SPECIAL, max_size=12).map("".join), min_size=1, max_size=5))
+def test_ids_of_the_queries_equal_the_library_by_default(path, spaced, texts):
+    """Special tokens in a text have the ids the library gives them without any switch."""
+    got = [ids.tolist() for _, ids in encoded(pa.array(texts, pa.string()), path, spaced, 7)]
+    assert got == [[*x, 7] for x in by_default(path, texts)]
+
+
+def test_special_tokens_in_files_and_sequences(make_docs, tmp_path, spark):
+    texts = ["a b <|endoftext|> c", "<|startoftext|>a<|endoftext|>", "plain"]
+    docs = make_docs([(k, t, "en", "s", None, 0, "", 0.0, 0) for k, t in enumerate(texts)])
+    s8.write(docs, str(tmp_path / "ids"), s8.Settings(BYTES))
+    want = [np.array([*x, s8.Settings(BYTES).end], "<u4") for x in by_default(BYTES, texts)]
+    got = s8.read(spark, str(tmp_path / "ids")).orderBy("start").collect()
+    assert want[0][:-1].tolist() == [64, 275, 220, 50256, 269]
+    assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in got] == [(k, len(x), zlib.crc32(x.tobytes())) for k, x in enumerate(want)]
+    s = ow.Settings(WORDS)
+    rows = {r.doc_id: r for r in ow.packed(docs, s).collect()}
+    for k, x in enumerate(by_default(WORDS, texts)):
+        ids = np.array([*x, s.end], "<u4")
+        assert (rows[k].doc_tokens, rows[k].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))

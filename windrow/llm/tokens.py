@@ -29,14 +29,18 @@ def known_path(name: str) -> str:
 
 
 class Encoder:
-    """Ids of blocks of texts. ``spaced``: the tokenizer has ids for white space (else it drops it)."""
+    """Ids of blocks of texts. ``spaced``: the tokenizer has ids for white space (else it drops it).
 
-    def __init__(self, path: str, spaced: bool, room: int = 1_500_000):
+    ``literal``: special tokens that stand in a text are read as plain characters, not as the library's
+    default has it, by which they get their own ids.
+    """
+
+    def __init__(self, path: str, spaced: bool, room: int = 1_500_000, literal: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
         self.spaced, self.room = spaced, room
         self._forget()
 
@@ -130,14 +134,14 @@ class Encoder:
 
 
 @cache
-def encoder(path: str, spaced: bool) -> Encoder:
+def encoder(path: str, spaced: bool, literal: bool = True) -> Encoder:
     """One per Python worker, so its table lives on from task to task."""
-    return Encoder(path, spaced)
+    return Encoder(path, spaced, literal=literal)
 
 
 def encoded(texts: pa.Array, path: str, spaced: bool, end: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Row and ids with the end id, text by text."""
-    coder = encoder(path, spaced)
+    """Row and ids by the library's defaults with the end id, text by text."""
+    coder = encoder(path, spaced, literal=False)
     for lo, _, block in blocks(texts):
         ids, offsets = coder.encode(block)
         closed = np.insert(ids, offsets[1:], end)
