@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from windrow.llm import maxent_lm as lm
 
@@ -77,3 +78,15 @@ def test_no_training_rows(no_docs, make_docs, crc_of):
     held = next(k for k in range(1000) if crc_of(k) % 10 == 0)
     (row,) = lm.scored(make_docs([(held, "a b", "en", "s", None, 0, "", 0.0, 0)])).collect()
     assert (row.train_tokens, row.n_known, row.n_tokens) == (0, 0, 3) and abs(row.base_score) < 1e-9
+
+
+def test_every_position_is_learned_from(make_docs):
+    """Each n-gram and skip feature of every training document has moved its row of the table."""
+    texts = [f"a{k} b{k} c{k}" for k in range(40)]  # four tokens each, with the end
+    docs = make_docs([(k, t, "en", "s", None, 0, "", 0.0, 0) for k, t in enumerate(texts)]).select("doc_id", "text")
+    ((_, _, block),) = lm.blocks(pa.array(texts))
+    h, first = lm.token_stream(block)
+    lexicon, s = lm.Lexicon(np.unique(h)), lm.Settings()
+    classes, bias = np.arange(lexicon.size + 1) % 5, np.zeros(5, np.float32)
+    moved = (lm.trained(docs, lexicon, classes, bias, s) != 0).any(1)
+    assert moved[lm.features(h, first, s.bits)].all()

@@ -11,7 +11,7 @@ vocabulary share one class, inside which smoothed corpus counts decide, so unsee
 probability too. Scoring is one pass over sparse NumPy batches.
 
 What is gathered grows with the corpus: counts of all words of all training documents, and gradients
-over every ``stride``-th position of every training document. Counts of the ``lookups`` most frequent words
+over all positions of every training document (``stride`` 1). Counts of the ``lookups`` most frequent words
 (16 bytes each, so bounded) and the weights are broadcast; all other words are joined with their counts
 by shuffle, (document, word) pairs aggregated first. Words are known by 64-bit hashes.
 
@@ -48,7 +48,7 @@ class Settings:
     bands: int = 8  # frequency bands of a cluster
     bits: int = 14  # rows of the hashed table
     rounds: int = 2
-    stride: int = 4  # a round learns from every so-many-th position
+    stride: int = 1  # a round learns from every so-many-th position of its documents; 1 is all of them
     batch: int = 4096
     rate: float = 0.3
     alpha: float = 0.1
