@@ -212,3 +212,10 @@ def test_every_query_has_a_note_and_oracles_belong_to_queries():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert all(f.__doc__ for f in e.queries().values())
+
+
+def test_queries_fit_all_models():
+    from windrow.fixed_values import MODELS
+    from windrow.plans.learning import SETTINGS
+
+    assert set(SETTINGS.training.models) == set(MODELS) == {"dummy", "logreg", "rf", "hgb"}

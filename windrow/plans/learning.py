@@ -20,7 +20,7 @@ COLUMNS = [f"f{i}" for i in range(fx.VALUES)]
 SETTINGS = Settings(
     windowing=Windowing(10.0, 10.0, 0.5, 30.0, sample_rate=1),
     splits=Splits(n_val_subjects=3),
-    training=Training(models=("dummy", "logreg")),
+    training=Training(),
 )
 
 
