@@ -10,6 +10,7 @@ from windrow.llm import (  # noqa: F401
     positional_index,
     simple8b,
     subword_language,
+    token_alignment,
     wrapper,
 )
 from windrow.llm.registry import ORACLES, QUERIES  # noqa: F401
