@@ -24,12 +24,13 @@ documents of their own in the counts; a null ``doc_id`` stays null; an empty tab
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +64,7 @@ class Settings:
     byte_level: str = ""  # file of tokenizer A, byte-level BPE
     pieces: str = ""  # file of tokenizer B, sentencepiece with byte fallback
     bucket: int = 4 << 20  # bytes of text after which a bucket is closed
-    room: int = 300_000  # units a worker remembers
+    room: int = 500_000  # units a worker remembers
 
 
 def byte_of_sign() -> dict[str, int]:
@@ -74,32 +75,70 @@ def byte_of_sign() -> dict[str, int]:
     return signs | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class Aligned:
-    """Groups of one stretch of text."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "n_links", "links", "text")
-
-    def __init__(self, a: list[int], b: list[int], cuts: list[tuple[int, int]]):
-        """``cuts``: how many tokens of A and of B lie before each cut, the end being the last."""
-        self.n_a, self.n_b, self.n_groups, self.n_links = len(a), len(b), len(cuts), 0
-        links: dict[int, int] = {}
-        parts, i, j = [], 0, 0
-        for x, y in cuts:
-            left, right = a[i:x], b[j:y]
-            self.n_links += len(left) * len(right)
-            if len(left) == 1 and len(right) == 1:
-                key = (left[0] << 32) | right[0]
-                links[key] = links.get(key, 0) + 1
-            else:
-                many = Counter(right).items()
-                for p, m in Counter(left).items():
-                    for q, n in many:
-                        key = (p << 32) | q
-                        links[key] = links.get(key, 0) + m * n
-            parts.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-            i, j = x, y
-        self.links = links
-        self.text = ";".join(parts).encode()
+@dataclass
+class Alignments:
+    """Groups and links of many stretches of text; all arrays run over the stretches."""
+
+    good: np.ndarray  # whether the bytes of both sides come back
+    totals: np.ndarray  # n_a, n_b, n_groups, n_links
+    edge: np.ndarray  # where a stretch's links begin, with the end
+    links: np.ndarray  # (id of A << 32) | id of B, distinct within a stretch
+    times: np.ndarray  # how often each is linked
+    text: np.ndarray  # "a1,a2|b1;a3|b2,b3;" as bytes
+
+
+class Side:
+    """Tokens of all stretches in a row.
+
+    ``spaced`` for the side that adds a space itself: where it is the stretch's own first space, spans move by
+    it; elsewhere the token of the added space is left out.
+    """
+
+    def __init__(self, ids: list[list[int]], spans: list[list], lengths: np.ndarray, spaced: np.ndarray | None = None):
+        self.count = np.fromiter(map(len, ids), np.int64, len(ids))
+        n = int(self.count.sum())
+        self.ids = np.fromiter(chain.from_iterable(ids), np.int64, n)
+        flat = np.fromiter(chain.from_iterable(chain.from_iterable(spans)), np.int64, 2 * n).reshape(-1, 2)
+        self.begin, self.end = flat[:, 0], flat[:, 1]
+        self.own = np.repeat(np.arange(len(ids)), self.count)
+        if spaced is not None:
+            head = np.cumsum(self.count) - self.count
+            shift = spaced[self.own].astype(np.int64)
+            self.begin, self.end = self.begin + shift, self.end + shift
+            self.begin[head[spaced]] = 0
+            kept = np.ones(n, bool)
+            kept[head[~spaced]] = False
+            self.ids, self.begin, self.end, self.own = self.ids[kept], self.begin[kept], self.end[kept], self.own[kept]
+            self.count = self.count - ~spaced
+        self.first = np.concatenate([[0], np.cumsum(self.count)])
+        self.last = np.zeros(len(self.ids), bool)
+        self.last[self.first[1:][self.count > 0] - 1] = True
+        total = np.concatenate([[0], np.cumsum(lengths[self.ids])])
+        self.byte_end = total[1:] - total[self.first[self.own]]  # within its stretch
+        self.size = total[self.first[1:]] - total[self.first[:-1]]
+
+
+class Pool:
+    """The bytes of every token of a vocabulary, end to end."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.length = np.array([len(t) for t in tokens], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.body = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decoded(self, ids: np.ndarray) -> np.ndarray:
+        size = self.length[ids]
+        return self.body[np.repeat(self.start[ids] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+
+
+def rendered(n: int, ends: str) -> list[np.ndarray]:
+    """For each of ``ends``, the decimal ids below ``n`` with it behind them."""
+    out = []
+    for end in ends:
+        one = np.empty(n, object)
+        one[:] = [f"{k}{end}".encode() for k in range(n)]
+        out.append(one)
+    return out
 
 
 class Pair:
@@ -113,73 +152,110 @@ class Pair:
         self.a = Tokenizer.from_file(byte_level)
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=pieces)
-        byte = byte_of_sign()
-        self.a_bytes: dict[int, bytes] = {}
-        for entry, k in self.a.get_vocab(with_added_tokens=True).items():
-            known = all(c in byte for c in entry)
-            self.a_bytes[k] = bytes(byte[c] for c in entry) if known else entry.encode()
+        byte, entries = byte_of_sign(), self.a.get_vocab(with_added_tokens=True)
+        self.a_bytes = [b""] * (max(entries.values()) + 1)
+        for entry, k in entries.items():
+            self.a_bytes[k] = bytes(byte[c] for c in entry) if all(c in byte for c in entry) else entry.encode()
         names = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
-        self.b_falls = [self.b.is_byte(k) for k in range(len(names))]
+        self.b_falls = np.array([self.b.is_byte(k) for k in range(len(names))])
         self.b_bytes = [
             bytes([int(n[3:5], 16)]) if f else n.replace(SPACE_SIGN, " ").encode() for n, f in zip(names, self.b_falls)
         ]
+        self.pools = Pool(self.a_bytes), Pool(self.b_bytes)
+        self.signs = rendered(len(self.a_bytes), ",|"), rendered(len(names), ",;")
         # white space that a piece holds behind its start would make a unit's pieces differ from the text's
         self.joined = sorted({c for n in names for c in n if c in " \t\n\v\f\r"})
-
-    def align(self, texts: list[str]) -> list[Aligned | None]:
-        """One result for each text that begins with white space; None where the bytes do not come back."""
-        if not texts:
-            return []
-        left = self.a.encode_batch(texts, add_special_tokens=False)
-        right = self.b.encode([t[1:] if t[0] == " " else t for t in texts], return_type="offset_mapping", num_threads=1)
-        return [self._one(t, x.ids, x.offsets, y["ids"], y["offsets"]) for t, x, y in zip(texts, left, right)]
-
-    def _one(self, text: str, a: list[int], spans: list, b: list[int], pieces: list) -> Aligned | None:
-        if text == " ":  # B adds no space to an empty text
-            b, pieces = [self.b.piece_to_id(SPACE_SIGN)], [(0, 1)]
-        elif text[0] == " ":
-            pieces = [(p + 1, q + 1) for p, q in pieces]
-            pieces[0] = (0, pieces[0][1])
-        elif self.b_bytes[b[0]] == b" ":  # the space that B adds itself
-            b, pieces = b[1:], pieces[1:]
-        else:
-            return None
-        sizes_a, sizes_b = [len(self.a_bytes[k]) for k in a], [len(self.b_bytes[k]) for k in b]
-        whole = text.encode()
-        if b"".join([self.a_bytes[k] for k in a]) != whole or b"".join([self.b_bytes[k] for k in b]) != whole:
-            return None
+        self.space = self.b.piece_to_id(SPACE_SIGN)
+
+    def align(self, texts: list[str]) -> Alignments:
+        """The alignment of each of ``texts``, which begin with white space."""
+        found = self.a.encode_batch(texts, add_special_tokens=False)
+        a = Side([x.ids for x in found], [x.offsets for x in found], self.pools[0].length)
+        spaced = np.array([t[0] == " " for t in texts])
+        found = self.b.encode([t[1:] if t[0] == " " else t for t in texts], return_type="offset_mapping", num_threads=1)
+        for k in [k for k, x in enumerate(found) if not x["ids"]]:  # B adds no space to an empty text
+            found[k] = {"ids": [self.space], "offsets": [(0, 0)]}
+        b = Side([x["ids"] for x in found], [x["offsets"] for x in found], self.pools[1].length, spaced)
+        raw = [t.encode() for t in texts]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        chars = np.fromiter(map(len, texts), np.int64, len(texts))
+        good = self._faithful(a, b, b"".join(raw), size)
+        cut_a, cut_b = self._cuts(a, b, chars, size, good)
+        return self._grouped(a, b, cut_a, cut_b, good)
+
+    def _faithful(self, a: Side, b: Side, raw: bytes, size: np.ndarray) -> np.ndarray:
+        """Whether the decoded tokens of both sides are the bytes of the text."""
+        good = np.ones(len(size), bool)
+        body, edge = np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum(size)])
+        for side, pool in ((a, self.pools[0]), (b, self.pools[1])):
+            good &= side.size == size
+            same = np.repeat(good, size)
+            got = pool.decoded(side.ids[good[side.own]])
+            wrong = np.flatnonzero(got != body[same])
+            good[np.searchsorted(edge, np.flatnonzero(same)[wrong], "right") - 1] = False
+        return good
+
+    def _cuts(self, a: Side, b: Side, chars: np.ndarray, size: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of A and of B behind which a cut lies; as many on both sides."""
+        base = np.cumsum(chars + 1) - chars - 1
         # A closes at a character if the next token begins there or later, B where a piece covers characters
-        closes_a = {q: i + 1 for i, (_, q) in enumerate(spans) if i + 1 == len(a) or spans[i + 1][0] >= q}
-        closes_b = {q: j + 1 for j, (p, q) in enumerate(pieces) if q > p}
-        coarse = sorted(closes_a.keys() & closes_b.keys())
-        cuts, i, j, at = [], 0, 0, 0
-        for c in coarse:
-            x, y = closes_a[c], closes_b[c]
-            if x - i > 1 and y - j > 1 and not (text[at:c].isascii() and not any(self.b_falls[k] for k in b[j:y])):
-                cuts += refined(sizes_a, sizes_b, i, x, j, y)
-            else:
-                cuts.append((x, y))
-            i, j, at = x, y, c
-        if (i, j) != (len(a), len(b)):
-            cuts += refined(sizes_a, sizes_b, i, len(a), j, len(b))
-        return Aligned(a, b, cuts)
-
-
-def refined(sizes_a: list[int], sizes_b: list[int], i: int, x: int, j: int, y: int) -> list[tuple[int, int]]:
-    """Cuts among tokens ``i..x`` and ``j..y`` where the bytes of both end."""
-    out, p, q = [], sizes_a[i], sizes_b[j]
-    i, j = i + 1, j + 1
-    while True:
-        if p == q:
-            out.append((i, j))
-            if i == x and j == y:
-                return out
-            p, q = p + sizes_a[i], q + sizes_b[j]
-            i, j = i + 1, j + 1
-        elif p < q:
-            p, i = p + sizes_a[i], i + 1
-        else:
-            q, j = q + sizes_b[j], j + 1
+        closes_a = a.last.copy()
+        closes_a[:-1] |= a.begin[1:] >= a.end[:-1]
+        closes_b = b.end > b.begin
+        at_a, at_b = np.flatnonzero(closes_a & good[a.own]), np.flatnonzero(closes_b & good[b.own])
+        _, i, j = np.intersect1d(base[a.own[at_a]] + a.end[at_a], base[b.own[at_b]] + b.end[at_b], assume_unique=True, return_indices=True)
+        cut_a, cut_b = at_a[i], at_b[j]
+        # groups of several tokens on both sides in which characters are not bytes get finer cuts
+        group_a, group_b = np.searchsorted(cut_a, np.arange(len(a.ids))), np.searchsorted(cut_b, np.arange(len(b.ids)))
+        n = len(cut_a) + 1
+        odd = np.zeros(n, bool)
+        odd[group_b[self.b_falls[b.ids]]] = True
+        odd[group_a[self.pools[0].length[a.ids] != a.end - a.begin]] = True
+        odd[group_b[self.pools[1].length[b.ids] != b.end - b.begin]] = True
+        odd &= (np.bincount(group_a, minlength=n) > 1) & (np.bincount(group_b, minlength=n) > 1)
+        in_a, in_b = np.flatnonzero(odd[group_a] & good[a.own]), np.flatnonzero(odd[group_b] & good[b.own])
+        base = np.cumsum(size + 1) - size - 1
+        _, i, j = np.intersect1d(base[a.own[in_a]] + a.byte_end[in_a], base[b.own[in_b]] + b.byte_end[in_b], assume_unique=True, return_indices=True)
+        return np.union1d(cut_a, in_a[i]), np.union1d(cut_b, in_b[j])
+
+    def _grouped(self, a: Side, b: Side, cut_a: np.ndarray, cut_b: np.ndarray, good: np.ndarray) -> Alignments:
+        keep_a, keep_b = np.flatnonzero(good[a.own]), np.flatnonzero(good[b.own])
+        ids_a, ids_b = a.ids[keep_a], b.ids[keep_b]
+        group_a, group_b = np.searchsorted(cut_a, keep_a), np.searchsorted(cut_b, keep_b)
+        n, own = len(cut_a), a.own[cut_a]
+        many_a, many_b = np.bincount(group_a, minlength=n), np.bincount(group_b, minlength=n)
+        totals = np.zeros((len(good), 4), np.int64)
+        totals[:, 0], totals[:, 1] = np.where(good, a.count, 0), np.where(good, b.count, 0)
+        totals[:, 2] = np.bincount(own, minlength=len(good))
+        np.add.at(totals[:, 3], own, many_a * many_b)
+        # distinct ids of a group on both sides with their counts, then all pairs of these
+        code_a, times_a = np.unique(group_a << 32 | ids_a, return_counts=True)
+        code_b, times_b = np.unique(group_b << 32 | ids_b, return_counts=True)
+        kinds_b = np.bincount(code_b >> 32, minlength=n)
+        first_b = np.cumsum(kinds_b) - kinds_b
+        reach = kinds_b[code_a >> 32]
+        left = np.repeat(np.arange(len(code_a)), reach)
+        right = np.repeat(first_b[code_a >> 32] - np.cumsum(reach) + reach, reach) + np.arange(int(reach.sum()))
+        pair = (code_a[left] & 0xFFFFFFFF) << 32 | (code_b[right] & 0xFFFFFFFF)
+        times, stretch = times_a[left] * times_b[right], own[code_a[left] >> 32]
+        order = np.lexsort((pair, stretch))
+        pair, stretch, times = pair[order], stretch[order], times[order]
+        new = np.ones(len(pair), bool)
+        new[1:] = (pair[1:] != pair[:-1]) | (stretch[1:] != stretch[:-1])
+        times = np.add.reduceat(times, np.flatnonzero(new)) if len(pair) else times
+        # the decimal text: a group's tokens of A, then those of B, each with the sign that follows it
+        ends_a, ends_b = np.isin(keep_a, cut_a), np.isin(keep_b, cut_b)
+        plain_a, close_a = self.signs[0]
+        plain_b, close_b = self.signs[1]
+        words = np.concatenate([np.where(ends_a, close_a[ids_a], plain_a[ids_a]), np.where(ends_b, close_b[ids_b], plain_b[ids_b])])
+        place = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        words = words[place].tolist()
+        edge = np.concatenate([[0], np.cumsum(totals[:, 0] + totals[:, 1])]).tolist()
+        text = np.empty(len(good), object)
+        text[:] = [b"".join(words[x:y]) for x, y in zip(edge[:-1], edge[1:])]
+        return Alignments(
+            good, totals, np.searchsorted(stretch[new], np.arange(len(good) + 1)), pair[new], times, text
+        )
 
 
 class Units:
@@ -192,27 +268,20 @@ class Units:
     def forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)  # sorted hashes
         self.row = np.zeros(0, np.int64)  # and the row of each
-        self.totals = np.zeros((0, 4), np.int64)  # n_a, n_b, n_groups, n_links by row
-        self.good = np.zeros(0, bool)
-        self.edge = np.zeros(1, np.int64)  # where a row's links begin
-        self.links = np.zeros(0, np.int64)
-        self.times = np.zeros(0, np.int64)
-        self.text = np.zeros(0, object)
+        none = np.zeros(0, np.int64)
+        self.known = Alignments(np.zeros(0, bool), np.zeros((0, 4), np.int64), np.zeros(1, np.int64), none, none, np.zeros(0, object))
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        found = [x or Aligned([], [], []) for x in self.pair.align(texts)]
-        good = np.array([x.n_a > 0 for x in found], bool)
-        body = np.zeros(len(found), object)
-        body[:] = [x.text for x in found]
+        gc.disable()  # the libraries return millions of short lists, none in a cycle
+        try:
+            found, known = self.pair.align(texts), self.known
+        finally:
+            gc.enable()
         at = np.searchsorted(self.keys, keys)
-        self.row = np.insert(self.row, at, len(self.good) + np.arange(len(keys)))
+        self.row = np.insert(self.row, at, len(self.keys) + np.arange(len(keys)))
         self.keys = np.insert(self.keys, at, keys)
-        self.totals = np.concatenate([self.totals, np.array([(x.n_a, x.n_b, x.n_groups, x.n_links) for x in found], np.int64)])
-        self.good = np.concatenate([self.good, good])
-        self.text = np.concatenate([self.text, body])
-        self.edge = np.concatenate([self.edge, self.edge[-1] + np.cumsum([len(x.links) for x in found])])
-        self.links = np.concatenate([self.links, np.array([k for x in found for k in x.links], np.int64)])
-        self.times = np.concatenate([self.times, np.array([n for x in found for n in x.links.values()], np.int64)])
+        found.edge = found.edge[1:] + known.edge[-1]
+        self.known = Alignments(*(np.concatenate([getattr(known, f), getattr(found, f)]) for f in Alignments.__dataclass_fields__))
 
     def rows(self, keys: np.ndarray, text_of) -> np.ndarray:
         """Row of each distinct key; ``text_of(index)`` gives the texts of those not known yet."""
@@ -251,6 +320,10 @@ def odd_texts(block: Block, joined: list[str]) -> np.ndarray:
     return np.union1d(Encoder._odd(block), np.flatnonzero(block.per_doc(np.isin(body, [ord(c) for c in joined]))))
 
 
+def digest(text: bytes) -> str:
+    return hashlib.sha256(text[:-1]).hexdigest()
+
+
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros((1, *values.shape[1:]), np.int64), np.cumsum(values, axis=0)])
     return total[first[1:]] - total[first[:-1]]
@@ -261,29 +334,26 @@ def block_result(block: Block, units: Units) -> tuple[np.ndarray, list[str], np.
     starts, ends, first = unit_spans(block)
     raw = block.buf[: block.size].tobytes()
     keys, one, back = np.unique(block.span_hashes(starts, ends), return_index=True, return_inverse=True)
-    rows = units.rows(keys, lambda new: [raw[starts[k] : ends[k]].decode() for k in one[new]])
+    rows = units.rows(keys, lambda new: [raw[x:y].decode() for x, y in zip(starts[one[new]].tolist(), ends[one[new]].tolist())])
+    known = units.known
     row = rows[back]
     own = owners(first, len(starts))
-    whole = np.union1d(odd_texts(block, units.pair.joined), own[~units.good[row]]).astype(np.int64)
-    totals = sums(units.totals[row], first)
-    text = units.text[row]
-    digests = [hashlib.sha256(b";".join(text[a:z].tolist())).hexdigest() for a, z in zip(first[:-1].tolist(), first[1:].tolist())]
+    whole = np.union1d(odd_texts(block, units.pair.joined), own[~known.good[row]]).astype(np.int64)
+    totals = sums(known.totals[row], first)
+    text = known.text[row]
+    digests = [digest(b"".join(text[a:z].tolist())) for a, z in zip(first[:-1].tolist(), first[1:].tolist())]
     at_once = ~np.isin(own, whole)
     codes, many = np.unique(own[at_once] * len(keys) + back[at_once], return_counts=True)
     doc, unit = codes // max(len(keys), 1), rows[codes % max(len(keys), 1)]
-    size = units.edge[unit + 1] - units.edge[unit]
-    place = np.repeat(units.edge[unit] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-    docs, links, times = [np.repeat(doc, size)], [units.links[place]], [np.repeat(many, size) * units.times[place]]
+    size = known.edge[unit + 1] - known.edge[unit]
+    place = np.repeat(known.edge[unit] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+    docs, links, times = [np.repeat(doc, size)], [known.links[place]], [np.repeat(many, size) * known.times[place]]
     for d in whole.tolist():
-        found = units.pair.align([raw[block.offs[d] : block.offs[d + 1]].decode()])[0]
-        if found is None:
-            totals[d], digests[d] = 0, ""
-            continue
-        totals[d] = found.n_a, found.n_b, found.n_groups, found.n_links
-        digests[d] = hashlib.sha256(found.text).hexdigest()
+        found = units.pair.align([raw[block.offs[d] : block.offs[d + 1]].decode()])
+        totals[d], digests[d] = found.totals[0], digest(found.text[0]) if found.good[0] else ""
         docs.append(np.full(len(found.links), d))
-        links.append(np.fromiter(found.links.keys(), np.int64, len(found.links)))
-        times.append(np.fromiter(found.links.values(), np.int64, len(found.links)))
+        links.append(found.links)
+        times.append(found.times)
     doc, link, many = np.concatenate(docs), np.concatenate(links), np.concatenate(times)
     pairs, local = np.unique(link, return_inverse=True)
     codes, at = np.unique(doc * max(len(pairs), 1) + local, return_inverse=True)
