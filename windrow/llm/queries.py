@@ -9,6 +9,7 @@ from windrow.llm import (  # noqa: F401
     open_windows,
     positional_index,
     simple8b,
+    substring_dedup,
     subword_language,
     token_alignment,
     wrapper,
