@@ -2,6 +2,7 @@
 
 from windrow.llm import (  # noqa: F401
     attention_mil,
+    hard_negatives,
     interleave,
     maxent_lm,
     ngram_quality,
