@@ -1,17 +1,14 @@
-"""Models, grouped search and evaluation protocols on Spark ML.
+"""Models, grouped search and evaluation protocols.
 
-Fits run as Spark jobs; scores of all folds and models go to one table, and everything after
-the fits (operating points, runs, events, metrics) is one plan keyed by fold and model.
+The fits of all folds, models and grid points of a protocol run together (``fold_fits``); their scores are one table,
+and everything after the fits (operating points, runs, events, metrics) is one plan keyed by fold and model. The
+shipped model is a Spark ML pipeline.
 """
 
 from __future__ import annotations
 
 import itertools
-import uuid
-from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -20,21 +17,23 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windrow.config import Settings
 from windrow.fixed_values import SEARCH_GRIDS
 from windrow.operators import splits as sp
 from windrow.operators.events import event_metrics_of_runs, validation_event_score
+from windrow.operators.fold_fits import Fit, fold_scores
 from windrow.operators.metrics import ranking_metrics, window_metrics
 from windrow.operators.quality import require_deduplicated
+from windrow.operators.ranking import hash_rank
 from windrow.operators.runs import positive_runs
 from windrow.operators.thresholds import pick_k, pick_threshold, pick_threshold_and_k
 from windrow.operators.windows import drop_guard, overlap_sweep, relabel
-from windrow.session import pinned, shared_folder
+from windrow.session import pinned
 
-PARALLEL_FITS = 4
+TEST, VAL = 1, 2  # how a fold holds a row out; 0 where it does not
 
 
 def class_sizes(train: DataFrame) -> tuple[int, int]:
@@ -99,135 +98,124 @@ def with_scores(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return scored.select(*[F.col(f"`{c}`") for c in rows.columns], score.alias("score"))
 
 
-def majority_scores(train: DataFrame, rows: DataFrame) -> DataFrame:
-    """Score 1 everywhere if most training rows are positive, else 0."""
-    mode = train.agg(F.mode("label", deterministic=True).cast("double").alias("score"))
-    one = F.lit(0).alias("__k")
-    return rows.withColumn("__k", F.lit(0)).join(mode.select("score", one), "__k").drop("__k")
-
-
 def fit(name: str, train: DataFrame, columns: list[str], seed: int, params: dict | None = None) -> PipelineModel:
     n, n_pos = class_sizes(train)
     used = train.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns], "label")
     return estimator(name, columns, n, seed, params).fit(used.withColumn("weight", balanced_weight(n, n_pos)))
 
 
-def fit_and_score(
-    name: str, train: DataFrame, rows: DataFrame, columns: list[str], seed: int, params: dict | None = None
-) -> DataFrame:
-    """Fit once, score all given rows."""
-    if name == "dummy":
-        return majority_scores(train, rows)
-    return with_scores(fit(name, train, columns, seed, params), rows)
+def in_sample_scores(name: str, rows: DataFrame, columns: list[str], seed: int, uid: str = "window_uid", params: dict | None = None) -> DataFrame:
+    """Fit on all rows, score all rows."""
+    every = F.array(F.lit(True)), F.array(F.lit(TEST).cast("tinyint"))
+    found = fold_scores(rows, columns, *every, 1, [Fit(0, name, tuple((params or {}).items()))], seed, uid)
+    return found.drop("fold", "held", "fit")
 
 
-def in_parallel(spark: SparkSession, work: Callable, items: list) -> list:
-    """Run independent fits side by side; each is a series of Spark jobs."""
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        return list(pool.map(inheritable_thread_target(spark)(work), items))
+def held_by_fold(rows: DataFrame, folds: DataFrame, group: str) -> tuple[DataFrame, int]:
+    """Rows with ``__held``, one code for each fold, and the number of folds. A fold holds out a few groups."""
+    n = folds.agg(F.max("fold_idx")).head()[0]
+    n = 0 if n is None else n + 1
+    code = F.when(F.col("role") == "test", TEST).otherwise(VAL)
+    roles = folds.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("fold_idx", code.alias("c")))).alias("__roles"))
+    held = F.array(*[F.coalesce(F.col("__roles")[i], F.lit(0)).cast("tinyint") for i in range(n)])
+    return rows.join(roles, group, "left").withColumn("__held", held).drop("__roles"), n
 
 
-def stored_scores(
-    spark: SparkSession, names: list[str], jobs: list[tuple], scores: Callable[..., DataFrame]
-) -> DataFrame:
-    """Scores of each job as one table in the shared folder, partitioned by the job's values.
+def thinned(rows: DataFrame, train: Column, n: int, ratio: int | None, seed: int, uid: str) -> Column:
+    """Which folds train on a row: ``train`` less the negatives beyond ``ratio`` times the fold's positives.
 
-    Every job writes its own partition, so a repeated fit replaces what it wrote, and nothing
-    downstream repeats a fit when an executor is lost.
+    All folds order negatives by the same seeded hash, so a fold's choice is a bound on it: one string a fold.
     """
-    target = f"{shared_folder(spark)}/windrow-scores-{uuid.uuid4().hex}"
+    if ratio is None:
+        return train
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(uid).cast("string")))
+    narrow = rows.select(uid, "label", F.posexplode(train).alias("fold", "__in")).where("__in")
+    kept = sp.downsample_negatives(narrow, ratio, seed, uid, ["fold"]).where("label = 0")
+    bound = {r["fold"]: r["d"] for r in kept.groupBy("fold").agg(F.max(digest).alias("d")).collect()}  # one row a fold
+    inside = F.array(*[(F.col("label") == 1) | (digest <= F.lit(bound.get(i, ""))) for i in range(n)])
+    return F.zip_with(train, inside, lambda a, b: a & b)
 
-    def run(job: tuple) -> None:
-        part = "/".join(f"{n}={v}" for n, v in zip(names, job))
-        scores(*job).write.mode("overwrite").parquet(f"{target}/{part}")
 
-    in_parallel(spark, run, jobs)
-    return spark.read.option("basePath", target).parquet(target)
+def points_of(name: str) -> list[dict]:
+    grid = SEARCH_GRIDS.get(name, {})
+    return [dict(zip(grid, values)) for values in itertools.product(*grid.values())] if grid else []
 
 
-def search(
-    name: str, train: DataFrame, columns: list[str], group: str = "subject_id", n_splits: int = 3, seed: int = 42
-) -> tuple[dict, float]:
-    """Best grid point by mean average precision over group folds inside the training rows.
+def search_folds(
+    rows: DataFrame, columns: list[str], train: Column, n: int, names: list[str], group: str, n_splits: int, seed: int, uid: str
+) -> dict[tuple[int, str], tuple[dict, float]]:
+    """The best grid point of every fold and model by mean average precision over group folds inside its training rows.
 
-    ({}, NaN) without a grid, with fewer than two groups or with a single class.
+    All folds, inner folds and grid points are fitted together. ({}, NaN) without a grid, with fewer than two
+    groups or with a single class in the fold's training rows.
     """
-    grid = SEARCH_GRIDS.get(name, {})
-    facts = train.agg(F.count_distinct(group).alias("g"), F.count_distinct("label").alias("c")).head()
-    if not grid or facts["g"] < 2 or facts["c"] < 2:
-        return {}, float("nan")
-    k = min(n_splits, facts["g"])
-    ring = sp.group_ring(train, group, seed).select(
-        F.col("group_id").alias(group), (F.col("place") % k).alias("inner")
-    )
-    folded = train.join(ring, group).persist()
-    points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
-
-    def mean_precision(params: dict) -> float:
-        parts = []
-        for i in range(k):
-            scored = fit_and_score(
-                name, folded.where(F.col("inner") != i), folded.where(F.col("inner") == i), columns, seed, params
-            )
-            parts.append(scored.select("inner", "label", "score"))
-        rows = parts[0]
-        for part in parts[1:]:
-            rows = rows.unionByName(part)
-        return ranking_metrics(rows, ["inner"]).agg(F.avg("pr_auc")).head()[0]
-
-    try:
-        means = in_parallel(train.sparkSession, mean_precision, points)
-    finally:
-        folded.unpersist()
-    best = max(range(len(points)), key=lambda i: (means[i] == means[i], means[i], -i))
-    return points[best], means[best]
-
-
-def held_out_groups(folds: DataFrame, group: str = "subject_id") -> dict[int, dict[str, list[str]]]:
-    """Fold -> role -> groups. A fold is a model fit and holds out a few groups, so this is short."""
-    out: dict[int, dict[str, list[str]]] = {}
-    for r in folds.orderBy("fold_idx", group).collect():
-        out.setdefault(r["fold_idx"], {"test": [], "val": []})[r["role"]].append(r[group])
-    return out
+    names = [m for m in names if points_of(m)]
+    marked = rows.withColumn("__train", train)
+    narrow = marked.select(F.col(group).cast("string").alias("__g"), "label", F.posexplode("__train").alias("fold", "__in")).where("__in")
+    facts = {r["fold"]: r for r in narrow.groupBy("fold").agg(F.count_distinct("__g").alias("g"), F.count_distinct("label").alias("c")).collect()}
+    usable = {i: min(n_splits, r["g"]) for i, r in facts.items() if r["g"] > 1 and r["c"] > 1}
+    if not names or not usable:
+        return {}
+    ring = hash_rank(narrow.select("fold", "__g").distinct(), ["fold"], seed, "__g")
+    inner = F.map_from_entries(F.collect_list(F.struct("fold", F.col("rank").cast("int"))))
+    places = ring.groupBy("__g").agg(inner.alias("__inner"))
+    marked = marked.join(places.withColumnRenamed("__g", "__group"), F.col(group).cast("string") == F.col("__group"), "left").drop("__group")
+    pairs = [(i, j) for i, k in sorted(usable.items()) for j in range(k)]
+    own = lambda i: F.col("__train")[i]
+    out = lambda i, j: F.coalesce((F.col("__inner")[i] - 1) % usable[i] == j, F.lit(False))
+    within = F.array(*[own(i) & ~out(i, j) for i, j in pairs])
+    held = F.array(*[F.when(own(i) & out(i, j), TEST).otherwise(0).cast("tinyint") for i, j in pairs])
+    marked = marked.withColumns({"__within": within, "__out": held})
+    fits = [Fit(x, m, tuple(point.items())) for x in range(len(pairs)) for m in names for point in points_of(m)]
+    kept = marked.select(F.col(uid), "label", *[F.col(f"`{c}`") for c in columns], "__within", "__out")
+    scored = fold_scores(kept, columns, F.col("__within"), F.col("__out"), len(pairs), fits, seed, uid)
+    found = ranking_metrics(scored.select("fit", "label", "score"), ["fit"]).select("fit", "pr_auc").collect()  # one row a fit
+    value = {r["fit"]: r["pr_auc"] for r in found}
+    best: dict[tuple[int, str], tuple[dict, float]] = {}
+    for i in usable:
+        for m in names:
+            means = []
+            for point in points_of(m):
+                mine = [value[k] for k, f in enumerate(fits) if pairs[f.fold][0] == i and f.name == m and dict(f.params) == point and k in value]
+                mine = [v for v in mine if v == v]
+                means.append(sum(mine) / len(mine) if mine else float("nan"))
+            top = max(range(len(means)), key=lambda x: (means[x] == means[x], means[x], -x))
+            best[i, m] = points_of(m)[top], means[top]
+    return best
+
+
+def search(
+    name: str, train: DataFrame, columns: list[str], group: str = "subject_id", n_splits: int = 3, seed: int = 42, uid: str = "window_uid"
+) -> tuple[dict, float]:
+    """The best grid point of one model over all given rows."""
+    found = search_folds(train, columns, F.array(F.lit(True)), 1, [name], group, n_splits, seed, uid)
+    return found.get((0, name), ({}, float("nan")))
 
 
 def score_folds(
-    rows: DataFrame, columns: list[str], settings: Settings, folds: DataFrame, only: list[int] | None = None
+    rows: DataFrame, columns: list[str], settings: Settings, folds: DataFrame, only: list[int] | None = None, uid: str = "window_uid"
 ) -> DataFrame:
     """Held-out scores of every fold and model as one stored table.
 
-    Columns of ``rows`` without the features, plus ``fold_idx, role, model, score``. Negatives
-    are thinned in training rows only. Folds select rows by plain group filters, which reach the
-    scan; a fold's training rows are kept for all its models.
+    Columns of ``rows`` without the features, plus ``fold_idx, role, model, score``. Negatives are thinned in
+    training rows only.
     """
     tr, seed = settings.training, settings.splits.seed
-    keys = [c for c in rows.columns if c not in columns]
-    spark = rows.sparkSession
-    target = f"{shared_folder(spark)}/windrow-scores-{uuid.uuid4().hex}"
-    groups = held_out_groups(folds)
-    rows = rows.persist()
-    subject = F.col("subject_id")
-
-    def run(fold: int) -> None:
-        test, val = groups[fold]["test"], groups[fold]["val"]
-        train = rows.where(~subject.isin(test + val))
-        thin = sp.downsample_negatives(train, tr.negative_downsample_ratio, seed, "window_uid").persist()
-        held = rows.where(subject.isin(test + val)).withColumn(
-            "role", F.when(subject.isin(test), "test").otherwise("val")
-        )
-        for name in tr.models:
-            params = {}
-            if tr.search:
-                params, _ = search(name, thin, columns, "subject_id", tr.inner_splits, seed)
-            out = fit_and_score(name, thin, held, columns, seed, params).select(*keys, "role", "score")
-            out.write.mode("overwrite").parquet(f"{target}/fold_idx={fold}/model={name}")
-        thin.unpersist()
-
-    try:
-        in_parallel(spark, run, only if only is not None else list(groups))
-    finally:
-        rows.unpersist()
-    return spark.read.option("basePath", target).parquet(target)
+    marked, n = held_by_fold(rows, folds, "subject_id")
+    names = [c for c in rows.columns if c not in columns]
+    free = thinned(marked, F.transform("__held", lambda h: h == 0), n, tr.negative_downsample_ratio, seed, uid)
+    marked = pinned(marked.withColumn("__train", free))
+    chosen = {}
+    if tr.search:
+        chosen = search_folds(marked, columns, F.col("__train"), n, list(tr.models), "subject_id", tr.inner_splits, seed, uid)
+    fits = [
+        Fit(i, m, tuple(chosen.get((i, m), ({}, 0.0))[0].items())) for i in (range(n) if only is None else only) for m in tr.models
+    ]
+    scored = fold_scores(marked, columns, F.col("__train"), F.col("__held"), n, fits, seed, uid)
+    model = F.element_at(F.array(*[F.lit(f.name) for f in fits]), F.col("fit") + 1)
+    return scored.select(
+        *names, F.col("fold").alias("fold_idx"), F.when(F.col("held") == TEST, "test").otherwise("val").alias("role"), model.alias("model"), "score"
+    )
 
 
 FOLD = ["fold_idx", "model"]
@@ -326,20 +314,14 @@ def random_window_evaluation(rows: DataFrame, columns: list[str], settings: Sett
     """The contrast that ignores subjects: 20/10/70 test, validation, training rows."""
     tr, seed = settings.training, settings.splits.seed
     rows, columns = prepared(rows, columns, settings)
-    split = sp.random_split(
-        rows, "window_uid", seed, [("test", 0.2), ("val", 0.1), ("train", 0.7)]
-    ).persist()
-    train = sp.downsample_negatives(
-        split.where("role = 'train'").drop("role"), tr.negative_downsample_ratio, seed, "window_uid"
-    )
-    held = split.where("role <> 'train'")
-
-    def scores(name: str) -> DataFrame:
-        out = fit_and_score(name, train, held, columns, seed)
-        return out.select("label", "source", "role", "score")
-
-    scored = stored_scores(rows.sparkSession, ["model"], [(m,) for m in tr.models], scores)
-    split.unpersist()
+    shares = [("test", 0.2), ("val", 0.1), ("train", 0.7)]
+    split = pinned(sp.random_split(rows, "window_uid", seed, shares))
+    free = thinned(split, F.array(F.col("role") == "train"), 1, tr.negative_downsample_ratio, seed, "window_uid")
+    held = F.array(F.when(F.col("role") == "test", TEST).when(F.col("role") == "val", VAL).otherwise(0).cast("tinyint"))
+    fits = [Fit(0, m) for m in tr.models]
+    scored = fold_scores(split, columns, free, held, 1, fits, seed)
+    model = F.element_at(F.array(*[F.lit(f.name) for f in fits]), F.col("fit") + 1)
+    scored = scored.select("label", "source", "role", model.alias("model"), "score")
     cut = pick_threshold(scored.where("role = 'val'"), ["model"], tr.threshold_metric)
     test = scored.where("role = 'test'").join(
         cut.select("model", F.col("threshold").alias("__t")), "model"
@@ -357,8 +339,8 @@ def export_scores(
 
     one = replace(settings, training=replace(settings.training, models=(model,)))
     folds = sp.held_out(rows, "subject_id", settings.splits.n_val_subjects, settings.splits.seed)
-    wanted = [f for f, g in held_out_groups(folds).items() if set(g["test"]) & set(subjects)]
-    scored = score_folds(rows, columns, one, folds, wanted)
+    tested = folds.where((F.col("role") == "test") & F.col("subject_id").isin(subjects)).select("fold_idx").distinct()
+    scored = score_folds(rows, columns, one, folds, sorted(r["fold_idx"] for r in tested.collect()))  # as many as asked
     points = operating_points(scored, one).select(
         *FOLD, F.col("threshold").alias("chosen_threshold"), F.col("k").alias("chosen_k")
     )
@@ -390,11 +372,9 @@ def final_fit(
     return fitted, meta
 
 
-def with_folds(rows: DataFrame, seed: int, group: str | None, uid: str, n_folds: int) -> DataFrame:
-    """Rows with a ``fold`` number by seeded hash, whole groups together or row by row; sizes vary a little."""
-    if not group:
-        return rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), uid), F.lit(n_folds)).cast("int"))
-    return rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(group).cast("string")), F.lit(n_folds)).cast("int"))
+def fold_of(seed: int, key: str, n_folds: int) -> Column:
+    """A fold number by seeded hash of a group or a row id; sizes vary a little."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(n_folds)).cast("int")
 
 
 def leakage_study(
@@ -403,26 +383,25 @@ def leakage_study(
 ) -> DataFrame:
     """Four protocols (grouped or random folds, with or without repeats) per model.
 
-    Each row is scored by the model of the folds it is not in.
+    Each row is scored by the model of the folds it is not in. All protocols, folds and models are fitted together.
     """
-    frames = {}
-    for repeats in ("with_duplicates", "deduplicated"):
-        sub = rows if repeats == "with_duplicates" else rows.where(~F.col("is_repeat"))
-        for split in ("random", "grouped"):
-            by = group if split == "grouped" else None
-            frames[f"{split}_{repeats}"] = with_folds(sub, seed, by, uid, n_folds).persist()
-
-    def scores(protocol: str, name: str, fold: int) -> DataFrame:
-        f = frames[protocol]
-        out = fit_and_score(name, f.where(F.col("fold") != fold), f.where(F.col("fold") == fold), columns, seed)
-        return out.select("label", "source", "score")
-
-    jobs = list(itertools.product(frames, models, range(n_folds)))
-    try:
-        scored = stored_scores(rows.sparkSession, ["protocol", "model", "part"], jobs, scores)
-    finally:
-        for f in frames.values():
-            f.unpersist()
+    protocols = [(f"{split}_{repeats}", split, repeats) for repeats in ("with_duplicates", "deduplicated") for split in ("random", "grouped")]
+    train, held = [], []
+    for _, split, repeats in protocols:
+        inside = F.lit(True) if repeats == "with_duplicates" else ~F.col("is_repeat")
+        own = fold_of(seed, group if split == "grouped" else uid, n_folds)
+        for i in range(n_folds):
+            train.append(inside & (own != i))
+            held.append(F.when(inside & (own == i), TEST).otherwise(0).cast("tinyint"))
+    fits = [Fit(i, m) for i in range(len(train)) for m in models]
+    names = [c for c in rows.columns if c not in columns]
+    used = rows.select(*columns, *names, F.array(*train).alias("__train"), F.array(*held).alias("__held"))
+    scored = fold_scores(pinned(used), columns, F.col("__train"), F.col("__held"), len(train), fits, seed, uid)
+    named = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), k)
+    scored = scored.select(
+        named([p for p, _, _ in protocols], F.floor(F.col("fold") / n_folds).cast("int") + 1).alias("protocol"),
+        named([f.name for f in fits], F.col("fit") + 1).alias("model"), "label", "source", "score",
+    )
     keys = ["protocol", "model"]
     cut = pick_threshold(scored, keys).select(*keys, F.col("threshold").alias("__t"))
     return window_metrics(scored.join(cut, keys), keys, F.col("__t"))

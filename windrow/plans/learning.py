@@ -75,21 +75,21 @@ def majority_model(t: Tables):
 def logistic_scores(t: Tables):
     """Logistic regression scores."""
     frame = rows(t)
-    return md.fit_and_score("logreg", frame, frame, COLUMNS, 42).select("vec_id", "label", "score")
+    return md.in_sample_scores("logreg", frame, COLUMNS, 42).select("vec_id", "label", "score")
 
 
 @query()
 def forest_scores(t: Tables):
     """Random forest scores."""
     frame = rows(t)
-    return md.fit_and_score("rf", frame, frame, COLUMNS, 42).select("vec_id", "label", "score")
+    return md.in_sample_scores("rf", frame, COLUMNS, 42).select("vec_id", "label", "score")
 
 
 @query()
 def boosted_scores(t: Tables):
     """Gradient boosting scores."""
     frame = rows(t)
-    return md.fit_and_score("hgb", frame, frame, COLUMNS, 42).select("vec_id", "label", "score")
+    return md.in_sample_scores("hgb", frame, COLUMNS, 42).select("vec_id", "label", "score")
 
 
 @query()
