@@ -280,31 +280,32 @@ def gathered(rows: DataFrame, columns: list[str], uid: str, train: Column, held:
     )), n_blocks
 
 
+def long_values(rows: DataFrame, columns: list[str], *more: Column) -> DataFrame:
+    """One row for each present value: ``column`` (its index), ``value`` and ``more``."""
+    listed = F.array(*[F.col(f"`{c}`").cast("double") for c in columns])
+    return rows.select(*more, F.posexplode(listed).alias("column", "value")).where(~F.isnan("value") & F.col("value").isNotNull())
+
+
 def quantile_edges(rows: DataFrame, columns: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Bin edges, a central value, and whether values are absent, per column."""
+    """Bin edges, a central value, and whether values are absent, per column. Sketches of quantiles are merged
+    per column, so no task holds a column."""
     shares = [k / BINS for k in range(1, BINS)]
-    there = lambda c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double"))
-    facts = rows.agg(
-        F.array(*[F.percentile_approx(there(c), shares, 10_000) for c in columns]).alias("q"),
-        F.array(*[F.avg(there(c)) for c in columns]).alias("m"),
-        F.array(*[F.count(there(c)) < F.count(F.lit(1)) for c in columns]).alias("gaps"),
-    ).head()
-    edges = [np.unique(np.array(q or [], float)) for q in facts["q"]]
-    return edges, np.array([m or 0.0 for m in facts["m"]]), np.array(facts["gaps"], bool)
+    found = long_values(rows, columns).groupBy("column").agg(
+        F.percentile_approx("value", shares, 10_000).alias("q"), F.avg("value").alias("m"), F.count(F.lit(1)).alias("n")
+    ).collect()  # one row a column
+    every, n = {r["column"]: r for r in found}, rows.count()
+    edges = [np.unique(np.array(every[k]["q"], float)) if k in every else np.zeros(0) for k in range(len(columns))]
+    centre = np.array([every[k]["m"] if k in every else 0.0 for k in range(len(columns))])
+    return edges, centre, np.array([k not in every or every[k]["n"] < n for k in range(len(columns))], bool)
 
 
 def fold_medians(rows: DataFrame, columns: list[str], gaps: np.ndarray, train: Column, folds: int) -> np.ndarray:
     """Median of each column over each fold's training rows, for the columns with absent values."""
-    out = np.zeros((folds, len(columns)))
-    asked = [(f, k) for k in np.flatnonzero(gaps).tolist() for f in range(folds)]
-    marked = rows.withColumn("__train", train)
-    for lo in range(0, len(asked), 400):
-        cells = []
-        for f, k in asked[lo : lo + 400]:
-            c = F.col(f"`{columns[k]}`").cast("double")
-            cells.append(F.percentile_approx(F.when(F.col("__train")[f] & ~F.isnan(c), c), 0.5, 10_000))
-        for (f, k), m in zip(asked[lo : lo + 400], marked.agg(F.array(*cells).alias("m")).head()["m"]):
-            out[f, k] = 0.0 if m is None else m
+    out, asked = np.zeros((folds, len(columns))), np.flatnonzero(gaps).tolist()
+    long = long_values(rows.withColumn("__train", train), [columns[k] for k in asked], F.col("__train"))
+    long = long.select("column", "value", F.posexplode("__train").alias("fold", "__in")).where("__in")
+    for r in long.groupBy("fold", "column").agg(F.percentile_approx("value", 0.5, 10_000).alias("m")).collect():  # one row a fold and column
+        out[r["fold"], asked[r["column"]]] = r["m"]
     return out
 
 
@@ -367,10 +368,10 @@ class Everywhere:
                     rows = ht.Rows(bins_of(b, job), stats_of(b, job)[None], p)
                     rows.at[:] = job
                     found = rows.histograms(t, ask[mine], feats[mine])
-                    yield from ((int(k), h.ravel()) for k, h in zip(mine, found))
+                    yield from ((int(k), found[:, x].ravel()) for x, k in enumerate(mine))
 
             def done(key: int, total: np.ndarray) -> np.ndarray:
-                return ht.best_splits(total.reshape(1, feats.shape[1], p.width, 3), feats[key : key + 1], p)[0]
+                return ht.best_splits(total.reshape(3, 1, feats.shape[1], p.width), feats[key : key + 1], p)[0]
 
             found = self.summed(part_of, done)
             none = np.array([-np.inf, -1, -1, 0, 0, 0, 0])

@@ -121,37 +121,53 @@ class Trees:
 
 
 def best_splits(hist: np.ndarray, feats: np.ndarray, p: Growth) -> np.ndarray:
-    """The best split of each node from its histograms ``[node, feature, bin, (count, g, h)]``: columns ``SPLIT``.
+    """The best split of each node from its histograms ``[(count, g, h), node, feature, bin]``: columns ``SPLIT``.
 
     Absent values go to the side with the greater gain, with the larger child if a node has none. Ties go
-    to the earlier feature in the list, then the lower bin.
+    to the earlier feature in the list, then the lower bin. Only bins that hold rows are looked at: a cut
+    behind an empty bin parts the rows as the one before it does.
     """
-    total = hist[:, 0].sum(axis=1)
-    gone = hist[:, :, p.bins : p.width]
-    run = np.cumsum(hist[:, :, : p.bins], axis=2)
-    whole = total[:, None, None, :]
-    has = gone[..., 0] > 0
-
-    def gain_of(left: np.ndarray) -> np.ndarray:
-        right = whole - left
-        ok = (left[..., 0] >= p.min_rows) & (right[..., 0] >= p.min_rows)
-        ok &= (left[..., 2] >= p.min_hess * ONE) & (right[..., 2] >= p.min_hess * ONE)
+    q, m = hist.shape[1:3]
+    total = hist[:, :, 0].sum(axis=2)
+    gone = hist[:, :, :, p.bins].reshape(3, -1)
+    present = hist[:, :, :, : p.bins].reshape(3, -1)
+    cell = np.flatnonzero(present[0])
+    column, node = cell // p.bins, cell // (p.bins * m)
+    total_at = [total[k][node] for k in range(3)]
+    run = np.cumsum(present[:, cell], axis=1)
+    first = np.searchsorted(column, np.arange(q * m))
+    before = np.concatenate([np.zeros((3, 1)), run], axis=1)[:, first]
+    run -= before[:, column]
+
+    def gain_of(c: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+        rest = total_at[0] - c, total_at[1] - g, total_at[2] - h
+        ok = (c >= p.min_rows) & (rest[0] >= p.min_rows) & (h >= p.min_hess * ONE) & (rest[2] >= p.min_hess * ONE)
         with np.errstate(divide="ignore", invalid="ignore"):
-            gain = left[..., 1] ** 2 / left[..., 2] + right[..., 1] ** 2 / right[..., 2]
+            gain = g * g / h + rest[1] * rest[1] / rest[2]
         return np.where(ok, gain, -np.inf)
 
-    base = total[:, 1] ** 2 / np.maximum(total[:, 2], 1e-300)
-    right_gain, left_gain = gain_of(run), np.where(has, gain_of(run + gone), -np.inf)
-    gain = np.maximum(right_gain, left_gain) - base[:, None, None]
-    flat = gain.reshape(len(gain), -1)
-    best = flat.argmax(axis=1)
-    at, cut = np.divmod(best, p.bins)
-    node = np.arange(len(gain))
-    top = flat[node, best] / ONE
-    left_count = run[node, at, cut, 0]
-    side = np.where(has[node, at, 0], left_gain[node, at, cut] > right_gain[node, at, cut], 2 * left_count >= total[:, 0])
-    top = np.where(top > 1e-9 * np.maximum(base / ONE, 1e-3), top, -np.inf)
-    return np.column_stack([top, feats[node, at], cut, side, total])
+    base = total[1] ** 2 / np.maximum(total[2], 1e-300)
+    right_gain = gain_of(*run)
+    some = gone[0][column] > 0
+    left_gain = np.full(len(cell), -np.inf)
+    if some.any():
+        left_gain = np.where(some, gain_of(*(run + gone[:, column])), -np.inf)
+    gain = np.maximum(right_gain, left_gain) - base[node]
+    out = np.column_stack([np.full(q, -np.inf), np.full(q, -1), np.full(q, -1), np.zeros(q), total.T])
+    edge = np.searchsorted(node, np.arange(q))
+    full = edge < np.append(edge[1:], len(cell))
+    if not full.any():
+        return out
+    top = np.full(q, -np.inf)
+    top[full] = np.maximum.reduceat(gain, edge[full])
+    hits = np.flatnonzero(gain == top[node])
+    best = hits[np.searchsorted(node[hits], np.flatnonzero(full))]
+    at = node[best]
+    larger_left = 2 * run[0, best] >= total[0][at]
+    out[at, 3] = np.where(some[best], left_gain[best] > right_gain[best], larger_left)
+    out[at, 1], out[at, 2] = feats[at, column[best] % m], cell[best] % p.bins
+    out[at, 0] = np.where(top[at] > 1e-9 * np.maximum(base[at], 1e-3 * ONE), top[at] / ONE, -np.inf)
+    return out
 
 
 class Rows:
@@ -174,10 +190,10 @@ class Rows:
         own, row = own[live], self.row[live]
         cell = (own[:, None] * m + np.arange(m)) * p.width + self.bins[row[:, None], feats[own]]
         size, cell = len(ask) * m * p.width, cell.ravel()
-        out = np.empty((size, 3))
+        out = np.empty((3, size))
         for k in range(3):
-            out[:, k] = np.bincount(cell, np.repeat(self.stats[live, k], m), size)
-        return out.reshape(len(ask), m, p.width, 3)
+            out[k] = np.bincount(cell, np.repeat(self.stats[live, k], m), size)
+        return out.reshape(3, len(ask), m, p.width)
 
     def __call__(self, t: Trees, ask: np.ndarray, feats: np.ndarray) -> np.ndarray:
         return best_splits(self.histograms(t, ask, feats), feats, self.p)
