@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windrow.functions.ratios import fbeta, nan
+from windrow.operators import superlevel as sl
 from windrow.operators.events import match_counts, match_events
 from windrow.operators.ranking import quantiles, ranked_blocks
 from windrow.operators.runs import longest_run, positive_runs
+from windrow.session import pinned
 
 
 def pick_threshold(rows: DataFrame, keys: list[str], metric: str = "f2") -> DataFrame:
@@ -122,17 +124,6 @@ def threshold_candidates(
     return q.select(*keys, c.alias("candidates"))
 
 
-def at_each_threshold(windows: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """Windows repeated under each candidate threshold they reach; all of them predicted."""
-    reached = F.filter("candidates", lambda v: v <= F.col("score"))
-    return (
-        windows.join(candidates, keys)
-        .withColumn("threshold", F.explode(reached))
-        .drop("candidates")
-        .withColumn("pred", F.lit(True))
-    )
-
-
 def pick_threshold_and_k(
     windows: DataFrame, keys: list[str], ks: list[int], n_grid: int = 24, reach: int = 0
 ) -> DataFrame:
@@ -141,20 +132,15 @@ def pick_threshold_and_k(
     Candidates are score quantiles. Ties go to the smaller k in list order, then the lower
     threshold. With one class only: 0.5, the first k, NaN.
     """
-    cands = threshold_candidates(windows, keys, 0.0, 1.0, n_grid, drop_top=True)
-    if reach == 0:
-        counts = mask_counts(at_each_threshold(windows, cands, keys), keys + ["threshold"], ks)
-    else:
-        every = windows.join(cands, keys).withColumn("threshold", F.explode("candidates"))
-        every = every.withColumn("pred", F.col("score") >= F.col("threshold")).drop("candidates")
-        counts = mask_counts(every, keys + ["threshold"], ks, reach)
-    classes = _class_counts(windows, keys)
-    grid = _options(
-        classes.join(cands, keys).withColumn("threshold", F.explode("candidates")), ks
-    ).drop("candidates")
-    tried = grid.join(counts, keys + ["threshold", "k_order", "k"], "left").withColumn(
-        "f2", _mask_f2(F.col("n_pos"))
-    )
+    cands = pinned(threshold_candidates(windows, keys, 0.0, 1.0, n_grid, drop_top=True))
+    narrow = windows.select(*keys, "record_id", "window_idx", "t_start_sec", "label", "score")
+    levels = sl.opened(sl.with_levels(narrow, cands, keys), keys, sorted(set(ks)), reach)
+    per_k = F.array(*[F.struct(F.lit(i).alias("k_order"), F.lit(k).alias("k"), F.col(f"open_{k}").alias("reached")) for i, k in enumerate(ks)])
+    wide = levels.select(*keys, "label", F.inline(per_k))
+    positive = (F.col("label") == 1).cast("int")
+    sums = sl.steps(wide, keys + ["k_order", "k"], (F.col("reached"), {"marked": F.lit(1), "marked_pos": positive}))
+    grid = sl.at_candidates(_options(cands, ks), sums, keys + ["k_order", "k"], ["marked", "marked_pos"])
+    tried = grid.join(_class_counts(windows, keys), keys).withColumn("f2", _mask_f2(F.col("n_pos")))
     best = F.max(
         F.struct("f2", (-F.col("k_order")).alias("o"), (-F.col("threshold")).alias("t"), "k")
     )
@@ -174,11 +160,31 @@ def threshold_sweep(
     windows: DataFrame, truth: DataFrame, k: int, n_grid: int = 60,
     lo: float = 0.50, hi: float = 0.9995, bin_sec: float = 3600.0,
 ) -> DataFrame:
-    """Per record and candidate threshold: segments, time in alarm, detections, false alarms."""
-    cands = threshold_candidates(windows, ["record_id"], lo, hi, n_grid, drop_top=False)
-    runs = positive_runs(at_each_threshold(windows, cands, ["record_id"]), k, ["threshold"])
-    listed = cands.select("record_id", F.explode("candidates").alias("threshold"))
-    return _sweep_rows(windows, listed, runs, truth, ["threshold"], bin_sec)
+    """Per record and candidate threshold: segments, time in alarm, detections, false alarms.
+
+    All are sums of steps (``superlevel``): one pass over the windows, whatever the number of thresholds.
+    """
+    cands = pinned(threshold_candidates(windows, ["record_id"], lo, hi, n_grid, drop_top=False))
+    narrow = windows.select("record_id", "window_idx", "t_start_sec", "t_end_sec", "score")
+    rows = pinned(sl.opened(sl.with_levels(narrow, cands, ["record_id"]), [], [k]))
+    level, link = f"open_{k}", f"link_{k}"
+    alone = {"segments": F.lit(1), "alarm_sec": F.col("t_end_sec") - F.col("t_start_sec")}
+    shared = {"segments": F.lit(-1), "alarm_sec": F.coalesce(F.col("next_start") - F.col("t_end_sec"), F.lit(0.0))}
+    runs = sl.steps(rows, ["record_id"], (F.col(level), alone), (F.col(link), shared))
+    marks, met = sl.touched(rows, truth, level, link, bin_sec)
+    marks = pinned(marks)
+    detected = sl.steps(met, ["record_id"], (F.col("level"), {"detected": F.lit(1)}))
+    names = ["segments", "alarm_sec", "matched", "detected"]
+    sums = runs.unionByName(sl.mark_steps(rows, marks, level, link), True).unionByName(detected, True)
+    sums = sums.groupBy("record_id", "level").agg(*[F.sum(n).alias(n) for n in names])
+    lengths = windows.groupBy("record_id").agg(F.max("t_end_sec").alias("duration_sec"))
+    whole = lambda c: F.round(c).cast("long")
+    return sl.at_candidates(cands, sums, ["record_id"], names).join(lengths, "record_id").select(
+        "record_id", "threshold", whole(F.col("segments")).alias("segments"),
+        (F.col("alarm_sec") / F.col("duration_sec")).alias("time_in_alarm"),
+        whole(F.col("detected")).alias("detected"),
+        whole(F.col("segments") - F.col("matched")).alias("false_alarms"),
+    )
 
 
 def k_sweep(
