@@ -15,28 +15,42 @@ from windrow.llm.registry import table
 from windrow.llm.tokens import known_path
 
 
+#: Bytes of one batch of rows on its way to a Python worker, here and back; whole texts make large rows.
+BATCH = str(4 << 20)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches by bytes, not by rows, so that what tasks hold at once does not depend on the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose predicted quality is 1."""
+    bounded_batches(spark)
     return attention_mil.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is not rejected."""
+    bounded_batches(spark)
     return subword_language.accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by shingle overlap."""
+    bounded_batches(spark)
     return occurrence_join.one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
+    bounded_batches(spark)
     return positional_index.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 tokens."""
+    bounded_batches(spark)
     return open_windows.packed(docs, open_windows.Settings(known_path("word_bpe_49k.json")))
 
 
