@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from windrow.llm import maxent_lm as lm
 
@@ -60,7 +61,7 @@ def test_probabilities_of_all_words_sum_to_one():
     width = s.clusters * s.bands + 2
     mass = np.bincount(classes, counts, width)
     rest = np.array([3, 2, 1])
-    p_class = np.exp(lm.log_softmax(r.normal(size=(1, width))))[0]
+    p_class = lm.chances(r.normal(size=(1, width)))[0]
     inside = sum(p_class[c] * n / mass[c] for c, n in zip(classes, counts))
     other = p_class[-1] * (sum((rest + s.alpha) / (rest.sum() + s.alpha * 4)) + s.alpha / (rest.sum() + s.alpha * 4))
     used = p_class[:-1][mass[:-1] > 0].sum() + p_class[-1]
@@ -88,5 +89,66 @@ def test_every_position_is_learned_from(make_docs):
     h, first = lm.token_stream(block)
     lexicon, s = lm.Lexicon(np.unique(h)), lm.Settings()
     classes, bias = np.arange(lexicon.size + 1) % 5, np.zeros(5, np.float32)
-    moved = (lm.trained(docs, lexicon, classes, bias, s) != 0).any(1)
+    moved = (lm.trained(docs, lexicon, classes, bias, 160, s) != 0).any(1)
     assert moved[lm.features(h, first, s.bits)].all()
+
+
+def test_scores_do_not_depend_on_partitions(make_docs):
+    """Several trainers, dealt by document: the same scores from one partition, three and eleven."""
+    r = random.Random(2)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(r.choice(words) for _ in range(r.randint(0, 50))), "en", "s", None, 0, "", 0.0, 0) for k in range(200)]
+    s = lm.Settings(trainer=700, batch=128)
+    found = [sorted((x.doc_id, x.score) for x in lm.scored(make_docs(rows).repartition(n), s).collect()) for n in (1, 3, 11)]
+    assert found[0] == found[1] == found[2]
+
+
+def test_step_follows_the_plain_gradient():
+    """One step against sums over positions, class by class."""
+    r = np.random.default_rng(5)
+    n, width, size = 90, 6, 16
+    rows, target = r.integers(0, size, (n, 4)), r.integers(0, width, n)
+    w, bias = r.normal(size=(size, width)).astype(np.float32), r.normal(size=width).astype(np.float32)
+    speed = np.full(size, 1e-3, np.float32)
+    want, grown = w.astype(float).copy(), speed.astype(float).copy()
+    z = np.array([sum(w[k].astype(float) for k in x) + bias for x in rows])
+    p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    p[np.arange(n), target] -= 1
+    for k in range(size):
+        hits = [p[i] for i in range(n) for x in rows[i] if x == k]
+        if hits:
+            g = np.sum(hits, axis=0) / math.sqrt(len(hits))
+            grown[k] += (g**2).sum()
+            want[k] -= 0.3 * g / math.sqrt(grown[k])
+    lm.step(w, speed, rows.astype(np.uint16), target, bias, 0.3)
+    assert np.allclose(w, want, atol=1e-4) and np.allclose(speed, grown, rtol=1e-3)
+
+
+def test_score_equals_brute_force(make_docs, crc_of):
+    """Class chance times word chance of every token, from the same weights, by plain Python."""
+    r = random.Random(9)
+    rows = [(k, " ".join(r.choice("a b c d e f".split()) for _ in range(r.randint(0, 12))), "en", "s", None, 0, "", 0.0, 0) for k in range(60)]
+    s = lm.Settings(anchors=2, clusters=1, bands=1, rounds=1)
+    got = {x.doc_id: x.score for x in lm.scored(make_docs(rows), s).collect()}
+    counts = collections.Counter(t for k, text, *_ in rows if crc_of(k) % 10 for t in tokens(text))
+    # one class for words, one for the end, an empty one for the rest
+    texts = [text for k, text, *_ in rows if crc_of(k) % 10]
+    named = {t: lm.token_stream(b)[0] for t in "abcdef" for _, _, b in lm.blocks(pa.array([t]))}
+    hashes = np.array([named[t][0] for t in "abcdef"] + [lm.END], np.uint64)
+    order = sorted(range(7), key=lambda i: (-counts["abcdef"[i] if i < 6 else None], int(hashes[i].view(np.int64))))
+    lexicon = lm.Lexicon(hashes[order])
+    classes = np.array([1 if i == 6 else 0 for i in order] + [2])
+    mass = np.array([sum(counts[c] for c in "abcdef"), counts[None], 0])
+    bias = np.log((mass + 0.5) / (mass.sum() + 1.5)).astype(np.float32)
+    docs = make_docs(rows).where(F.col("doc_id").isin([k for k, *_ in rows if crc_of(k) % 10])).select("doc_id", "text")
+    weights = lm.trained(docs, lexicon, classes, bias, int(mass.sum()), s)
+    assert len(texts) > 30
+    for k, text, *_ in rows:
+        ((_, _, block),) = lm.blocks(pa.array([text]))
+        h, first = lm.token_stream(block)
+        want = 0.0
+        for at, t in zip(lm.features(h, first, s.bits), tokens(text)):
+            z = sum(weights[x].astype(float) for x in at) + bias
+            c = 1 if t is None else 0
+            want += math.log10(math.exp(z[c]) / sum(map(math.exp, z))) + math.log10(counts[t] / mass[c])
+        assert abs(got[k] - want) < 1e-4 * max(1, abs(want))

@@ -4,7 +4,9 @@ Method: P(word | history) = P(class | history) x P(word | class). The class fact
 logits are sums of rows of one hashed table, a row per n-gram feature (the word before, the two words
 before) and skip feature (the second and the third word before); it is trained by distributed
 gradient updates: in every round each trainer takes AdaGrad steps through its share of the corpus from
-the common weights, and the changes are averaged. The word factor has one indicator per word, for
+the common weights, and the changes are averaged in a tree. Shares are dealt by document hash and hold about
+``trainer`` tokens each, so they, and the scores, depend on the corpus and not on cores or partitions, and
+a trainer's time does not grow with the corpus. The word factor has one indicator per word, for
 which relative frequency is the maximum-entropy solution. Words are classed by the company they keep
 (clusters of co-occurrence with the commonest words) and by frequency; words beyond the model's
 vocabulary share one class, inside which smoothed corpus counts decide, so unseen words have a
@@ -35,6 +37,8 @@ from windrow.llm.frames import crc_of_id, long_columns, stored
 from windrow.llm.registry import query, table
 from windrow.llm.textblock import Block, blocks, lower_ascii, mixed, owners
 
+TREE = 64  # changes of weights that are added up in one step
+BODY = "block int, sender int, body binary"
 END = np.uint64(0)  # stands for the end token; no word hashes to it but by a 2**-64 chance
 
 
@@ -49,6 +53,7 @@ class Settings:
     bits: int = 14  # rows of the hashed table
     rounds: int = 2
     stride: int = 1  # a round learns from every so-many-th position of its documents; 1 is all of them
+    trainer: int = 1 << 23  # tokens of a trainer's share in a round
     batch: int = 4096
     rate: float = 0.3
     alpha: float = 0.1
@@ -124,20 +129,25 @@ class Lexicon:
         return np.where(self.sorted[at] == words, self.ids[at], self.size)
 
 
-def gathered(rows: DataFrame, width: int) -> dict[int, np.ndarray]:
-    """Sums of binary float rows by block; blocks are as many as the model has, whatever the corpus."""
+def gathered(rows: DataFrame, width: int, senders: int) -> dict[int, np.ndarray]:
+    """Sums of binary rows of doubles by block, in a tree over ``sender``; blocks are as many as the model has."""
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(b, np.float32).astype(np.float64) for b in rows.body)
-        return pd.DataFrame({"block": rows.block[:1], "body": [total.astype(np.float32).tobytes()]})
+        rows = rows.sort_values("sender")
+        total = sum(np.frombuffer(b, "<f8") for b in rows.body)
+        return pd.DataFrame({"block": rows.block[:1], "sender": rows.sender[:1] // TREE, "body": [total.tobytes()]})
 
-    found = rows.groupBy("block").applyInPandas(add, "block int, body binary").collect()
-    return {r.block: np.frombuffer(r.body, np.float32).reshape(-1, width) for r in found}
+    while True:
+        rows = rows.groupBy("block", F.floor(F.col("sender") / TREE).alias("__next")).applyInPandas(add, BODY)
+        senders = -(-senders // TREE)
+        if senders <= 1:
+            return {r.block: np.frombuffer(r.body, "<f8").reshape(-1, width) for r in rows.collect()}
 
 
-def sent(matrix: np.ndarray, rows: int = 512) -> pa.RecordBatch:
-    parts = [(k // rows, matrix[k : k + rows].astype(np.float32).tobytes()) for k in range(0, len(matrix), rows)]
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts])], ["block", "body"])
+def sent(matrix: np.ndarray, sender: int, rows: int = 512) -> pa.RecordBatch:
+    parts = [(k // rows, matrix[k : k + rows].astype("<f8").tobytes()) for k in range(0, len(matrix), rows)]
+    cells = [pa.array([p[0] for p in parts], pa.int32()), pa.array([sender] * len(parts), pa.int32()), pa.array([p[1] for p in parts], pa.binary())]
+    return pa.RecordBatch.from_arrays(cells, ["block", "sender", "body"])
 
 
 def company(training: DataFrame, words: np.ndarray, anchors: int) -> np.ndarray:
@@ -155,10 +165,12 @@ def company(training: DataFrame, words: np.ndarray, anchors: int) -> np.ndarray:
                     for a, b in ((ids[:-gap], ids[gap:]), (ids[gap:], ids[:-gap])):
                         both = np.flatnonzero((a < known.size) & (b < anchors) & (doc[gap:] == doc[:-gap]))
                         total += np.bincount(a[both] * anchors + b[both], minlength=len(total))
-        yield sent(total.reshape(-1, anchors))
+        yield sent(total.reshape(-1, anchors), TaskContext.get().partitionId())
 
-    parts = gathered(training.select("text").mapInArrow(count, "block int, body binary"), anchors)
-    return np.concatenate([parts[k] for k in sorted(parts)]) if parts else np.zeros((0, anchors), np.float32)
+    # whole numbers, so the sums are the same however texts are spread
+    tasks = max(1, training.sparkSession.sparkContext.defaultParallelism)
+    parts = gathered(training.select("text").coalesce(tasks).mapInArrow(count, BODY), anchors, tasks)
+    return np.concatenate([parts[k] for k in sorted(parts)]) if parts else np.zeros((0, anchors))
 
 
 def clustered(vectors: np.ndarray, k: int, steps: int = 20) -> np.ndarray:
@@ -209,56 +221,113 @@ def features(h: np.ndarray, first: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([salted(before[0], 1), salted(pair, 2), salted(before[1], 3), salted(before[2], 4)], 1).astype(np.int64)
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
-    return x
-
-
 def logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    out = weights[rows[:, 0]] + bias
+    out = weights[rows[:, 0]]
+    out += bias
     for k in range(1, rows.shape[1]):
         out += weights[rows[:, k]]
     return out
 
 
-def trained(training: DataFrame, lexicon: Lexicon, classes: np.ndarray, bias: np.ndarray, s: Settings) -> np.ndarray:
+def chances(z: np.ndarray) -> np.ndarray:
+    """Probabilities of the classes, in place of their logits."""
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
+
+
+def log_chance(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Log probability of each row's own class; the logits are used up."""
+    z -= z.max(1, keepdims=True)
+    mine = z[np.arange(len(z)), own]
+    np.exp(z, out=z)
+    return mine - np.log(z.sum(1))
+
+
+def run_sums(x: np.ndarray, edge: np.ndarray, size: np.ndarray, short: int = 16) -> np.ndarray:
+    """Sums of runs of rows: short runs side by side, long ones each on its own."""
+    out = x[edge]
+    open_ = np.flatnonzero((size > 1) & (size <= short))
+    k = 1
+    while len(open_):
+        out[open_] += x[edge[open_] + k]
+        k += 1
+        open_ = open_[size[open_] > k]
+    for q in np.flatnonzero(size > short).tolist():
+        out[q] = x[edge[q] : edge[q] + size[q]].sum(0)
+    return out
+
+
+def step(w: np.ndarray, speed: np.ndarray, rows: np.ndarray, target: np.ndarray, bias: np.ndarray, rate: float) -> None:
+    """One AdaGrad step; a table row's gradient is the sum over its positions by the root of their number."""
+    slope = chances(logits(w, bias, rows))
+    slope[np.arange(len(rows)), target] -= 1
+    key = rows.T.ravel()
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size, found = np.diff(np.append(edge, len(key))), key[edge]
+    g = run_sums(slope[order % len(rows)], edge, size)
+    g /= np.sqrt(size).astype(np.float32)[:, None]
+    now = speed[found] + np.einsum("ij,ij->i", g, g)
+    speed[found] = now
+    g *= (rate / np.sqrt(now))[:, None]
+    w[found] -= g
+
+
+def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array]]:
+    """Trainer and texts of each run of rows of one trainer."""
+    for batch in batches:
+        trainer = batch.column(0).to_numpy()
+        edge = [*np.flatnonzero(np.diff(trainer, prepend=-1)).tolist(), len(trainer)]
+        for a, z in zip(edge[:-1], edge[1:]):
+            yield int(trainer[a]), batch.column(1).slice(a, z - a)
+
+
+def trained(training: DataFrame, lexicon: Lexicon, classes: np.ndarray, bias: np.ndarray, tokens: int, s: Settings) -> np.ndarray:
     """The hashed table after ``rounds`` of averaged local steps, each over its own share of documents."""
-    spark = training.sparkSession
-    width = len(bias)
+    spark, width = training.sparkSession, len(bias)
+    trainers = max(1, round(tokens / s.rounds / s.trainer))
     weights = np.zeros((1 << s.bits, width), np.float32)
+    kind = np.uint16 if s.bits <= 16 else np.int64  # short keys are sorted by counting
     for round_ in range(s.rounds):
         start = spark.sparkContext.broadcast((lexicon, classes, bias, weights))
-        share = training.where(F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(s.rounds)) == round_).select("text")
-
-        def learn(batches: Iterator[pa.RecordBatch], start=start, round_=round_) -> Iterator[pa.RecordBatch]:
-            known, kind, shift, common = start.value
-            w, speed = common.copy(), np.full(len(common), 1e-3, np.float32)
-            steps = 0
-            for batch in batches:
-                for _, _, block in blocks(batch.column(0)):
+        deal = F.xxhash64("doc_id", "text", F.lit(31))
+        share = training.where(F.pmod(deal, F.lit(s.rounds)) == round_).select(
+            F.pmod(F.shiftright(deal, 8), F.lit(trainers)).cast("int").alias("trainer"), "text", deal.alias("at")
+        )
+        share = share.repartition(trainers, "trainer").sortWithinPartitions("trainer", "at", "text").select("trainer", "text")
+
+        def learn(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
+            known, class_of, shift, common = start.value
+            trainer, steps = None, 0
+            w = speed = None
+
+            def change() -> pa.RecordBatch:
+                return sent(np.concatenate([w - common, np.full((1, width), float(steps > 0), np.float32)]), trainer)
+
+            for own, texts in runs_of(batches):
+                if own != trainer:
+                    if trainer is not None:
+                        yield change()
+                    trainer, steps = own, 0
+                    w, speed = common.copy(), np.full(len(common), 1e-3, np.float32)
+                for _, _, block in blocks(texts):
                     h, first = token_stream(block)
-                    rows, target = features(h, first, s.bits), kind[known.find(h)]
-                    chosen = np.arange((7 * steps) % s.stride, len(h), s.stride)
-                    chosen = np.random.default_rng(steps).permutation(chosen)
+                    chosen = np.random.default_rng(steps).permutation(np.arange((7 * steps) % s.stride, len(h), s.stride))
+                    rows, target = features(h, first, s.bits)[chosen].astype(kind), class_of[known.find(h)][chosen]
                     for at in range(0, len(chosen), s.batch):
-                        own = chosen[at : at + s.batch]
-                        slope = np.exp(log_softmax(logits(w, shift, rows[own])))
-                        slope[np.arange(len(own)), target[own]] -= 1
-                        for k in range(rows.shape[1]):
-                            order = np.argsort(rows[own, k], kind="stable")
-                            found, edge, size = np.unique(rows[own, k][order], return_index=True, return_counts=True)
-                            g = np.add.reduceat(slope[order], edge, axis=0) / np.sqrt(size)[:, None]
-                            speed[found] += (g * g).sum(1)
-                            w[found] -= s.rate * g / np.sqrt(speed[found])[:, None]
+                        step(w, speed, rows[at : at + s.batch], target[at : at + s.batch], shift, s.rate)
                         steps += 1
-            yield sent(np.concatenate([w - common, np.full((1, width), float(steps > 0), np.float32)]) if steps else np.zeros((len(common) + 1, width)))
+            if trainer is not None:
+                yield change()
 
-        parts = gathered(share.mapInArrow(learn, "block int, body binary"), width)
+        parts = gathered(share.mapInArrow(learn, BODY), width, trainers)
         start.unpersist()
         if parts:
             total = np.concatenate([parts[k] for k in sorted(parts)])
-            weights = weights + total[:-1] / max(1.0, float(total[-1, 0]))
+            weights = (weights + total[:-1] / max(1.0, float(total[-1, 0]))).astype(np.float32)
     return weights
 
 
@@ -268,20 +337,19 @@ def scored(documents: DataFrame, s: Settings | None = None) -> DataFrame:
     spark = documents.sparkSession
     held_out = crc_of_id(F.col("doc_id")) % s.folds == 0
     training = documents.where(~held_out).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    trainers = training.coalesce(max(1, spark.sparkContext.defaultParallelism))
     counts = stored(word_counts(training), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     words, seen = most_frequent(counts, s.lookups)
     own = min(s.vocabulary, len(words))
     lexicon = Lexicon(words[:own])
-    vectors = company(trainers, words[:own], min(s.anchors, own)) if own else np.zeros((0, 1))
+    vectors = company(training, words[:own], min(s.anchors, own)) if own else np.zeros((0, 1))
     width = s.clusters * s.bands + 2
     classes = np.append(classes_of(words[:own], seen[:own], vectors, s), width - 1)
     mass = np.bincount(classes[:-1], seen[:own], width)
     rest, kinds = total - int(seen[:own].sum()), distinct - own
     mass[-1] = rest
     bias = np.log((mass + 0.5) / (mass.sum() + 0.5 * width)).astype(np.float32)
-    weights = trained(trainers, lexicon, classes, bias, s)
+    weights = trained(training, lexicon, classes, bias, int(total), s)
     inside = np.log10(seen[:own] / mass[classes[:-1]]) if own else np.zeros(0)
     below, below_rest = np.log10(total + s.alpha * (distinct + 1)), np.log10(rest + s.alpha * (kinds + 1))
     model = spark.sparkContext.broadcast((Lexicon(words), lexicon, seen, classes, bias, weights, inside))
@@ -299,8 +367,7 @@ def scored(documents: DataFrame, s: Settings | None = None) -> DataFrame:
                 rows = features(h, first, s.bits)
                 log_class = np.empty(len(h))
                 for at in range(0, len(h), s.batch):
-                    z = log_softmax(logits(weights, bias, rows[at : at + s.batch]))
-                    log_class[at : at + s.batch] = z[np.arange(len(z)), own[at : at + s.batch]]
+                    log_class[at : at + s.batch] = log_chance(logits(weights, bias, rows[at : at + s.batch]), own[at : at + s.batch])
                 sums = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  every text has its end token
                 rare = np.flatnonzero(ids == known.size)
                 doc = owners(first, len(h))[rare]
