@@ -11,6 +11,7 @@ from windrow.config import Features
 from windrow.fixed_values import CHANNEL_STATS
 from windrow.functions.arrays import differences, line_length, variance
 from windrow.functions.arrow_kernels import feature_vector, power_density
+from windrow.operators.order_stats import percentiles
 
 
 def channel_features(signals: DataFrame, fs: float, spec: Features) -> DataFrame:
@@ -97,20 +98,17 @@ def line_noise_ratio(
 
 
 def channel_stats(signals: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean, population std and 5/50/95 percentiles of all samples per channel.
+    """Mean, population std and exact 5/50/95 percentiles of all samples per channel.
 
-    Samples are 16-bit on file, so the exact percentile holds at most 65,536 distinct values.
+    Percentiles are selected in narrowing steps (``order_stats``), so a channel's samples are never in one task.
     """
-    p = F.percentile("x", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return (
-        signals.select(*keys, F.explode("samples").alias("x"))
-        .groupBy(*keys)
-        .agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), p.alias("p"))
-        .select(
-            *keys, "mean", "std",
-            F.col("p")[0].alias("p05"), F.col("p")[1].alias("p50"), F.col("p")[2].alias("p95"),
-        )
-    )
+    rows = signals.select(*keys, F.explode("samples").alias("x"))
+    whole = rows.groupBy(*keys).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    p = percentiles(rows, keys, "x", [0.05, 0.5, 0.95])
+    return whole.join(p, keys).select(
+        *keys, "mean", "std",
+        F.col("p")[0].alias("p05"), F.col("p")[1].alias("p50"), F.col("p")[2].alias("p95"),
+    )
 
 
 def display_slice(
