@@ -227,6 +227,34 @@ def test_pseudo_records(spark, chunk):
     assert got == [0] * 7 + [1] * 6 + [2] * 9
 
 
+@pytest.mark.parametrize("fan", [2, 3])
+def test_pseudo_records_of_a_long_line_in_levels(spark, fan):
+    """Runs over many chunks, and cuts counted over levels of chunks, against a plain walk."""
+    import random
+
+    r = random.Random(fan)
+    seq = "".join(c * r.choice([1, 2, 9, 40]) for _ in range(14) for c in "01")
+    df = spark.createDataFrame([(i, int(c)) for i, c in enumerate(seq)], "row_index long, label int").repartition(5)
+    # fan ** 3 blocks of chunks span the line
+    out = sp.pseudo_records(df, chunk=len(seq) // fan**3 + 1, fan=fan)
+    got = [x["pseudo_record"] for x in out.orderBy("row_index").collect()]
+    want, n, i = [0] * len(seq), 0, 0
+    cuts = []
+    while i < len(seq):
+        j = i
+        while j < len(seq) and seq[j] == seq[i]:
+            j += 1
+        if seq[i] == "0" and i > 0 and j < len(seq):
+            cuts.append(i + (j - i) // 2)
+        i = j
+    for k in range(len(seq)):
+        n += k in cuts
+        want[k] = n
+    assert got == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
 def test_repeats_keep_the_first_of_a_large_group(spark):
     df = spark.range(1000).select(F.col("id").alias("row_index"), F.when(F.col("id") < 700, "x").otherwise(F.col("id").cast("string")).alias("row_hash"))
     out = sp.mark_repeats(df)

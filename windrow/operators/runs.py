@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windrow.functions.ranges import explode_range
+from windrow.operators.scans import FAN, stitched, stitched_in_levels
 
 CHUNK = 4096
 
@@ -17,6 +18,7 @@ def islands(
     extra: list[Column] | None = None,
     merge: list[Column] | None = None,
     chunk: int = CHUNK,
+    fan: int = FAN,
 ) -> DataFrame:
     """Maximal stretches of consecutive ``idx`` per key: ``first_idx``, ``last_idx``, ``n``.
 
@@ -33,21 +35,12 @@ def islands(
         .groupBy(*keys, "__chunk", "__island")
         .agg(F.min(idx).alias("first_idx"), F.max(idx).alias("last_idx"), *extra)
     )
-    at_edge = (F.pmod("first_idx", F.lit(chunk)) == 0) | (
-        F.pmod("last_idx", F.lit(chunk)) == chunk - 1
-    )
-    zone = F.when(at_edge, F.lit(None)).otherwise(F.col("__chunk"))
-    along = Window.partitionBy(*keys, "__zone").orderBy("first_idx")
-    starts = F.coalesce(F.lag("last_idx").over(along) + 1 != F.col("first_idx"), F.lit(True))
-    return (
-        fragments.withColumn("__zone", zone)
-        .withColumn("__starts", starts.cast("int"))
-        .withColumn("__run", F.sum("__starts").over(along))
-        .groupBy(*keys, "__zone", "__run")
-        .agg(F.min("first_idx").alias("first_idx"), F.max("last_idx").alias("last_idx"), *merge)
-        .drop("__zone", "__run")
-        .withColumn("n", F.col("last_idx") - F.col("first_idx") + 1)
-    )
+    # a line without a key is stitched in levels; with keys, a record's fragments are two for each chunk
+    if keys:
+        joined = stitched(fragments.drop("__chunk", "__island"), keys, chunk, None, merge)
+    else:
+        joined = stitched_in_levels(fragments.drop("__chunk", "__island"), keys, chunk, merge, fan=fan)
+    return joined.withColumn("n", F.col("last_idx") - F.col("first_idx") + 1)
 
 
 def positive_runs(

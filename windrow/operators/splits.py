@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from windrow.operators.quality import require
 from windrow.operators.ranking import hash_rank
 from windrow.operators.runs import islands
+from windrow.operators.scans import FAN, sums_before
 
 CHUNK = 4096
 
@@ -95,28 +96,22 @@ def downsample_negatives(
     return positive.unionByName(kept.select(*positive.columns))
 
 
-def pseudo_records(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def pseudo_records(rows: DataFrame, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """Rows with ``pseudo_record``: cuts at the middle of every interior run of label 0.
 
     ``row_index`` is dense from 0. Runs come from chunked islands; the group number is the
-    number of cuts up to the row, as cuts in earlier chunks plus cuts in the row's own chunk.
+    number of cuts up to the row, as cuts in earlier chunks plus cuts in the row's own chunk. Both the
+    runs and the cuts before a chunk are combined in levels, so no task holds the edges of the whole table.
     """
-    last = rows.agg(F.max("row_index").alias("__last"))
-    zeros = islands(rows.where("label = 0"), [], idx="row_index", chunk=chunk)
-    # the one-row maximum is joined on a constant key
-    zeros = zeros.withColumn("__k", F.lit(0)).join(last.withColumn("__k", F.lit(0)), "__k")
-    cuts = zeros.where((F.col("first_idx") > 0) & (F.col("last_idx") < F.col("__last"))).select(
+    last = rows.agg(F.max("row_index")).head()[0]  # one number
+    zeros = islands(rows.where("label = 0"), [], idx="row_index", chunk=chunk, fan=fan)
+    cuts = zeros.where((F.col("first_idx") > 0) & (F.col("last_idx") < F.lit(last))).select(
         (F.col("first_idx") + F.floor(F.col("n") / 2)).alias("row_index"),
         F.lit(1).alias("__cut"),
     )
     block = F.floor(F.col("row_index") / chunk)
-    earlier = Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     marked = rows.join(cuts, "row_index", "left").withColumn("__chunk", block)
-    per_chunk = (
-        marked.groupBy("__chunk")
-        .agg(F.count("__cut").alias("__n"))
-        .select("__chunk", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    )
+    per_chunk = sums_before(marked.groupBy("__chunk").agg(F.count("__cut").alias("__n")), "__chunk", "__n", "__before", fan=fan)
     inside = Window.partitionBy("__chunk").orderBy("row_index")
     return (
         marked.join(per_chunk, "__chunk")
