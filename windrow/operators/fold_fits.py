@@ -559,18 +559,10 @@ def scored_here(b: Block, fold: int, kind: str, body) -> np.ndarray:
     return sum(values[t.step(np.full(len(rows), r), rows, bins, FOREST_BINS)] for r in range(roots))
 
 
-def fold_scores(
-    rows: DataFrame, columns: list[str], train: Column, held: Column, folds: int, fits: list[Fit], seed: int,
-    uid: str = "window_uid", size: int | None = None,
-) -> DataFrame:
-    """Scores of every fold's held-out rows under every fit of the fold.
-
-    ``train`` is an array of booleans, one for each fold; ``held`` an array of small integers, 0 where the fold does
-    not hold the row out. Columns: those of ``rows`` without the features, ``fold``, ``held``, ``fit`` (index into
-    ``fits``), ``score``. Absent values are null or NaN: boosting learns their side, the other models take the
-    median of the fold's training rows. Bin edges come from all given rows, without labels. ``uid`` names a row;
-    draws of forests belong to it. A fold of one class scores that class.
-    """
+def fitted(
+    rows: DataFrame, columns: list[str], train: Column, held: Column, folds: int, fits: list[Fit], seed: int, uid: str, size: int | None = None
+) -> tuple[DataFrame, Facts, DataFrame, DataFrame, int]:
+    """The models of all fits as a stored table, and what they were fitted from: facts, blocks of keys and of numbers."""
     if len(columns) >= CURVED and any(f.name == "logreg" for f in fits):
         raise ValueError(f"logistic fits of all folds at once take fewer than {CURVED} columns")
     spark = rows.sparkSession
@@ -583,7 +575,22 @@ def fold_scores(
     facts = Facts(len(columns), np.zeros(folds), np.zeros(folds), median, edges, centre, seed)
     count = Everywhere(blocks, facts).summed(lambda b: [(0, np.stack([b.train.sum(axis=0), (b.train * b.labels[:, None]).sum(axis=0)]).ravel().astype(float))])
     facts.rows, facts.positives = count[0].reshape(2, -1) if count else np.zeros((2, folds))
-    models = pinned(models_of(spark, blocks, n_blocks, facts, fits))
+    return pinned(models_of(spark, blocks, n_blocks, facts, fits)), facts, arrays, blocks, n_blocks
+
+
+def fold_scores(
+    rows: DataFrame, columns: list[str], train: Column, held: Column, folds: int, fits: list[Fit], seed: int,
+    uid: str = "window_uid", size: int | None = None,
+) -> DataFrame:
+    """Scores of every fold's held-out rows under every fit of the fold.
+
+    ``train`` is an array of booleans, one for each fold; ``held`` an array of small integers, 0 where the fold does
+    not hold the row out. Columns: those of ``rows`` without the features, ``fold``, ``held``, ``fit`` (index into
+    ``fits``), ``score``. Absent values are null or NaN: boosting learns their side, the other models take the
+    median of the fold's training rows. Bin edges come from all given rows, without labels. ``uid`` names a row;
+    draws of forests belong to it. A fold of one class scores that class.
+    """
+    models, facts, arrays, blocks, n_blocks = fitted(rows, columns, train, held, folds, fits, seed, uid, size)
     pairs = models.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks.select("block", "hashes", "labels", "values", "bins", "train", "held", "raw"), "block")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
