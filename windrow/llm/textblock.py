@@ -10,6 +10,7 @@ strings of one text collide with a chance of about 2**-64.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,26 @@ _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _FINAL = np.uint64(0xFF51AFD7ED558CCD)
 
 
+def _trimmer():
+    """The C library's call that gives freed memory back, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+_trim = _trimmer()
+
+
+def give_back() -> None:
+    """Return memory that is not in use: a worker lives on from task to task and keeps its high-water mark else."""
+    if len(_powers[0]) > 4 * BLOCK_BYTES:
+        _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def table_of(chars: bytes) -> np.ndarray:
     t = np.zeros(256, bool)
     t[list(chars)] = True
@@ -145,6 +166,7 @@ def blocks(texts: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES) -> Itera
         buf[: z - a] = data[a:z]
         yield lo, hi, Block(buf, offs[lo : hi + 1] - a)
         lo = hi
+    give_back()
 
 
 def lower_ascii(buf: np.ndarray) -> np.ndarray:
