@@ -139,6 +139,14 @@ def relabel(windows: DataFrame, min_overlap_frac) -> DataFrame:
     )
 
 
+def at_each_overlap(windows: DataFrame, fractions=OVERLAP_FRACTIONS) -> DataFrame:
+    """Windows under each of the few overlap thresholds, relabelled; what stays guard is left out there."""
+    every = windows.withColumn("min_overlap_frac", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
+    reached = F.col("overlap_frac") >= F.col("min_overlap_frac")
+    kept = every.where((F.col("label") != GUARD) | reached)
+    return kept.withColumn("label", F.when(reached, ICTAL).otherwise(INTERICTAL))
+
+
 def overlap_sweep(windows: DataFrame, fractions=OVERLAP_FRACTIONS) -> DataFrame:
     """Class sizes at each overlap threshold, guard counted apart; one pass, no row copies."""
     ov, guard = F.col("overlap_frac"), F.col("label") == GUARD

@@ -11,5 +11,6 @@ def register_all() -> None:
         signal_features,
         sources_labels,
         splits_ledger,
+        stored_queries,
         windows_events,
     )

@@ -105,6 +105,13 @@ def grouped_evaluation(t: Tables):
     return md.grouped_evaluation(distinct_rows(t), COLUMNS, SETTINGS, truth(t))
 
 
+@query()
+def event_selected_evaluation(t: Tables):
+    """The same with fold scores by event F2 instead of window F2."""
+    tr = replace(SETTINGS.training, models=("dummy", "logreg"), select_on="event_f2")
+    return md.grouped_evaluation(distinct_rows(t), COLUMNS, replace(SETTINGS, training=tr), truth(t))
+
+
 @query()
 def random_window_evaluation(t: Tables):
     """The contrast that ignores subjects."""

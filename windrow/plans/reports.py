@@ -298,11 +298,30 @@ def sweep_summary(t: Tables):
     return rp.sweep_summary(detail(t), "model")
 
 
-@query(sql("SELECT arg_max(f, v) AS min_overlap_frac FROM (SELECT f::DOUBLE AS f, count(*) FILTER (overlap_frac >= f) AS v FROM fx_window, (VALUES (0.1), (0.25), (0.5), (0.75)) x(f) GROUP BY 1)"))
+OVERLAP_VIEWS = {
+    "ov_row": """
+        SELECT f::DOUBLE AS f, (overlap_frac >= f)::INTEGER AS label, score
+        FROM fx_score, (VALUES (0.1), (0.25), (0.5), (0.75)) x(f) WHERE label <> -1 OR overlap_frac >= f""",
+    **ranking_views("ov_row", "f"),
+}
+
+
+def overlap_scores(t: Tables):
+    """Average precision of the same scores under each overlap threshold's labels."""
+    frame = wn.at_each_overlap(fx.scored(t))
+    return mt.ranking_metrics(frame, ["min_overlap_frac"]).select("min_overlap_frac", "pr_auc")
+
+
+@query(sql("SELECT key_id AS min_overlap_frac, round(pr_auc, 6) AS pr_auc FROM rk_area", **OVERLAP_VIEWS))
+def overlap_precision(t: Tables):
+    """Average precision of real scores at each overlap threshold."""
+    return overlap_scores(t)
+
+
+@query(sql("SELECT arg_max(key_id, pr_auc) AS min_overlap_frac FROM rk_area", **OVERLAP_VIEWS))
 def best_overlap_threshold(t: Tables):
-    """the setting with the best figure."""
-    rows = wn.overlap_sweep(fx.windows(t)).withColumn("pr_auc", F.col("n_positive").cast("double"))
-    return rp.best_setting(rows, "min_overlap_frac")
+    """the overlap threshold with the best average precision."""
+    return rp.best_setting(overlap_scores(t), "min_overlap_frac")
 
 
 METRICS = ["precision", "recall", "f2", "pr_auc", "n_detected", "event_sensitivity", "fa_per_hour"]

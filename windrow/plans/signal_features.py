@@ -339,14 +339,20 @@ def csv_feature_table(t: Tables):
 
 @query()
 def scored_recordings(t: Tables):
-    """A fitted model over the feature table of new recordings."""
-    from windrow.operators import models as md
+    """A model fitted on some recordings, stored, loaded, and applied to the others."""
+    import uuid
+
+    from windrow.operators import shipped as sh
     from windrow.operators.labels import case_registry
+    from windrow.session import shared_folder
 
     states, iv = _small_truth(t)
     vectors = ex.features_of_contents(fl.recording_contents(t), PLAN, SMALL)
     table = ex.labelled_features(states, vectors, SMALL, iv, case_registry(t.spark), "aggregated")
     columns = ft.aggregated_names(SMALL.features.names)
-    table = t.keep("recordings", lambda: table)
-    model = md.fit("logreg", table, columns, 42)
-    return md.score_recordings(model, table, columns).select("record_id", "window_idx", "label", "score")
+    table = t.keep("recordings", lambda: table.withColumn("window_uid", F.concat_ws("_", "record_id", F.col("window_idx").cast("string"))))
+    old = F.pmod(F.xxhash64("record_id"), F.lit(2)) == 0
+    path = f"{shared_folder(t.spark)}/windrow-model-{uuid.uuid4().hex}"
+    sh.ship(table.where(old), columns, "logreg", 42, SMALL.extraction_hash, path)
+    new = table.where(~old).select("record_id", "window_idx", "label", *[F.col(f"`{c}`") for c in columns])
+    return sh.score_with(new, path, SMALL.extraction_hash)
