@@ -39,17 +39,12 @@ FEATURE_SCHEMA = (
 FEATURE_NAMES = ["record_id", "window_idx", "channels", "features", "error"]
 
 
-def clean_block(block: dict, settings: Settings, halo_sec: float) -> np.ndarray:
-    """A block with halos, filtered; reflected where the recording begins or ends."""
-    x, halo = block["samples"], int(halo_sec * block["fs"])
-    first = block["block_start"] - block["halo_left"]
-    last = first + x.shape[-1]
+def clean_block(block: dict, settings: Settings) -> np.ndarray:
+    """A block with halos, filtered."""
+    x = block["samples"]
     absent = np.isnan(x).any(axis=-1)
-    y = kernels.zero_phase(
-        np.where(absent[:, None], 0.0, x), block["fs"], settings.signal.notch_hz,
-        settings.signal.bandpass, halo if first == 0 else 0,
-        halo if last >= block["n_samples"] else 0,
-    ).astype(np.float32)
+    signal = settings.signal
+    y = kernels.zero_phase(np.where(absent[:, None], 0.0, x), block["fs"], signal.notch_hz, signal.bandpass).astype(np.float32)
     y[absent] = np.nan
     return y
 
@@ -67,7 +62,7 @@ def block_features(block: dict, settings: Settings, halo_sec: float) -> pa.Recor
     idx = idx[idx * hop + size <= block["n_samples"]]
     if not len(idx):
         return None
-    y = clean_block(block, settings, halo_sec)
+    y = clean_block(block, settings)
     at = idx * hop - lo + block["halo_left"]
     cut = y[:, at[:, None] + np.arange(size)].swapaxes(0, 1)
     f = kernels.features(cut, block["fs"], dict(feats.bands), feats.welch_nperseg, feats.welch_noverlap)
@@ -159,7 +154,7 @@ def filter_blocks(blocks: DataFrame, settings: Settings, halo_sec: float = 40.0)
     def run(batches):
         for batch in batches:
             for block in block_dicts(batch):
-                y = clean_block(block, settings, halo_sec)
+                y = clean_block(block, settings)
                 core = y[:, block["halo_left"] : block["halo_left"] + block["block_len"]]
                 head = [pa.array([block[f.name]], f.type) for f in list(schema)[:-1]]
                 yield pa.RecordBatch.from_arrays([*head, nested(core[None])], schema=schema)

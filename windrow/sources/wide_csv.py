@@ -79,12 +79,12 @@ def read_wide_csv(
 
 
 def csv_features(
-    rows: DataFrame, settings: Settings, fs: float = CSV_SAMPLE_RATE, notch: bool = True, pad_sec: float = 4.0
+    rows: DataFrame, settings: Settings, fs: float = CSV_SAMPLE_RATE, notch: bool = True
 ) -> DataFrame:
     """Aggregated feature view of wide rows, with pseudo-records and repeat marks.
 
     Channels have no labels here and rows no subject, so there is no per-channel view and the
-    subject is null. Rows are reflected by ``pad_sec`` (or their length, if shorter) for the filter.
+    subject is null.
     """
     feats, signal = settings.features, settings.signal
     bands = dict(feats.bands)
@@ -98,8 +98,7 @@ def csv_features(
             return pa.nulls(len(column), pa.list_(pa.float32()))
         x = values.reshape(len(column), len(channels) // len(column), -1)
         if notch:
-            pad = int(pad_sec * fs)
-            x = kernels.zero_phase(x, fs, signal.notch_hz, signal.bandpass, pad, pad)
+            x = kernels.zero_phase(x, fs, signal.notch_hz, signal.bandpass)
         f = kernels.features(x.astype(np.float32), fs, bands, feats.welch_nperseg, feats.welch_noverlap)
         return pa.array(list(kernels.across_channels(f)), pa.list_(pa.float32()))
 
