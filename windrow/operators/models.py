@@ -8,7 +8,9 @@ shipped model is a Spark ML pipeline.
 from __future__ import annotations
 
 import itertools
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -419,11 +421,13 @@ def overlap_model_sweep(
 
     from windrow.operators.report import sweep_summary
 
-    parts = []
-    for f in fractions:
+    def evaluated(f: float) -> DataFrame:
         training = replace(settings.training, models=(model,), search=False, relabel_overlap_min=f)
         detail = grouped_evaluation(rows, columns, replace(settings, training=training), truth, None, bin_sec)
-        parts.append(detail.withColumn("min_overlap_frac", F.lit(float(f))))
+        return pinned(detail.withColumn("min_overlap_frac", F.lit(float(f))))
+
+    with ThreadPoolExecutor(len(fractions)) as pool:  # a few thresholds, side by side
+        parts = list(pool.map(inheritable_thread_target(rows.sparkSession)(evaluated), fractions))
     detail = parts[0]
     for part in parts[1:]:
         detail = detail.unionByName(part)
