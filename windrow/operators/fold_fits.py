@@ -514,9 +514,9 @@ def models_of(spark: SparkSession, blocks: DataFrame, n_blocks: int, facts: Fact
                     kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-        # boosting, the longest work, is dealt first; every piece is a partition of its own
-        numbered_pieces = spark.range(len(pieces), numPartitions=len(pieces)).select(F.col("id").cast("int").alias("piece"), F.lit(0).alias("block"))
-        with_rows = numbered_pieces.join(F.broadcast(blocks), "block")  # the only block, of bounded size
+        # the only block, of bounded size, goes to every piece of work
+        each = blocks.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(len(pieces) - 1))))
+        with_rows = each.repartition(min(len(pieces), 1024), "piece")
         return constants.unionByName(with_rows.mapInArrow(fit_piece, MODEL))
     every, out = Everywhere(blocks, facts), []
     linear = [x for (kind, _, _), some in work.items() if kind == "logreg" for x in some]
