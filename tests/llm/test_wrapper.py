@@ -166,3 +166,13 @@ def test_deep_and_long_pages_are_matched_quickly():
     assert time.perf_counter() - t < 3
     html = "<div>" * 2000 + "deep down" + "</div>" * 2000
     assert wr.main_text(page(html), {}) == "deep down"
+
+
+def test_long_lists_are_matched_as_fully_as_short_ones():
+    """Lists shifted against each other: the k-th child of a label does not match the other list's k-th."""
+    for n in (20, 300):  # 300 children were more than a bound on the pairs that were all tried
+        a, b = (
+            wr.tree([(f"/body/{'p' if k % 2 else f'div/{name}{k // 2}'}", str(k), 0, False, False) for k in range(2 * n)][lo:] + [(f"/body/{end}", "", 0, False, False)])
+            for lo, name, end in ((0, "a", "i"), (10, "a", "b"))
+        )
+        assert wr.aligned(a, b)[0] == brute_aligned(a, b)

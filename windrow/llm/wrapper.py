@@ -27,8 +27,8 @@ from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import blake2b
 from html import unescape
-from itertools import groupby
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -234,14 +234,10 @@ def tree(page: list[tuple[str, str, int, bool, bool]]) -> Node:
     return root
 
 
-WIDE = 1 << 14  # pairs of children that are all tried
+def unlike(a: Node, b: Node) -> tuple[int, int]:
+    """How many children at the start and at the end of both lists have equal shapes.
 
-
-def candidates(a: Node, b: Node) -> tuple[int, int, list[tuple[int, int]]]:
-    """Children of equal shape at both ends, and the pairs between them that may match.
-
-    Children that are alike in shape at the start and the end of both lists match each other in a largest matching.
-    Where very many are left, the k-th child of a label is tried with the other page's k-th of it.
+    They match each other in a largest matching.
     """
     x, y = a.children, b.children
     m, n, start, end = len(x), len(y), 0, 0
@@ -249,98 +245,110 @@ def candidates(a: Node, b: Node) -> tuple[int, int, list[tuple[int, int]]]:
         start += 1
     while end < min(m, n) - start and x[m - 1 - end].shape == y[n - 1 - end].shape:
         end += 1
-    left, right = range(start, m - end), range(start, n - end)
-    if len(left) * len(right) <= WIDE:
-        return start, end, [(i, j) for i in left for j in right if x[i].label == y[j].label]
-    seen: dict[tuple[str, int], int] = {}
-    count: dict[str, int] = {}
-    for j in right:
-        k = count[y[j].label] = count.get(y[j].label, -1) + 1
-        seen[y[j].label, k] = j
-    count, pairs = {}, []
-    for i in left:
-        k = count[x[i].label] = count.get(x[i].label, -1) + 1
-        if (x[i].label, k) in seen:
-            pairs.append((i, seen[x[i].label, k]))
-    return start, end, pairs
-
-
-def heaviest(pairs: list[tuple[int, int]], weight: dict[tuple[int, int], int]) -> list[tuple[int, int]]:
-    """The chain of pairs, rising on both sides, with the greatest total weight.
-
-    The best chain up to each second number is kept in a binary indexed tree, so a pair costs a logarithm.
+    return start, end
+
+
+SMALL = 64  # pairs of children up to which a row of sums is faster without NumPy
+
+
+def sums_below(top, weights: list, rows: list[int], right, small: bool) -> list:
+    """Greatest total weights of chains up to each child, a row for each of ``rows`` below the row ``top``."""
+    out = [top]
+    for r in rows:
+        last = out[-1]
+        if small:
+            row = [0]
+            for j, k in enumerate(right):
+                w = weights[r][k]
+                row.append(max(last[j + 1], row[j], last[j] + w))
+        else:
+            row = np.empty_like(last)
+            row[0] = 0
+            np.maximum(last[1:], last[:-1] + weights[r][right], out=row[1:])
+            np.maximum.accumulate(row, out=row)
+        out.append(row)
+    return out
+
+
+def heaviest(left: list[int], right: list[int], weights: list[list[int]]) -> tuple[int, list[tuple[int, int]]]:
+    """The chain of pairs, rising on both sides, with the greatest total weight, and that weight.
+
+    ``left`` and ``right`` number the kinds of the two lists, ``weights`` holds a row for each kind on the left (0: no
+    match). Every pair is tried. Only each ``step``-th row of sums is kept; the rows between are summed again.
     """
-    if not pairs:
-        return []
-    low, n = min(j for _, j in pairs), max(j for _, j in pairs) - min(j for _, j in pairs) + 1
-    top: list[tuple[int, tuple | None]] = [(0, None)] * (n + 1)
-    for _, row in groupby(sorted(pairs), key=lambda p: p[0]):
-        new = []
-        for i, j in row:  # pairs of one first number do not build on each other
-            k, best = j - low, (0, None)
-            while k > 0:
-                best = max(best, top[k], key=lambda x: x[0])
-                k -= k & -k
-            new.append((j - low + 1, (best[0] + weight[i, j], ((i, j), best[1]))))
-        for k, found in new:
-            while k <= n:
-                if found[0] > top[k][0]:
-                    top[k] = found
-                k += k & -k
-    best, k = (0, None), n
-    while k > 0:
-        best = max(best, top[k], key=lambda x: x[0])
-        k -= k & -k
-    out, link = [], best[1]
-    while link:
-        out.append(link[0])
-        link = link[1]
-    return out[::-1]
+    small = len(left) * len(right) <= SMALL
+    top = [0] * (len(right) + 1) if small else np.zeros(len(right) + 1, np.int64)
+    if not small:
+        weights, right = [np.array(w, np.int64) for w in weights], np.array(right)
+    step = max(16, int(len(left) ** 0.5))
+    kept = [top]
+    for lo in range(0, len(left), step):
+        kept.append(sums_below(kept[-1], weights, left[lo : lo + step], right, small)[-1])
+    best, out, i, j, rows = int(kept[-1][-1]), [], len(left), len(right), []
+    while i and j:
+        lo = (i - 1) // step * step
+        if not rows:
+            rows = sums_below(kept[lo // step], weights, left[lo : lo + step], right, small)
+        here = rows[i - lo][j]
+        if here == rows[i - lo - 1][j]:
+            i -= 1
+        elif here == rows[i - lo][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        if i == lo:
+            rows = []
+    return best, out[::-1]
+
+
+def kinds(nodes: list[Node]) -> tuple[list[Node], list[int]]:
+    """One node of each shape, and the number of each node's shape."""
+    first = {x.shape: x for x in reversed(nodes)}
+    number = {shape: k for k, shape in enumerate(first)}
+    return list(first.values()), [number[x.shape] for x in nodes]
 
 
 def aligned(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     """Simple tree matching: size of the largest ordered matching of two trees, and its pairs.
 
-    Pairs of nodes are listed from the roots down and matched from the leaves up, without recursion. Nodes of
-    equal shape match as a whole.
+    Pairs of shapes are listed from the roots down and matched from the smallest up, without recursion: what two nodes
+    match depends on their shapes alone. Nodes of equal shape match as a whole.
     """
     if a.label != b.label:
         return 0, []
-    listed, at = [(a, b)], {(id(a), id(b)): 0}
-    below: list[tuple | None] = []
+    listed, at, below = [(a, b)], {(a.shape, b.shape): 0}, []
     for x, y in listed:  # grows while it is read
         if x.shape == y.shape:
             below.append(None)
             continue
-        start, end, pairs = candidates(x, y)
-        below.append((start, end, pairs))
-        for i, j in pairs:
-            c, d = x.children[i], y.children[j]
-            if (id(c), id(d)) not in at:
-                at[id(c), id(d)] = len(listed)
-                listed.append((c, d))
+        start, end = unlike(x, y)
+        (p, left), (q, right) = kinds(x.children[start : len(x.children) - end]), kinds(y.children[start : len(y.children) - end])
+        below.append((start, end, p, left, q, right))
+        for c in p:
+            for d in q:
+                if c.label == d.label and c.shape != d.shape and (c.shape, d.shape) not in at:
+                    at[c.shape, d.shape] = len(listed)
+                    listed.append((c, d))
     size, chains = [0] * len(listed), [None] * len(listed)
-    for k in range(len(listed) - 1, -1, -1):
+    for k in sorted(range(len(listed)), key=lambda k: listed[k][0].size):  # children are smaller than their parents
         (x, y), under = listed[k], below[k]
         if under is None:
             size[k] = x.size
             continue
-        start, end, pairs = under
-        weight = {(i, j): size[at[id(x.children[i]), id(y.children[j])]] for i, j in pairs}
-        chain = heaviest(pairs, weight)
+        start, end, p, left, q, right = under
+        weights = [[0 if c.label != d.label else c.size if c.shape == d.shape else size[at[c.shape, d.shape]] for d in q] for c in p]
+        total, chain = heaviest(left, right, weights) if left and right else (0, [])
         m, n = len(x.children), len(y.children)
         whole = [(i, i) for i in range(start)] + [(m - i, n - i) for i in range(end, 0, -1)]
-        size[k] = 1 + sum(weight[p] for p in chain) + sum(x.children[i].size for i, _ in whole)
-        chains[k] = chain, whole
-    found, todo = [], [(a, b, True)]
+        size[k] = 1 + total + sum(x.children[i].size for i, _ in whole)
+        chains[k] = [(start + i, start + j) for i, j in chain] + whole
+    found, todo = [], [(a, b)]
     while todo:
-        x, y, known = todo.pop()
+        x, y = todo.pop()
         found.append((x, y))
-        if not known or below[at[id(x), id(y)]] is None:  # equal shapes
-            todo += [(c, d, False) for c, d in zip(x.children, y.children)]
-            continue
-        chain, whole = chains[at[id(x), id(y)]]
-        todo += [(x.children[i], y.children[j], True) for i, j in chain] + [(x.children[i], y.children[j], False) for i, j in whole]
+        pairs = zip(x.children, y.children) if x.shape == y.shape else ((x.children[i], y.children[j]) for i, j in chains[at[x.shape, y.shape]])
+        todo += pairs
     return size[0], found
 
 
