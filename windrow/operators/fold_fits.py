@@ -28,6 +28,8 @@ from windrow.session import pinned
 
 BLOCK = 16_384  # rows of a block
 CELLS = 1 << 20  # and values of a block, which bounds it also for wide tables
+GATHERED = 8  # blocks whose bins and labels one piece of work may hold: 8 MB of bins
+ASKED = 64  # groups of nodes whose histograms are added up apart
 BINS = 255
 FOREST_BINS = 32
 FOREST_TREES = 300
@@ -94,11 +96,11 @@ class Block:
         self.key, d = row["block"], facts.columns
         self.hashes, self.labels = np.frombuffer(row["hashes"], "<u8"), np.frombuffer(row["labels"], np.int8).astype(float)
         n = len(self.labels)
-        self.values = np.frombuffer(row["values"], "<f8").reshape(n, d)
-        self.bins = np.frombuffer(row["bins"], np.uint8).reshape(n, d)
+        self.values = np.frombuffer(row["values"], "<f8").reshape(n, d) if row.get("values") else None
+        self.bins = np.frombuffer(row["bins"], np.uint8).reshape(n, d) if row.get("bins") else None
         self.train = np.frombuffer(row["train"], np.uint8).reshape(n, -1).astype(bool)
-        self.held = np.frombuffer(row["held"], np.uint8).reshape(n, -1)
-        self.raw = np.frombuffer(row["raw"], "<f8").reshape(-1, n) if row["raw"] else None
+        self.held = np.frombuffer(row["held"], np.uint8).reshape(n, -1) if row.get("held") else None
+        self.raw = np.frombuffer(row["raw"], "<f8").reshape(-1, n) if row.get("raw") else None
         self.facts = facts
 
     def filled(self, fold: int) -> np.ndarray:
@@ -111,6 +113,19 @@ class Block:
         return np.where(self.bins == BINS, median, self.bins) * FOREST_BINS // BINS
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, one at a time; binary cells are not copied."""
+    for k in range(len(batch)):
+        cells = {n: batch.column(n)[k] for n in batch.schema.names}
+        yield {n: c.as_buffer() if isinstance(c, pa.BinaryScalar) and c.is_valid else c.as_py() for n, c in cells.items()}
+
+
+def together(rows: list[dict], facts: Facts) -> Block:
+    """Some blocks, without their values, as one; ``block`` is the number of the first."""
+    names = ("hashes", "labels", "bins", "train")
+    return Block({"block": rows[0]["block"], **{n: b"".join(bytes(r[n]) for r in rows) for n in names}}, facts)
+
+
 # Boosting
 
 def boost_stats(b: Block, fold: int, raw: np.ndarray) -> np.ndarray:
@@ -343,7 +358,7 @@ class Everywhere:
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
             for batch in batches:
-                for row in batch.to_pylist():
+                for row in rows_of(batch):
                     for key, x in part_of(Block(row, facts)):
                         sums[key] = sums[key] + x if key in sums else x
             if sums:
@@ -362,20 +377,23 @@ class Everywhere:
         """Answers to tree growth: best splits of the asked nodes of all jobs."""
 
         def answer(t: ht.Trees, ask: np.ndarray, feats: np.ndarray) -> np.ndarray:
+            size, m = -(-len(ask) // ASKED), feats.shape[1]  # nodes of a group
+
             def part_of(b: Block) -> Iterator[tuple[int, np.ndarray]]:
+                out = np.zeros((-(-len(ask) // size), 3, size, m, p.width))
                 for job in np.unique(t.job[ask]).tolist():
                     mine = np.flatnonzero(t.job[ask] == job)
                     rows = ht.Rows(bins_of(b, job), stats_of(b, job)[None], p)
                     rows.at[:] = job
-                    found = rows.histograms(t, ask[mine], feats[mine])
-                    yield from ((int(k), found[:, x].ravel()) for x, k in enumerate(mine))
+                    out[mine // size, :, mine % size] = rows.histograms(t, ask[mine], feats[mine]).swapaxes(0, 1)
+                yield from ((k, x.ravel()) for k, x in enumerate(out))
 
             def done(key: int, total: np.ndarray) -> np.ndarray:
-                return ht.best_splits(total.reshape(3, 1, feats.shape[1], p.width), feats[key : key + 1], p)[0]
+                mine = feats[key * size : (key + 1) * size]
+                return ht.best_splits(total.reshape(3, size, m, p.width)[:, : len(mine)], mine, p).ravel()
 
             found = self.summed(part_of, done)
-            none = np.array([-np.inf, -1, -1, 0, 0, 0, 0])
-            return np.stack([found.get(k, none) for k in range(len(ask))])
+            return np.concatenate([found[k].reshape(-1, len(ht.SPLIT)) for k in range(-(-len(ask) // size))])
 
         return answer
 
@@ -383,6 +401,7 @@ class Everywhere:
         """Boosting of several folds with the same settings, every level of a round one aggregation."""
         p, rate, folds, facts = fits[0].growth(), fits[0].get("learning_rate", 0.1), [f.fold for f in fits], self.facts
         recent, out, kept = [], [Ensemble(p, [], []) for _ in fits], self.blocks
+        self.blocks = kept.drop("values", "held")
 
         def raw_of(b: Block, job: int) -> np.ndarray:
             raw = np.full(len(b.labels), base_score(facts, folds[job])) if b.raw is None else b.raw[job]
@@ -404,13 +423,17 @@ class Everywhere:
 
     def forest(self, fit: Fit, trees: range) -> ht.Trees:
         p, facts = forest_growth(fit, self.facts.columns), self.facts
+        kept, self.blocks = self.blocks, self.blocks.drop("values", "held")
         drawn = self.summed(lambda b: [(0, drawn_classes(b, fit.fold, trees).ravel())])[0].reshape(-1, 2)
         answer = self.splits(lambda b, j: forest_stats(b, fit.fold, trees[j], drawn[j]), lambda b, j: b.coarse(fit.fold), p)
-        return ht.grow(answer, len(trees), facts.columns, p, salts_of(facts, fit.fold, trees))
+        grown = ht.grow(answer, len(trees), facts.columns, p, salts_of(facts, fit.fold, trees))
+        self.blocks = kept
+        return grown
 
     def logistic(self, fits: list[Fit]) -> list[tuple]:
         """Every fold and penalty in the same steps, one aggregation each."""
         facts, folds = self.facts, sorted({f.fold for f in fits})
+        kept, self.blocks = self.blocks, self.blocks.drop("bins", "held")
         sums = self.summed(lambda b: [(f, moments(b, f).ravel()) for f in folds])
         scales = {f: scaling(facts, f, sums[f].reshape(2, -1)) for f in folds}
         where = {f: [j for j, x in enumerate(fits) if x.fold == f] for f in folds}
@@ -424,6 +447,7 @@ class Everywhere:
             return np.stack([found[j] for j in range(len(fits))])
 
         betas = newton(sums_at, np.array([1.0 / f.get("C", 1.0) for f in fits]), facts.columns + 1)
+        self.blocks = kept
         return [(*scales[f.fold], beta) for f, beta in zip(fits, betas)]
 
 
@@ -443,12 +467,12 @@ def with_raw(blocks: DataFrame, facts: Facts, raw_of, jobs: int) -> DataFrame:
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = []
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 b = Block(row, facts)
                 raw.append(np.stack([raw_of(b, j) for j in range(jobs)]).astype("<f8").tobytes())
             yield batch.set_column(batch.schema.get_field_index("raw"), "raw", pa.array(raw, pa.binary()))
 
-    return blocks.mapInArrow(store, NUMERIC)
+    return blocks.mapInArrow(store, blocks.schema)
 
 
 # Fits and scores
@@ -458,7 +482,8 @@ def model_row(fit: Fit, number: int, part: int, kind: str, body) -> tuple:
 
 
 def slim(t: ht.Trees) -> dict:
-    return {k: getattr(t, k) for k in ("left", "feature", "cut", "absent_left")}
+    kinds = {"left": np.int32, "feature": np.int32, "cut": np.int16, "absent_left": bool}
+    return {k: getattr(t, k).astype(kind) for k, kind in kinds.items()}
 
 
 def forest_body(t: ht.Trees, fit: Fit) -> tuple:
@@ -519,6 +544,10 @@ def models_of(spark: SparkSession, blocks: DataFrame, n_blocks: int, facts: Fact
         with_rows = each.repartition(min(len(pieces), 1024), "piece")
         return constants.unionByName(with_rows.mapInArrow(fit_piece, MODEL))
     every, out = Everywhere(blocks, facts), []
+    if n_blocks <= GATHERED:
+        trees = sorted((x for x in work.items() if x[0][0] != "logreg"), key=lambda x: x[0][0])  # boosting takes longest and comes first
+        constants = constants.unionByName(pieces_of(blocks, facts, trees, fitted_here, MODEL)) if trees else constants
+        work = {k: some for k, some in work.items() if k[0] == "logreg"}
     linear = [x for (kind, _, _), some in work.items() if kind == "logreg" for x in some]
     if linear:
         out += [model_row(f, k, 0, "logreg", m) for (k, f), m in zip(linear, every.logistic([f for _, f in linear]))]
@@ -536,6 +565,24 @@ def models_of(spark: SparkSession, blocks: DataFrame, n_blocks: int, facts: Fact
     return constants.unionByName(spark.createDataFrame(out, MODEL))
 
 
+def pieces_of(blocks: DataFrame, facts: Facts, pieces: list, run, schema: str) -> DataFrame:
+    """Rows that ``run(block, fits, part)`` gives for each piece of work from all of few blocks' bins and labels.
+
+    Each piece is a group of its own, of at most ``GATHERED`` blocks, and ranges of them are tasks.
+    """
+    names, types = [f.split()[0] for f in schema.split(", ")], {"int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    kinds = [types[f.split()[1]] for f in schema.split(", ")]
+
+    def fit_piece(t: pa.Table) -> pa.Table:
+        (_, _, part), some = pieces[t["piece"][0].as_py()]
+        rows = [r for batch in t.to_batches() for r in rows_of(batch)]
+        found = run(together(sorted(rows, key=lambda r: r["block"]), facts), some, part)
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names)
+
+    each = blocks.drop("values", "held", "raw").withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(len(pieces) - 1))))
+    return each.repartitionByRange(min(len(pieces), 1024), "piece").groupBy("piece").applyInArrow(fit_piece, schema)
+
+
 def tree_of(body: dict) -> ht.Trees:
     t = ht.Trees(1)
     for k, v in body.items():
@@ -578,6 +625,26 @@ def fitted(
     return pinned(models_of(spark, blocks, n_blocks, facts, fits)), facts, arrays, blocks, n_blocks
 
 
+SLICE = "block int, fold int, places binary, codes binary, hashes binary, labels binary, values binary, bins binary, train binary"
+
+
+def held_slices(blocks: DataFrame, facts: Facts) -> DataFrame:
+    """The rows that each fold holds out of each block: their places in the block, codes and numbers."""
+    names = [f.split()[0] for f in SLICE.split(", ")]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in rows_of(batch):
+                b = Block(row, facts)
+                for fold in np.flatnonzero(b.held.any(axis=0)).tolist():
+                    at = np.flatnonzero(b.held[:, fold])
+                    parts = [at.astype("<i4"), b.held[at, fold], b.hashes[at], b.labels[at].astype(np.int8), b.values[at], b.bins[at], b.train[at]]
+                    cells = [pa.array([v], pa.int32()) for v in (row["block"], fold)] + [pa.array([x.tobytes()], pa.binary()) for x in parts]
+                    yield pa.RecordBatch.from_arrays(cells, names)
+
+    return blocks.drop("raw").mapInArrow(cut, SLICE)
+
+
 def fold_scores(
     rows: DataFrame, columns: list[str], train: Column, held: Column, folds: int, fits: list[Fit], seed: int,
     uid: str = "window_uid", size: int | None = None,
@@ -591,17 +658,25 @@ def fold_scores(
     draws of forests belong to it. A fold of one class scores that class.
     """
     models, facts, arrays, blocks, n_blocks = fitted(rows, columns, train, held, folds, fits, seed, uid, size)
-    pairs = models.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks.select("block", "hashes", "labels", "values", "bins", "train", "held", "raw"), "block")
+    sides = held_slices(blocks, facts)
+    small = models.where("kind <> 'rf'").groupBy("fold").agg(F.collect_list(F.struct("fit", "kind", "body")).alias("models"))
+    # a forest's parts are large; they meet bins only, each on its own
+    parts = models.where("kind = 'rf'").select("fold", F.array(F.struct("fit", "kind", "body")).alias("models"))
+    at_blocks = lambda m: m.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    pairs = at_blocks(small).join(sides, ["fold", "block"]).unionByName(
+        at_blocks(parts).join(sides.withColumn("values", F.lit(None).cast("binary")), ["fold", "block"])
+    )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                b = Block(row, facts)
-                at = np.flatnonzero(b.held[:, row["fold"]])
-                found = scored_here(b, row["fold"], row["kind"], pickle.loads(row["body"]))[at]
-                names = ["block", "place", "fold", "fit", "held", "score"]
-                cells = [np.full(len(at), row["block"]), at, np.full(len(at), row["fold"]), np.full(len(at), row["fit"]), b.held[at, row["fold"]]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in cells), pa.array(found)], names)
+            models = batch.column("models")
+            for k, row in enumerate(rows_of(batch.drop_columns("models"))):
+                b, places, codes = Block(row, facts), np.frombuffer(row["places"], "<i4"), np.frombuffer(row["codes"], np.uint8)
+                for m in models[k].as_py():
+                    found = scored_here(b, row["fold"], m["kind"], pickle.loads(m["body"]))
+                    names = ["block", "place", "fold", "fit", "held", "score"]
+                    cells = [np.full(len(places), row["block"]), places, np.full(len(places), row["fold"]), np.full(len(places), m["fit"]), codes]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in cells), pa.array(found)], names)
 
     found = pairs.mapInArrow(score, "block int, place int, fold int, fit int, held int, score double")
     found = found.groupBy("block", "place", "fold", "fit", "held").agg(F.sum("score").alias("score"))
