@@ -188,12 +188,13 @@ class Rows:
         own = slot[self.at]
         live = np.flatnonzero(own >= 0)
         own, row = own[live], self.row[live]
-        cell = (own[:, None] * m + np.arange(m)) * p.width + self.bins[row[:, None], feats[own]]
-        size, cell = len(ask) * m * p.width, cell.ravel()
-        out = np.empty((3, size))
-        for k in range(3):
-            out[k] = np.bincount(cell, np.repeat(self.stats[live, k], m), size)
-        return out.reshape(3, len(ask), m, p.width)
+        base, stats, out = own * p.width, np.ascontiguousarray(self.stats[live].T), np.empty((3, len(ask), m, p.width))
+        same = bool((feats == feats[:1]).all())
+        for j in range(m):  # a feature at a time: no array of rows times features
+            cell = base + (self.bins[row, feats[0, j]] if same else self.bins[row, feats[own, j]])
+            for k in range(3):
+                out[k, :, j] = np.bincount(cell, stats[k], len(ask) * p.width).reshape(-1, p.width)
+        return out
 
     def __call__(self, t: Trees, ask: np.ndarray, feats: np.ndarray) -> np.ndarray:
         return best_splits(self.histograms(t, ask, feats), feats, self.p)
