@@ -99,3 +99,64 @@ def test_draws_are_poisson_and_belong_to_the_row():
     draws = ht.poisson_draws(rows, 3)
     assert abs(draws.mean() - 1) < 0.02 and abs(draws.var() - 1) < 0.03
     assert (ht.poisson_draws(rows[::-1], 3)[::-1] == draws).all() and (ht.poisson_draws(rows, 4) != draws).any()
+
+
+def asked_of(rows, jobs, d, p, salts=None):
+    """The tree, and the asked nodes of each question with the rows they hold."""
+    asked = []
+
+    def answer(t, ask, feats):
+        found = rows(t, ask, feats)
+        asked.append((ask.tolist(), found[:, 4].tolist()))
+        return found
+
+    return ht.grow(answer, jobs, d, p, salts), asked
+
+
+def test_nodes_that_cannot_be_split_are_not_asked():
+    """Rows of one class, too few rows, the last depth: their sums are known from the split above."""
+    rng = np.random.default_rng(5)
+    bins = rng.integers(0, 8, (400, 4))
+    y = ((bins[:, 0] > 4) ^ (rng.random(400) < 0.1)).astype(float)
+    p = ht.Growth(8, None, 6, 3, 0.0, 2)
+    t, asked = asked_of(ht.Rows(bins, np.stack([np.ones(400), y * ht.ONE, np.full(400, ht.ONE)])[None], p), 1, 4, p, np.array([7]))
+    later = [k for nodes, _ in asked for k in nodes if k]
+    s = t.stats[later]
+    assert later and (s[:, 0] >= 6).all() and (s[:, 1] > 0).all() and (s[:, 1] < s[:, 2]).all() and (t.depth[later] < 6).all()
+    at = t.step(np.zeros(400, int), np.arange(400), bins, p.bins)
+    for k in np.unique(at):
+        assert t.stats[k].tolist() == [(at == k).sum(), y[at == k].sum() * ht.ONE, (at == k).sum() * ht.ONE]
+
+
+@pytest.mark.parametrize("cells", [ht.CELLS, 4 * 17])
+def test_the_larger_sibling_is_not_read(monkeypatch, cells):
+    """Its sums are the parent's less the smaller one's, also where siblings are asked apart; the tree is the same."""
+    bins, g, h = data(600, seed=2)
+    stats = np.stack([np.ones(600), g, h])[None]
+    monkeypatch.setattr(ht, "CELLS", cells)
+    read = []
+    real = ht.JobRows.sums
+
+    def sums(self, t, ask, feats):
+        found = real(self, t, ask, feats)
+        read.append(int(np.isin(self.at, ask).sum()))
+        return found
+
+    monkeypatch.setattr(ht.JobRows, "sums", sums)
+    near = ht.grow(ht.Rows(bins, stats, P), 1, 4, P)
+    depth = near.depth[near.left >= 0].max()
+    assert read[0] == 600 and sum(read[1:]) <= 300 * (depth + 1)
+    monkeypatch.setattr(ht, "KEPT", 0)
+    far = ht.grow(ht.Rows(bins, stats, P), 1, 4, P)
+    for name in ("left", "feature", "cut", "absent_left", "stats", "gain"):
+        assert (getattr(near, name) == getattr(far, name)).all()
+
+
+def test_sums_too_long_for_one_number_are_kept_apart():
+    bins, g, h = data(200, seed=3)
+    wide = np.stack([np.ones(200), g, h * 2.0**20])[None]
+    rows = ht.Rows(bins, wide, P)
+    assert rows.jobs[0].unit is None and ht.Rows(bins, np.stack([np.ones(200), g, h])[None], P).jobs[0].unit
+    t = ht.grow(rows, 1, 4, P)
+    at = t.step(np.zeros(200, int), np.arange(200), bins, P.bins)
+    assert all(t.stats[k].tolist() == [(at == k).sum(), g[at == k].sum(), h[at == k].sum() * 2.0**20] for k in np.unique(at))

@@ -110,7 +110,8 @@ class Block:
     def coarse(self, fold: int) -> np.ndarray:
         """Bins for forests: fewer, and the median's bin where a value is absent."""
         median = np.array([np.searchsorted(e, m) for e, m in zip(self.facts.edges, self.facts.median[fold])], np.int64)
-        return np.where(self.bins == BINS, median, self.bins) * FOREST_BINS // BINS
+        filled = np.where(self.bins == BINS, median, self.bins) if (self.bins == BINS).any() else self.bins
+        return (np.arange(BINS + 1) * FOREST_BINS // BINS).astype(np.uint8)[filled]
 
 
 def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -163,8 +164,9 @@ def boosted_here(b: Block, fit: Fit) -> Ensemble:
     """All rounds of one fold in one task."""
     p, rate = fit.growth(), fit.get("learning_rate", 0.1)
     out, raw = Ensemble(p, [], []), np.full(len(b.labels), base_score(b.facts, fit.fold))
+    by_feature = np.ascontiguousarray(b.bins.T).ravel()
     for _ in range(fit.rounds):
-        t = ht.grow(ht.Rows(b.bins, boost_stats(b, fit.fold, raw)[None], p), 1, b.facts.columns, p)
+        t = ht.grow(ht.Rows(b.bins, boost_stats(b, fit.fold, raw)[None], p, by_feature), 1, b.facts.columns, p)
         one = Ensemble(p, [t], [leaf_values(t, rate)])
         raw = one.add_to(raw, b.bins)
         out.trees += one.trees
@@ -383,8 +385,7 @@ class Everywhere:
                 out = np.zeros((-(-len(ask) // size), 3, size, m, p.width))
                 for job in np.unique(t.job[ask]).tolist():
                     mine = np.flatnonzero(t.job[ask] == job)
-                    rows = ht.Rows(bins_of(b, job), stats_of(b, job)[None], p)
-                    rows.at[:] = job
+                    rows = ht.Rows(bins_of(b, job), stats_of(b, job)[None], p, first=job)
                     out[mine // size, :, mine % size] = rows.histograms(t, ask[mine], feats[mine]).swapaxes(0, 1)
                 yield from ((k, x.ravel()) for k, x in enumerate(out))
 

@@ -9,13 +9,18 @@ aggregation over all blocks) makes no difference to the tree.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
 ONE = float(1 << 20)  # fixed-point unit of gradients and weights
 CELLS = 1 << 20  # histogram cells asked for at once
-SPLIT = ["gain", "feature", "cut", "absent_left", "count", "g", "h"]
+KEPT = 1 << 22  # and kept, so that a node's histogram is its parent's less its sibling's
+READ = 1 << 13  # rows whose drawn bins are read at once
+LOOKED = 1 << 17  # and looked at together
+EXACT = 53  # bits of whole numbers in a double
+SPLIT = ["gain", "feature", "cut", "absent_left", "count", "g", "h", "left_count", "left_g", "left_h"]
 
 
 @dataclass(frozen=True)
@@ -59,13 +64,14 @@ class Trees:
         self.job = np.arange(jobs)
         self.gain = np.full(jobs, -np.inf)
         self.stats = np.zeros((jobs, 3))
+        self.left_stats = np.zeros((jobs, 3))
 
     def note(self, nodes: np.ndarray, found: np.ndarray) -> None:
         self.gain[nodes], self.feature[nodes], self.cut[nodes] = found[:, 0], found[:, 1], found[:, 2]
-        self.absent_left[nodes], self.stats[nodes] = found[:, 3] > 0, found[:, 4:]
+        self.absent_left[nodes], self.stats[nodes], self.left_stats[nodes] = found[:, 3] > 0, found[:, 4:7], found[:, 7:]
 
     def split(self, nodes: np.ndarray) -> np.ndarray:
-        """Give the nodes two children each."""
+        """Give the nodes two children each, whose sums are known from the split."""
         first, n = len(self.left), len(nodes)
         self.left[nodes] = first + 2 * np.arange(n)
         wide = 2 * n
@@ -74,15 +80,18 @@ class Trees:
         self.depth = np.append(self.depth, np.repeat(self.depth[nodes] + 1, 2))
         self.job = np.append(self.job, np.repeat(self.job[nodes], 2))
         self.gain = np.append(self.gain, np.full(wide, -np.inf))
-        self.stats = np.append(self.stats, np.zeros((wide, 3)), axis=0)
+        sums = np.stack([self.left_stats[nodes], self.stats[nodes] - self.left_stats[nodes]], axis=1)
+        self.stats = np.append(self.stats, sums.reshape(wide, 3), axis=0)
+        self.left_stats = np.append(self.left_stats, np.zeros((wide, 3)), axis=0)
         return np.arange(first, first + wide)
 
     def step(self, at: np.ndarray, rows: np.ndarray, bins: np.ndarray, absent: int) -> np.ndarray:
         """Nodes one or more levels down, until each row is at a node without children."""
         at, live = at.copy(), np.flatnonzero(self.left[at] >= 0)
+        flat, d = bins.reshape(-1), bins.shape[1]
         while len(live):
             node = at[live]
-            b = bins[rows[live], self.feature[node]]
+            b = flat[rows[live] * d + self.feature[node]]
             goes_left = np.where(b == absent, self.absent_left[node], b <= self.cut[node])
             at[live] = self.left[node] + ~goes_left
             live = live[self.left[at[live]] >= 0]
@@ -121,20 +130,29 @@ class Trees:
 
 
 def best_splits(hist: np.ndarray, feats: np.ndarray, p: Growth) -> np.ndarray:
-    """The best split of each node from its histograms ``[(count, g, h), node, feature, bin]``: columns ``SPLIT``.
+    """The best split of each node from its histograms ``[(count, g, h), node, feature, bin]``: columns ``SPLIT``."""
+    cell = np.flatnonzero(hist[0])
+    return best_of_cells(cell, hist.reshape(3, -1)[:, cell], hist[:, :, 0].sum(axis=2), feats, p)
+
+
+def best_of_cells(cell: np.ndarray, sums: np.ndarray, total: np.ndarray, feats: np.ndarray, p: Growth) -> np.ndarray:
+    """The best split of each node from the cells of its histograms that hold rows, in order of (node, feature, bin).
 
     Absent values go to the side with the greater gain, with the larger child if a node has none. Ties go
-    to the earlier feature in the list, then the lower bin. Only bins that hold rows are looked at: a cut
-    behind an empty bin parts the rows as the one before it does.
+    to the earlier feature in the list, then the lower bin. A cut behind an empty bin parts the rows as the one
+    before it does.
     """
-    q, m = hist.shape[1:3]
-    total = hist[:, :, 0].sum(axis=2)
-    gone = hist[:, :, :, p.bins].reshape(3, -1)
-    present = hist[:, :, :, : p.bins].reshape(3, -1)
-    cell = np.flatnonzero(present[0])
-    column, node = cell // p.bins, cell // (p.bins * m)
-    total_at = [total[k][node] for k in range(3)]
-    run = np.cumsum(present[:, cell], axis=1)
+    q, m = feats.shape
+    column = cell // p.width
+    place = cell - column * p.width
+    gone = np.zeros((3, q * m))
+    apart = place == p.bins
+    if apart.any():
+        gone[:, column[apart]] = sums[:, apart]
+        column, place, sums = column[~apart], place[~apart], sums[:, ~apart]
+    node = column // m
+    total_at = total[:, node]
+    run = np.cumsum(sums, axis=1)
     first = np.searchsorted(column, np.arange(q * m))
     before = np.concatenate([np.zeros((3, 1)), run], axis=1)[:, first]
     run -= before[:, column]
@@ -149,13 +167,13 @@ def best_splits(hist: np.ndarray, feats: np.ndarray, p: Growth) -> np.ndarray:
     base = total[1] ** 2 / np.maximum(total[2], 1e-300)
     right_gain = gain_of(*run)
     some = gone[0][column] > 0
-    left_gain = np.full(len(cell), -np.inf)
+    left_gain = np.full(len(column), -np.inf)
     if some.any():
         left_gain = np.where(some, gain_of(*(run + gone[:, column])), -np.inf)
     gain = np.maximum(right_gain, left_gain) - base[node]
-    out = np.column_stack([np.full(q, -np.inf), np.full(q, -1), np.full(q, -1), np.zeros(q), total.T])
+    out = np.column_stack([np.full(q, -np.inf), np.full(q, -1), np.full(q, -1), np.zeros(q), total.T, np.zeros((q, 3))])
     edge = np.searchsorted(node, np.arange(q))
-    full = edge < np.append(edge[1:], len(cell))
+    full = edge < np.append(edge[1:], len(column))
     if not full.any():
         return out
     top = np.full(q, -np.inf)
@@ -165,39 +183,121 @@ def best_splits(hist: np.ndarray, feats: np.ndarray, p: Growth) -> np.ndarray:
     at = node[best]
     larger_left = 2 * run[0, best] >= total[0][at]
     out[at, 3] = np.where(some[best], left_gain[best] > right_gain[best], larger_left)
-    out[at, 1], out[at, 2] = feats[at, column[best] % m], cell[best] % p.bins
+    out[at, 1], out[at, 2] = feats[at, column[best] % m], place[best]
     out[at, 0] = np.where(top[at] > 1e-9 * np.maximum(base[at], 1e-3 * ONE), top[at] / ONE, -np.inf)
+    out[at, 7:] = (run[:, best] + gone[:, column[best]] * out[at, 3]).T
     return out
 
 
-class Rows:
-    """Rows of one block under several jobs; answers with their histograms."""
+class JobRows:
+    """The rows of one job. A count and a sum of curvatures are kept as one whole number where a double has room."""
 
-    def __init__(self, bins: np.ndarray, stats: np.ndarray, p: Growth):
-        """``stats``: ``[job, (count, g, h), row]``, fixed-point; rows of count 0 take no part."""
-        self.bins, self.p = bins, p
-        job, self.row = np.nonzero(stats[:, 0])
-        self.stats = stats[job, :, self.row]
-        self.at = job.copy()
+    def __init__(self, job: int, row: np.ndarray, stats: np.ndarray, bins: np.ndarray, by_feature: np.ndarray, p: Growth):
+        self.row, self.bins, self.by_feature, self.p = row, bins, by_feature, p
+        self.at = np.full(len(row), job)
+        bits = [int(stats[k].sum()).bit_length() for k in (0, 2)]
+        self.unit = float(1 << bits[1]) if sum(bits) <= EXACT else None
+        self.weights = [*stats] if self.unit is None else [stats[0] * self.unit + stats[2], stats[1]]
+        self.kept: dict[int, list[np.ndarray]] = {}  # sums of asked nodes without children
 
-    def histograms(self, t: Trees, ask: np.ndarray, feats: np.ndarray) -> np.ndarray:
-        p, m = self.p, feats.shape[1]
-        self.at = t.step(self.at, self.row, self.bins, p.bins)
+    def sums(self, t: Trees, ask: np.ndarray, feats: np.ndarray) -> list[np.ndarray]:
+        """``[node, feature, bin]`` sums of each weight over the rows of the asked nodes."""
+        self.at = t.step(self.at, self.row, self.bins, self.p.bins)
+        (q, m), width, n = feats.shape, self.p.width, len(self.bins)
         slot = np.full(len(t.left), -1)
-        slot[ask] = np.arange(len(ask))
+        slot[ask] = np.arange(q)
         own = slot[self.at]
         live = np.flatnonzero(own >= 0)
         own, row = own[live], self.row[live]
-        base, stats, out = own * p.width, np.ascontiguousarray(self.stats[live].T), np.empty((3, len(ask), m, p.width))
-        same = bool((feats == feats[:1]).all())
-        for j in range(m):  # a feature at a time: no array of rows times features
-            cell = base + (self.bins[row, feats[0, j]] if same else self.bins[row, feats[own, j]])
-            for k in range(3):
-                out[k, :, j] = np.bincount(cell, stats[k], len(ask) * p.width).reshape(-1, p.width)
+        if (feats == feats[:1]).all():
+            bins_of = lambda j: self.by_feature[feats[0, j] * n : (feats[0, j] + 1) * n][row]
+        else:
+            drawn, flat, d = np.empty((len(row), m), self.bins.dtype), self.bins.reshape(-1), self.bins.shape[1]
+            for lo in range(0, len(row), READ):  # a row's drawn bins lie side by side
+                some = slice(lo, lo + READ)
+                drawn[some] = flat[(row[some] * d)[:, None] + feats[own[some]]]
+            bins_of = lambda j: drawn[:, j]
+        base, out = own * width, [np.empty((q, m, width)) for _ in self.weights]
+        weights = [w[live] for w in self.weights]
+        used = [np.flatnonzero(w) for w in weights[1:2]]  # a negative of a forest has no gradient
+        fewer = len(used[0]) < len(row) // 2
+        if fewer:
+            weights[1] = weights[1][used[0]]
+        for j in range(m):  # a feature at a time: no wide array of rows times features
+            cell = base + bins_of(j)
+            for k, w in enumerate(weights):
+                out[k][:, j] = np.bincount(cell[used[0]] if fewer and k == 1 else cell, w, q * width).reshape(q, width)
+        if self.p.some:  # every leaf that gains is split in the next level: rows of the others are done
+            done = (t.gain[self.at] <= 0) & (self.at < ask.min())
+            if 4 * np.count_nonzero(done) > len(done):
+                self.at, self.row, self.weights = self.at[~done], self.row[~done], [w[~done] for w in self.weights]
+        return out
+
+    def by_sibling(self, t: Trees, ask: np.ndarray, feats: np.ndarray) -> list[np.ndarray]:
+        """The same; of two siblings the larger one's sums are the parent's less the smaller one's."""
+        parent = {int(t.left[k]): k for k in self.kept if t.left[k] >= 0}
+        fresh = [k for k in ask.tolist() if k not in self.kept]
+        firsts = sorted({k if k in parent else k - 1 for k in fresh if k in parent or k - 1 in parent})
+        lone = [k for k in fresh if k not in parent and k - 1 not in parent]  # roots
+        small = [k if t.stats[k, 0] <= t.stats[k + 1, 0] else k + 1 for k in firsts]
+        if lone or small:
+            direct = np.array(lone + small, np.int64)
+            found = self.sums(t, direct, np.broadcast_to(feats[0], (len(direct), feats.shape[1])))
+            self.kept.update({k: [x[i] for x in found] for i, k in enumerate(direct.tolist())})
+        for first, less in zip(firsts, small):
+            self.kept[2 * first + 1 - less] = [a - b for a, b in zip(self.kept.pop(parent[first]), self.kept[less])]
+        return [np.stack([self.kept[k][i] for k in ask.tolist()]) for i in range(len(self.weights))]
+
+    def parted(self, x: list[np.ndarray]) -> np.ndarray:
+        """Counts, gradients and curvatures of sums."""
+        if self.unit is None:
+            return np.stack(x)
+        count = np.floor(x[0] / self.unit)
+        return np.stack([count, x[1], x[0] - count * self.unit])
+
+    def best(self, t: Trees, ask: np.ndarray, feats: np.ndarray) -> np.ndarray:
+        cells = feats.shape[1] * self.p.width
+        found = (self.by_sibling if self.p.some is None and len(t.left) * cells <= KEPT else self.sums)(t, ask, feats)
+        out, step = [], max(1, LOOKED // cells)
+        for lo in range(0, len(ask), step):
+            some = [x[lo : lo + step] for x in found]
+            cell = np.flatnonzero(some[0])
+            total = self.parted([x[:, 0].sum(axis=1) for x in some])
+            out.append(best_of_cells(cell, self.parted([x.reshape(-1)[cell] for x in some]), total, feats[lo : lo + step], self.p))
+        return np.concatenate(out)
+
+
+class Rows:
+    """Rows of one block under several jobs, numbered from ``first``; answers with their histograms."""
+
+    def __init__(self, bins: np.ndarray, stats: np.ndarray, p: Growth, by_feature: np.ndarray | None = None, first: int = 0):
+        """``stats``: ``[job, (count, g, h), row]``, fixed-point; rows of count 0 take no part.
+
+        ``by_feature``: the bins feature by feature, where a caller has them.
+        """
+        bins, self.p, self.first = np.ascontiguousarray(bins), p, first
+        by_feature = np.ascontiguousarray(bins.T).ravel() if by_feature is None else by_feature
+        self.jobs = []
+        for j, x in enumerate(stats):
+            row = np.flatnonzero(x[0])
+            self.jobs.append(JobRows(first + j, row, x[:, row], bins, by_feature, p))
+
+    def each(self, t: Trees, ask: np.ndarray) -> Iterator[tuple[JobRows, np.ndarray]]:
+        job = t.job[ask]
+        for j in np.unique(job).tolist():
+            yield self.jobs[j - self.first], np.flatnonzero(job == j)
+
+    def histograms(self, t: Trees, ask: np.ndarray, feats: np.ndarray) -> np.ndarray:
+        out = np.empty((3, *feats.shape, self.p.width))
+        for rows, mine in self.each(t, ask):
+            out[:, mine] = rows.parted(rows.sums(t, ask[mine], feats[mine]))
         return out
 
     def __call__(self, t: Trees, ask: np.ndarray, feats: np.ndarray) -> np.ndarray:
-        return best_splits(self.histograms(t, ask, feats), feats, self.p)
+        out = np.empty((len(ask), len(SPLIT)))
+        for rows, mine in self.each(t, ask):
+            out[mine] = rows.best(t, ask[mine], feats[mine])
+        return out
 
 
 def drawn_features(nodes: np.ndarray, t: Trees, salts: np.ndarray, d: int, some: int) -> np.ndarray:
@@ -208,6 +308,17 @@ def drawn_features(nodes: np.ndarray, t: Trees, salts: np.ndarray, d: int, some:
     return np.sort(np.argsort(order, axis=1)[:, :some], axis=1)
 
 
+def may_split(t: Trees, nodes: np.ndarray, p: Growth) -> np.ndarray:
+    """The new nodes less those that no split can gain from: few rows, the greatest depth, rows of one class."""
+    s = t.stats[nodes]
+    use = s[:, 0] >= 2 * p.min_rows
+    if p.max_depth is not None:
+        use &= t.depth[nodes] < p.max_depth
+    if p.some:  # forests: g and h of a row are the same or g is nothing
+        use &= (s[:, 1] > 0) & (s[:, 1] < s[:, 2])
+    return nodes[use]
+
+
 def grow(answer, jobs: int, d: int, p: Growth, salts: np.ndarray | None = None) -> Trees:
     """Grow the trees of all jobs, a level of each at a time.
 
@@ -230,6 +341,6 @@ def grow(answer, jobs: int, d: int, p: Growth, salts: np.ndarray | None = None)
                 t.note(part, answer(t, part, np.broadcast_to(every, (len(part), d))))
         if p.max_depth is not None:
             t.gain[ask[t.depth[ask] >= p.max_depth]] = -np.inf
-        ask = t.split(t.to_split(p))
+        ask = may_split(t, t.split(t.to_split(p)), p)
     t.prune(p)
     return t
