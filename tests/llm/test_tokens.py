@@ -168,3 +168,36 @@ def test_special_tokens_in_files_and_sequences(make_docs, tmp_path, spark):
     for k, x in enumerate(by_default(WORDS, texts)):
         ids = np.array([*x, s.end], "<u4")
         assert (rows[k].doc_tokens, rows[k].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+def plain_words(ids):
+    """Greedy coding, one word after the other."""
+    out, k = [], 0
+    while k < len(ids):
+        end = min(len(ids), (k // s8.RUN + 1) * s8.RUN)
+        for s, (count, width) in enumerate(zip(s8.COUNTS.tolist(), s8.WIDTHS.tolist())):
+            if k + count <= end and all(x < 1 << width for x in ids[k : k + count]):
+                out.append(s << 60 | sum(x << j * width for j, x in enumerate(ids[k : k + count])))
+                k += count
+                break
+        else:
+            out += [s8.ESCAPE << 60, ids[k]]
+            k += 1
+    return out
+
+
+def test_few_narrow_ids_are_found_by_their_runs(monkeypatch):
+    """The words are those of the greedy walk; a width that few ids have needs no running total over all of them."""
+    rng = np.random.default_rng(4)
+    ids = rng.integers(1 << 12, 50_000, 5000).astype(np.uint64)
+    for at, size, top in [(0, 61, 2), (900, 70, 4), (1010, 40, 200), (3000, 500, 2), (4990, 10, 8)]:
+        ids[at : at + size] = rng.integers(0, top, size)
+    ids[rng.random(5000) < 0.01] = 1 << 62
+    totals = []
+    real = np.cumsum
+    monkeypatch.setattr(np, "cumsum", lambda x, *a, **k: (totals.append(len(x)), real(x, *a, **k))[1])
+    words, _ = s8.pack(ids)
+    assert words.tolist() == plain_words(ids.tolist())
+    assert sum(n == 5000 for n in totals) <= 5 and s8.unpack(words).tolist() == ids.tolist()
+    for part in (ids[:0], ids[:1], ids[:61], np.zeros(130, np.uint64)):
+        assert s8.pack(part)[0].tolist() == plain_words(part.tolist())

@@ -56,6 +56,11 @@ class Settings:
     block: int = 1 << 16  # ids after which a block is closed
 
 
+def limit(s: int) -> np.uint64:
+    """The least id too wide for selector ``s``."""
+    return np.uint64(1 << int(WIDTHS[s]))
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of the ids, and the word at which each run begins. All runs are walked side by side."""
     ids = np.asarray(ids, np.uint64)
@@ -66,8 +71,19 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     left = np.minimum((index // RUN + 1) * RUN, n) - index
     choice = np.full(n, ESCAPE, np.int8)
     for s in range(len(COUNTS) - 1, -1, -1):
+        narrow = ids < limit(s)
+        few = np.count_nonzero(narrow)
+        if few == n:
+            choice[left >= COUNTS[s]] = s
+            continue
+        if 4 * few < n:  # runs of the few narrow ids
+            at = np.flatnonzero(narrow)
+            last = np.flatnonzero(np.append(np.diff(at) != 1, True)[: len(at)])
+            ahead = at[last][np.searchsorted(last, np.arange(len(at)))] - at + 1
+            choice[at[(ahead >= COUNTS[s]) & (left[at] >= COUNTS[s])]] = s
+            continue
         wide = np.zeros(n + 1, np.int32)
-        np.cumsum(ids >> np.uint64(WIDTHS[s]) != 0, out=wide[1:])
+        np.cumsum(~narrow, out=wide[1:])
         end = np.minimum(index + COUNTS[s], n)
         choice[(left >= COUNTS[s]) & (wide[end] == wide[:-1])] = s
     step = np.append(COUNTS, 1)

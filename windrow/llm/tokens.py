@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,12 +53,16 @@ class Encoder:
         self.used = 0
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts on end, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        length = np.fromiter(map(len, found), np.int32, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum())), length
 
     def _learn(self, keys: np.ndarray, units: list[str]) -> None:
-        found = self.whole(units)
-        length = np.array([len(x) for x in found], np.int32)
-        body = np.concatenate(found) if found else np.zeros(0, np.uint32)
+        body, length = self.flat(units)
         if len(self.keys) + len(keys) > self.room:
             self._forget()
         while self.used + len(body) > len(self.ids):
