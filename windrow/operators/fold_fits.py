@@ -14,21 +14,25 @@ point one matrix of columns squared (``CURVED`` columns at most; wider tables ar
 
 from __future__ import annotations
 
+import copy
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windrow.functions.memory import give_back
 from windrow.operators import histogram_trees as ht
 from windrow.session import pinned
 
 BLOCK = 16_384  # rows of a block
 CELLS = 1 << 20  # and values of a block, which bounds it also for wide tables
 GATHERED = 8  # blocks whose bins and labels one piece of work may hold: 8 MB of bins
+DRAWN = 1 << 22  # rows times trees that one piece of work grows at once
 ASKED = 64  # groups of nodes whose histograms are added up apart
 BINS = 255
 FOREST_BINS = 32
@@ -39,6 +43,8 @@ REFRESH = 10  # rounds after which the blocks store the scores so far
 CURVED = 2048
 NUMERIC = "block int, hashes binary, labels binary, values binary, bins binary, train binary, held binary, raw binary"
 MODEL = "fold int, fit int, part int, kind string, body binary"
+SCORE = "block int, place int, fold int, fit int, held int, score double"
+TREES = ("hgb", "rf")
 
 
 @dataclass(frozen=True)
@@ -82,6 +88,7 @@ class Facts:
     edges: list[np.ndarray]
     centre: np.ndarray  # per column, any number near its values
     salt: int
+    same: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # per fold the first one with the same training rows
 
     def one_class(self, fold: int) -> float | None:
         """The constant score of a fold whose training rows have one class or none."""
@@ -103,6 +110,13 @@ class Block:
         self.raw = np.frombuffer(row["raw"], "<f8").reshape(-1, n) if row.get("raw") else None
         self.facts = facts
 
+    def taken(self, at: np.ndarray) -> Block:
+        """Some rows, without their values."""
+        out = copy.copy(self)
+        out.hashes, out.labels, out.bins, out.train, out.held = (x[at] for x in (self.hashes, self.labels, self.bins, self.train, self.held))
+        out.values = out.raw = None
+        return out
+
     def filled(self, fold: int) -> np.ndarray:
         """Values with the fold's training median where absent."""
         return np.where(np.isnan(self.values), self.facts.median[fold], self.values)
@@ -123,7 +137,7 @@ def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
 
 def together(rows: list[dict], facts: Facts) -> Block:
     """Some blocks, without their values, as one; ``block`` is the number of the first."""
-    names = ("hashes", "labels", "bins", "train")
+    names = ("hashes", "labels", "bins", "train", "held")
     return Block({"block": rows[0]["block"], **{n: b"".join(bytes(r[n]) for r in rows) for n in names}}, facts)
 
 
@@ -363,6 +377,7 @@ class Everywhere:
                 for row in rows_of(batch):
                     for key, x in part_of(Block(row, facts)):
                         sums[key] = sums[key] + x if key in sums else x
+            give_back()
             if sums:
                 yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype("<f8").tobytes() for x in sums.values()], pa.binary())], ["key", "x"])
 
@@ -495,23 +510,54 @@ def ensemble_body(e: Ensemble, base: float) -> tuple:
     return [(slim(t), v) for t, v in zip(e.trees, e.values)], base
 
 
+def forests_here(b: Block, fit: Fit, trees: range) -> Iterator[ht.Trees]:
+    """Trees of one fold in one task, as many side by side as ``DRAWN`` allows."""
+    step = max(1, DRAWN // max(1, len(b.labels)))
+    for lo in range(0, len(trees), step):
+        yield forest_here(b, fit, trees[lo : lo + step])
+
+
+def trees_here(b: Block, fit: Fit, part: int) -> Iterator[tuple[str, object]]:
+    """Kind and body of the models of one piece of work on trees, from all rows."""
+    if fit.name == "hgb":
+        yield "hgb", ensemble_body(boosted_here(b, fit), base_score(b.facts, fit.fold))
+    else:
+        for t in forests_here(b, fit, fit.parts()[part]):
+            yield "rf", forest_body(t, fit)
+
+
 def fitted_here(b: Block, fits: list[tuple[int, Fit]], part: int) -> list[tuple]:
     """Models of one piece of work from the only block."""
     number, fit = fits[0]
-    if fit.name == "hgb":
-        return [model_row(fit, number, 0, "hgb", ensemble_body(boosted_here(b, fit), base_score(b.facts, fit.fold)))]
-    if fit.name == "rf":
-        t = forest_here(b, fit, fit.parts()[part])
-        return [model_row(fit, number, part, "rf", forest_body(t, fit))]
+    if fit.name in TREES:
+        return [model_row(fit, number, part, kind, body) for kind, body in trees_here(b, fit, part)]
     scale = scaling(b.facts, fit.fold, moments(b, fit.fold))
     betas = newton(lambda at: logistic_sums(b, fit.fold, scale, at), np.array([1.0 / f.get("C", 1.0) for _, f in fits]), b.facts.columns + 1)
     return [model_row(f, k, 0, "logreg", (*scale, beta)) for (k, f), beta in zip(fits, betas)]
 
 
-def models_of(spark: SparkSession, blocks: DataFrame, n_blocks: int, facts: Facts, fits: list[Fit]) -> DataFrame:
-    """The fitted models, one row each (a forest one row for some of its trees)."""
-    ready, work = [], {}
+def shared_fits(facts: Facts, fits: list[Fit]) -> dict[int, list[int]]:
+    """The fits to run, by number, and the numbers of all fits that are the same: equal settings and training rows."""
+    first: dict[tuple, int] = {}
+    out: dict[int, list[int]] = {}
     for k, f in enumerate(fits):
+        out.setdefault(first.setdefault((int(facts.same[f.fold]), f.name, f.params), k), []).append(k)
+    return out
+
+
+def spread(models: DataFrame, fits: list[Fit], shared: dict[int, list[int]]) -> DataFrame:
+    """The models of the fits that were run, under the fold and number of each fit that is the same."""
+    if all(len(v) == 1 for v in shared.values()):
+        return models
+    names = [(k, fits[j].fold, j) for k, v in shared.items() for j in v]
+    named = models.sparkSession.createDataFrame(names, "__run int, fold int, fit int")
+    return models.drop("fold").withColumnRenamed("fit", "__run").join(named, "__run").select([f.split()[0] for f in MODEL.split(", ")])
+
+
+def models_of(spark: SparkSession, blocks: DataFrame, n_blocks: int, facts: Facts, fits: dict[int, Fit]) -> DataFrame:
+    """The fitted models by number, one row each (a forest one row for some of its trees)."""
+    ready, work = [], {}
+    for k, f in fits.items():
         constant = facts.one_class(f.fold)
         if f.name == "dummy":
             constant = float(2 * facts.positives[f.fold] > facts.rows[f.fold])
@@ -529,25 +575,27 @@ def models_of(spark: SparkSession, blocks: DataFrame, n_blocks: int, facts: Fact
     if not work:
         return constants
     if n_blocks == 1:
-        pieces = list(work.items())
+        pieces = sorted(work.items(), key=lambda x: x[0][0])
 
         def fit_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
                     (_, _, part), some = pieces[row["piece"]]
-                    rows = fitted_here(Block(row, facts), some, part)
-                    names = [f.split()[0] for f in MODEL.split(", ")]
-                    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                    yield from model_table(fitted_here(Block(row, facts), some, part)).to_batches()
 
         # the only block, of bounded size, goes to every piece of work
         each = blocks.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(len(pieces) - 1))))
-        with_rows = each.repartition(min(len(pieces), 1024), "piece")
+        with_rows = each.repartitionByRange(min(len(pieces), 1024), "piece")
         return constants.unionByName(with_rows.mapInArrow(fit_piece, MODEL))
     every, out = Everywhere(blocks, facts), []
     if n_blocks <= GATHERED:
         trees = sorted((x for x in work.items() if x[0][0] != "logreg"), key=lambda x: x[0][0])  # boosting takes longest and comes first
-        constants = constants.unionByName(pieces_of(blocks, facts, trees, fitted_here, MODEL)) if trees else constants
+
+        def fit_trees(piece: int, b: Block, rows: list[dict]) -> pa.Table:
+            (_, _, part), some = trees[piece]
+            return model_table(fitted_here(b, some, part))
+
+        constants = constants.unionByName(pieces_of(blocks, facts, len(trees), fit_trees, MODEL)) if trees else constants
         work = {k: some for k, some in work.items() if k[0] == "logreg"}
     linear = [x for (kind, _, _), some in work.items() if kind == "logreg" for x in some]
     if linear:
@@ -566,22 +614,54 @@ def models_of(spark: SparkSession, blocks: DataFrame, n_blocks: int, facts: Fact
     return constants.unionByName(spark.createDataFrame(out, MODEL))
 
 
-def pieces_of(blocks: DataFrame, facts: Facts, pieces: list, run, schema: str) -> DataFrame:
-    """Rows that ``run(block, fits, part)`` gives for each piece of work from all of few blocks' bins and labels.
+def pieces_of(blocks: DataFrame, facts: Facts, pieces: int, run, schema: str) -> DataFrame:
+    """Rows that ``run(piece, block, rows)`` gives for each piece of work from all of few blocks' bins and labels.
 
     Each piece is a group of its own, of at most ``GATHERED`` blocks, and ranges of them are tasks.
     """
-    names, types = [f.split()[0] for f in schema.split(", ")], {"int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
-    kinds = [types[f.split()[1]] for f in schema.split(", ")]
 
-    def fit_piece(t: pa.Table) -> pa.Table:
-        (_, _, part), some = pieces[t["piece"][0].as_py()]
-        rows = [r for batch in t.to_batches() for r in rows_of(batch)]
-        found = run(together(sorted(rows, key=lambda r: r["block"]), facts), some, part)
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names)
+    def one_piece(t: pa.Table) -> pa.Table:
+        rows = sorted((r for batch in t.to_batches() for r in rows_of(batch)), key=lambda r: r["block"])
+        found = run(t["piece"][0].as_py(), together(rows, facts), rows)
+        give_back()
+        return found
+
+    each = blocks.drop("values", "raw").withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    return each.repartitionByRange(min(pieces, 1024), "piece").groupBy("piece").applyInArrow(one_piece, schema)
 
-    each = blocks.drop("values", "held", "raw").withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(len(pieces) - 1))))
-    return each.repartitionByRange(min(len(pieces), 1024), "piece").groupBy("piece").applyInArrow(fit_piece, schema)
+
+def model_table(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary()]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [f.split()[0] for f in MODEL.split(", ")])
+
+
+def scored_trees(blocks: DataFrame, facts: Facts, fits: list[Fit], run: dict[int, list[int]]) -> DataFrame:
+    """``SCORE`` of the rows that folds hold out, under fits of trees that are grown where all bins and labels lie.
+
+    A piece of work, a fit or some trees of a forest, scores the rows itself, so no tree leaves its task. A
+    forest's pieces give shares of a score.
+    """
+    works = [(k, part) for k in run for part in range(len(fits[k].parts()) if fits[k].name == "rf" else 1)]
+    works.sort(key=lambda x: fits[x[0]].name)  # boosting takes longest and comes first
+
+    def score_piece(piece: int, b: Block, rows: list[dict]) -> pa.Table:
+        k, part = works[piece]
+        fit = replace(fits[k], fold=int(facts.same[fits[k].fold]))
+        sizes = [len(r["labels"]) for r in rows]
+        block = np.repeat([r["block"] for r in rows], sizes)
+        place = np.arange(len(block)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        ends = [(j, np.flatnonzero(b.held[:, fits[j].fold])) for j in run[k]]
+        found = [np.zeros(len(at)) for _, at in ends]
+        for kind, body in trees_here(b, fit, part):
+            for x, (_, at) in zip(found, ends):
+                x += scored_here(b.taken(at), fit.fold, kind, body)
+        out = []
+        for x, (j, at) in zip(found, ends):
+            cells = block[at], place[at], np.full(len(at), fits[j].fold), np.full(len(at), j), b.held[at, fits[j].fold]
+            out.append(pa.table([*(pa.array(c.astype(np.int32)) for c in cells), pa.array(x)], [f.split()[0] for f in SCORE.split(", ")]))
+        return pa.concat_tables(out)
+
+    return pieces_of(blocks, facts, len(works), score_piece, SCORE)
 
 
 def tree_of(body: dict) -> ht.Trees:
@@ -607,13 +687,12 @@ def scored_here(b: Block, fold: int, kind: str, body) -> np.ndarray:
     return sum(values[t.step(np.full(len(rows), r), rows, bins, FOREST_BINS)] for r in range(roots))
 
 
-def fitted(
+def laid_out(
     rows: DataFrame, columns: list[str], train: Column, held: Column, folds: int, fits: list[Fit], seed: int, uid: str, size: int | None = None
-) -> tuple[DataFrame, Facts, DataFrame, DataFrame, int]:
-    """The models of all fits as a stored table, and what they were fitted from: facts, blocks of keys and of numbers."""
+) -> tuple[Facts, DataFrame, DataFrame, int]:
+    """What fits start from: facts, blocks of keys and of numbers, and how many blocks."""
     if len(columns) >= CURVED and any(f.name == "logreg" for f in fits):
         raise ValueError(f"logistic fits of all folds at once take fewer than {CURVED} columns")
-    spark = rows.sparkSession
     # the draws of trees go by row hash, so they are the same under any blocks
     size = size or max(256, min(BLOCK, CELLS // max(1, len(columns))))
     arrays, n_blocks = gathered(rows, columns, uid, train, held, size)
@@ -621,9 +700,29 @@ def fitted(
     median = fold_medians(rows, columns, gaps, train, folds) if gaps.any() else np.zeros((folds, len(columns)))
     blocks = numbered(arrays, edges)
     facts = Facts(len(columns), np.zeros(folds), np.zeros(folds), median, edges, centre, seed)
-    count = Everywhere(blocks, facts).summed(lambda b: [(0, np.stack([b.train.sum(axis=0), (b.train * b.labels[:, None]).sum(axis=0)]).ravel().astype(float))])
-    facts.rows, facts.positives = count[0].reshape(2, -1) if count else np.zeros((2, folds))
-    return pinned(models_of(spark, blocks, n_blocks, facts, fits)), facts, arrays, blocks, n_blocks
+
+    def counts(b: Block) -> list[tuple[int, np.ndarray]]:
+        inside = b.train.astype(float)
+        return [(0, np.concatenate([b.labels @ inside, (inside.T @ inside).ravel()]))]
+
+    found = Everywhere(blocks, facts).summed(counts)
+    facts.positives, both = (found[0][:folds], found[0][folds:].reshape(folds, folds)) if found else (np.zeros(folds), np.zeros((folds, folds)))
+    facts.rows = np.diag(both).copy()
+    facts.same = np.argmax((both == facts.rows) & (both == facts.rows[:, None]), axis=1)
+    return facts, arrays, blocks, n_blocks
+
+
+def fitted(
+    rows: DataFrame, columns: list[str], train: Column, held: Column, folds: int, fits: list[Fit], seed: int, uid: str, size: int | None = None
+) -> tuple[DataFrame, Facts]:
+    """The models of all fits as a stored table, and facts on what they were fitted from."""
+    facts, _, blocks, n_blocks = laid_out(rows, columns, train, held, folds, fits, seed, uid, size)
+    return stored_models(blocks, n_blocks, facts, fits, shared_fits(facts, fits)), facts
+
+
+def stored_models(blocks: DataFrame, n_blocks: int, facts: Facts, fits: list[Fit], run: dict[int, list[int]]) -> DataFrame:
+    mine = {k: replace(fits[k], fold=int(facts.same[fits[k].fold])) for k in run}
+    return spread(pinned(models_of(blocks.sparkSession, blocks, n_blocks, facts, mine)), fits, run)
 
 
 SLICE = "block int, fold int, places binary, codes binary, hashes binary, labels binary, values binary, bins binary, train binary"
@@ -658,7 +757,20 @@ def fold_scores(
     median of the fold's training rows. Bin edges come from all given rows, without labels. ``uid`` names a row;
     draws of forests belong to it. A fold of one class scores that class.
     """
-    models, facts, arrays, blocks, n_blocks = fitted(rows, columns, train, held, folds, fits, seed, uid, size)
+    facts, arrays, blocks, n_blocks = laid_out(rows, columns, train, held, folds, fits, seed, uid, size)
+    run = shared_fits(facts, fits)
+    trees = {k: v for k, v in run.items() if n_blocks <= GATHERED and fits[k].name in TREES and facts.one_class(fits[k].fold) is None}
+    rest = {k: v for k, v in run.items() if k not in trees}
+    found = [scored_trees(blocks, facts, fits, trees)] if trees else []
+    if rest:
+        found.append(scored_models(stored_models(blocks, n_blocks, facts, fits, rest), blocks, n_blocks, facts))
+    scores = reduce(DataFrame.unionByName, found).groupBy("block", "place", "fold", "fit", "held").agg(F.sum("score").alias("score"))
+    named = arrays.select("block", F.posexplode("keys").alias("place", "key"))
+    return pinned(scores.join(named, ["block", "place"]).select("key.*", "fold", "held", "fit", "score"))
+
+
+def scored_models(models: DataFrame, blocks: DataFrame, n_blocks: int, facts: Facts) -> DataFrame:
+    """``SCORE`` of the rows that folds hold out under stored models."""
     sides = held_slices(blocks, facts)
     small = models.where("kind <> 'rf'").groupBy("fold").agg(F.collect_list(F.struct("fit", "kind", "body")).alias("models"))
     # a forest's parts are large; they meet bins only, each on its own
@@ -675,12 +787,8 @@ def fold_scores(
                 b, places, codes = Block(row, facts), np.frombuffer(row["places"], "<i4"), np.frombuffer(row["codes"], np.uint8)
                 for m in models[k].as_py():
                     found = scored_here(b, row["fold"], m["kind"], pickle.loads(m["body"]))
-                    names = ["block", "place", "fold", "fit", "held", "score"]
+                    names = [f.split()[0] for f in SCORE.split(", ")]
                     cells = [np.full(len(places), row["block"]), places, np.full(len(places), row["fold"]), np.full(len(places), m["fit"]), codes]
                     yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in cells), pa.array(found)], names)
 
-    found = pairs.mapInArrow(score, "block int, place int, fold int, fit int, held int, score double")
-    found = found.groupBy("block", "place", "fold", "fit", "held").agg(F.sum("score").alias("score"))
-    named = arrays.select("block", F.posexplode("keys").alias("place", "key"))
-    out = found.join(named, ["block", "place"]).select("key.*", "fold", "held", "fit", "score")
-    return pinned(out)
+    return pairs.mapInArrow(score, SCORE)
