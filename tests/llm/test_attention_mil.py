@@ -74,3 +74,22 @@ def test_without_labels_and_rows(messy, no_docs, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.predicted for r in am.classified(messy, none).collect()} == {1}
     assert am.classified(no_docs, none).count() == 0 and am.accepted(no_docs, none).count() == 0
+
+
+def test_fit_holds_narrow_bags_and_fits_the_same_weights():
+    """Bags come block by block: the same weights as from one block, without its wide arrays over all bytes."""
+    import tracemalloc
+
+    r = random.Random(4)
+    texts = ["".join(r.choice("abcdefgh #A1") for _ in range(3000)) for _ in range(1200)] + ["", "a"]
+    s = am.Settings(epochs=0)
+    (_, _, block), = blocks(pa.array(texts, pa.large_string()), 1 << 62)
+    whole = am.bags(block, s)
+    tracemalloc.start()
+    am.fit(texts, np.arange(len(texts)) % 2, s)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 35 * block.size
+    b = am.bags_of(texts, s)
+    for name in ("buckets", "passage", "sizes", "shapes", "first"):
+        assert np.array_equal(getattr(b, name), getattr(whole, name))

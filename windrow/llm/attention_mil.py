@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from windrow.llm.frames import bounded_sample, crc_of_id
 from windrow.llm.registry import query, table
-from windrow.llm.textblock import Block, blocks, owners, table_of
+from windrow.llm.textblock import Block, blocks, give_back, owners, table_of
 
 SYMBOLS = table_of(b"#*$%&|<>!")
 UPPER = table_of(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -105,10 +105,25 @@ def bags(block: Block, s: Settings) -> Bags:
     return Bags(buckets[at], passage, size, shapes.astype(np.float32), begin)
 
 
+def bags_of(texts: list[str], s: Settings) -> Bags:
+    """Bags of many texts, made block by block and kept in narrow numbers."""
+    parts = []
+    for _, _, block in blocks(pa.array(texts, pa.large_string())):
+        b = bags(block, s)
+        kind = np.uint16 if s.bits <= 16 else np.uint32
+        parts.append(Bags(b.buckets.astype(kind), b.passage.astype(np.int32), b.sizes, b.shapes, b.first))
+    begin = np.cumsum([0] + [len(b.sizes) for b in parts])
+    return Bags(
+        np.concatenate([b.buckets for b in parts]), np.concatenate([b.passage + np.int32(lo) for b, lo in zip(parts, begin)]),
+        np.concatenate([b.sizes for b in parts]), np.concatenate([b.shapes for b in parts]),
+        np.concatenate([[0], *(b.first[1:] + lo for b, lo in zip(parts, begin))]),
+    )
+
+
 def dense(b: Bags, lo: int, hi: int, edge: np.ndarray, bits: int) -> np.ndarray:
     """Root relative bucket frequencies of passages ``lo..hi``, one row each."""
     own = slice(edge[lo], edge[hi])
-    flat = ((b.passage[own] - lo) << bits) + b.buckets[own]
+    flat = ((b.passage[own].astype(np.int64) - lo) << bits) + b.buckets[own]
     x = np.bincount(flat, minlength=(hi - lo) << bits).astype(np.float32).reshape(hi - lo, -1)
     np.sqrt(x, out=x)
     x /= np.sqrt(np.maximum(b.sizes[lo:hi], 1))[:, None].astype(np.float32)
@@ -173,8 +188,7 @@ def gradients(x: np.ndarray, shapes: np.ndarray, first: np.ndarray, y: np.ndarra
 
 
 def fit(texts: list[str], y: np.ndarray, s: Settings, seed: int = 5) -> dict[str, np.ndarray]:
-    (_, _, block), = blocks(pa.array(texts, pa.large_string()), 1 << 62)
-    b = bags(block, s)
+    b = bags_of(texts, s)
     edge = np.concatenate([[0], np.cumsum(b.sizes)])
     w, r = start_weights(s), np.random.default_rng(seed)
     m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
@@ -210,6 +224,8 @@ def train(documents: DataFrame, labels: DataFrame, s: Settings) -> dict[str, np.
         else:
             w = {k: np.zeros_like(x) for k, x in start_weights(s).items()}
             w["shift"][:] = 60 * (2 * y.mean() - 1) if len(y) else 60
+        del rows
+        give_back()
         yield pd.DataFrame({k: [x.tobytes()] for k, x in w.items()})
 
     row = rows.repartition(1).mapInPandas(learn, ", ".join(f"{k} binary" for k in names)).first()
