@@ -41,10 +41,12 @@ FOREST_PART = 25  # trees grown in one piece of work
 ROUNDS = 100
 REFRESH = 10  # rounds after which the blocks store the scores so far
 CURVED = 2048
+STRIP = 4096  # rows of a block that logistic sums look at together
 NUMERIC = "block int, hashes binary, labels binary, values binary, bins binary, train binary, held binary, raw binary"
 MODEL = "fold int, fit int, part int, kind string, body binary"
 SCORE = "block int, place int, fold int, fit int, held int, score double"
 TREES = ("hgb", "rf")
+BATCH = str(4 << 20)  # bytes of one batch of blocks on its way to a Python worker
 
 
 @dataclass(frozen=True)
@@ -227,10 +229,21 @@ def forest_here(b: Block, fit: Fit, trees: range) -> ht.Trees:
 
 # Logistic regression
 
+def strips(b: Block, fold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Values and labels of the training rows, ``STRIP`` rows of the block at a time."""
+    for lo in range(0, len(b.labels), STRIP):
+        inside = b.train[lo : lo + STRIP, fold]
+        x = b.values[lo : lo + STRIP][inside]
+        yield np.where(np.isnan(x), b.facts.median[fold], x), b.labels[lo : lo + STRIP][inside]
+
+
 def moments(b: Block, fold: int) -> np.ndarray:
     """Sums of values and squares about ``centre`` over the training rows."""
-    x = b.filled(fold)[b.train[:, fold]] - b.facts.centre
-    return np.stack([x.sum(axis=0), (x**2).sum(axis=0)])
+    out = np.zeros((2, b.facts.columns))
+    for x, _ in strips(b, fold):
+        x -= b.facts.centre
+        out += np.stack([x.sum(axis=0), (x**2).sum(axis=0)])
+    return out
 
 
 def scaling(facts: Facts, fold: int, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,17 +256,19 @@ def scaling(facts: Facts, fold: int, sums: np.ndarray) -> tuple[np.ndarray, np.n
 
 def logistic_sums(b: Block, fold: int, scale: tuple, points: np.ndarray) -> np.ndarray:
     """Weighted loss, gradient and curvature at each point, as one row: ``1 + k + k * k`` numbers."""
-    inside = b.train[:, fold]
-    z = np.column_stack([(b.filled(fold)[inside] - scale[0]) / scale[1], np.ones(int(inside.sum()))])
-    y, n, p = b.labels[inside], b.facts.rows[fold], b.facts.positives[fold]
-    weight = np.where(y == 1, n / (2 * max(1, p)), n / (2 * max(1, n - p)))
-    out = []
-    for beta in points:
-        m = z @ beta
-        q = 1 / (1 + np.exp(-m))
-        loss = (weight * np.logaddexp(0, np.where(y == 1, -m, m))).sum()
-        out.append(np.concatenate([[loss], z.T @ (weight * (q - y)), ((z * (weight * q * (1 - q))[:, None]).T @ z).ravel()]))
-    return np.array(out)
+    n, p = b.facts.rows[fold], b.facts.positives[fold]
+    k = b.facts.columns + 1
+    out = np.zeros((len(points), 1 + k + k * k))
+    for x, y in strips(b, fold):
+        z = np.column_stack([(x - scale[0]) / scale[1], np.ones(len(x))])
+        weight = np.where(y == 1, n / (2 * max(1, p)), n / (2 * max(1, n - p)))
+        for row, beta in zip(out, points):
+            m = z @ beta
+            q = 1 / (1 + np.exp(-m))
+            row[0] += (weight * np.logaddexp(0, np.where(y == 1, -m, m))).sum()
+            row[1 : 1 + k] += z.T @ (weight * (q - y))
+            row[1 + k :] += ((z * (weight * q * (1 - q))[:, None]).T @ z).ravel()
+    return out
 
 
 def newton(sums_at, penalties: np.ndarray, k: int, steps: int = 100) -> np.ndarray:
@@ -693,6 +708,7 @@ def laid_out(
     """What fits start from: facts, blocks of keys and of numbers, and how many blocks."""
     if len(columns) >= CURVED and any(f.name == "logreg" for f in fits):
         raise ValueError(f"logistic fits of all folds at once take fewer than {CURVED} columns")
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)  # a row is a block: one or a few at a time
     # the draws of trees go by row hash, so they are the same under any blocks
     size = size or max(256, min(BLOCK, CELLS // max(1, len(columns))))
     arrays, n_blocks = gathered(rows, columns, uid, train, held, size)
