@@ -4,6 +4,8 @@ import tracemalloc
 
 import numpy as np
 
+from test_fold_fits import FITS, rows, scores  # noqa: F401
+from test_fold_fits_groups import jobs_of
 from windrow.operators import fold_fits as ff
 
 
@@ -31,3 +33,9 @@ def test_logistic_sums_look_at_a_few_rows_at_once():
         q = 1 / (1 + np.exp(-(z @ beta)))
         assert np.allclose(row[1:66], z.T @ (weight * (q - y))) and np.allclose(row[66:], ((z * (weight * q * (1 - q))[:, None]).T @ z).ravel())
     assert np.allclose(sums, [(x - 0.1).sum(0), ((x - 0.1) ** 2).sum(0)])
+
+
+def test_trees_over_a_dozen_blocks_need_no_job_per_level(spark, rows):  # noqa: F811
+    trees = [f for f in FITS if f.name in ("hgb", "rf")]
+    found, jobs = jobs_of(spark, "dozen", lambda: scores(rows, trees, size=20))
+    assert jobs < 30 and found.keys() == scores(rows, trees).keys()

@@ -31,7 +31,7 @@ from windrow.session import pinned
 
 BLOCK = 16_384  # rows of a block
 CELLS = 1 << 20  # and values of a block, which bounds it also for wide tables
-GATHERED = 8  # blocks whose bins and labels one piece of work may hold: 8 MB of bins
+GATHERED = 40  # blocks whose bins and labels one piece of work may hold: 40 MB of bins
 DRAWN = 1 << 22  # rows times trees that one piece of work grows at once
 ASKED = 64  # groups of nodes whose histograms are added up apart
 BINS = 255
