@@ -96,3 +96,23 @@ def np_false(n):
 
 def test_empty_table(no_docs):
     assert sd.deduplicated(no_docs).collect() == []
+
+
+def test_parts_do_not_grow_with_the_table():
+    """Ten times as much text goes to more parts, each judged in as much memory as before."""
+    s = sd.Settings()
+    for size in (1 << 30, 10 << 30, 100 << 30):
+        assert size >> s.bits(size) <= 8 << 20
+    assert 1 << s.bits(1000) == s.parts
+
+
+def test_many_parts_give_the_same(make_docs, rows, messy_rows):
+    source = rows + messy_rows
+    few, many = (sd.deduplicated(make_docs(source), sd.Settings(bucket=700, part=part)).collect() for part in (8 << 20, 100))
+    assert sorted(map(key, map(tuple, few))) == sorted(map(key, map(tuple, many)))
+
+
+def test_bodies_are_compressed_while_spark_holds_them(make_docs, rows):
+    stored = sd.bucketed(make_docs([(k, "the same words again " * 50, *r[2:]) for k, r in enumerate(rows)]), sd.Settings()).collect()
+    assert all(len(r["body"]) < sum(r["sizes"]) / 4 for r in stored)
+    assert sum(sum(r["sizes"]) for r in stored) == len(rows) * 1050

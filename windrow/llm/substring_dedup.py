@@ -9,7 +9,8 @@ document of each is found.
 
 Texts lie in buckets of a few MB, stored once. A bucket sends its distinct hashes, cut by their leading bits
 into parts, and gets one bit back for each, in the order sent; so no hash, however common, has more rows than
-there are buckets, and what goes back is an eighth of a byte per hash. Anchors travel as 32 bits after the
+there are buckets, and what goes back is an eighth of a byte per hash. A part is judged by one task at a time, so
+parts grow in number and not in size. Anchors travel as 32 bits after the
 part's own: a chance agreement only has windows compared that would not need it. Windows travel as 64 bits;
 two different windows agree with a chance of 2**-64.
 
@@ -32,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windrow.functions.memory import give_back
 from windrow.llm.frames import new_folder, stored
 from windrow.llm.registry import query, table
 from windrow.llm.textblock import blocks, owners, windows
@@ -49,23 +51,36 @@ RESULT_SQL = "doc_id long, n_words long, n_removed long, kept string"
 class Settings:
     window: int = 13
     bucket: int = 4 << 20  # bytes of text after which a bucket is closed
-    part: int = 64 << 20  # bytes of text whose hashes one part holds on average
+    part: int = 8 << 20  # bytes of text whose hashes one part holds at most, on average
     parts: int = 64  # at least so many parts, a power of two
 
     @property
     def anchor(self) -> int:
         return self.window - PERIOD + 1
 
+    def bits(self, size: int) -> int:
+        """Leading bits of a hash that name its part, for so many bytes of text."""
+        return max(self.parts - 1, size // self.part).bit_length()
+
+
+def single(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Buckets one at a time, their bodies unpacked; what a worker does not hold any more goes back between them."""
+    for batch in batches:
+        for k in range(len(batch)):
+            row = batch.slice(k, 1).to_pylist()[0]
+            yield row | {"body": pa.decompress(row["body"], sum(row["sizes"]), "zstd", asbytes=True)}
+            give_back()
+
 
 def bucketed(documents: DataFrame, s: Settings) -> DataFrame:
-    """The texts in stored buckets, one row each."""
+    """The texts in stored buckets, one row each; bodies stay compressed wherever Spark holds or shuffles them."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         ids, bodies, size = [], [], 0
 
         def row() -> pa.RecordBatch:
-            cells = [number, ids, [len(b) for b in bodies], b"".join(bodies)]
+            cells = [number, ids, [len(b) for b in bodies], pa.compress(b"".join(bodies), "zstd", asbytes=True)]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(cells, BUCKET)], schema=BUCKET)
 
         for batch in batches:
@@ -174,7 +189,13 @@ def joined(parts: list[dict] | None, distinct: np.ndarray, bits: int) -> np.ndar
 
 def returned(spark: SparkSession, sent: DataFrame, judge, name: str) -> DataFrame:
     """Judge each part's hashes over all buckets; ``bucket, <name>``: the flags of a bucket's parts."""
-    flags = sent.groupBy("part").applyInArrow(judge, "bucket long, part long, flags binary")
+
+    def one_part(t: pa.Table) -> pa.Table:
+        found = judge(t)
+        give_back()
+        return found
+
+    flags = sent.groupBy("part").applyInArrow(one_part, "bucket long, part long, flags binary")
     return stored(flags.groupBy("bucket").agg(F.collect_list(F.struct("part", "flags")).alias(name)), name)
 
 
@@ -187,16 +208,16 @@ def per_bucket(table: pa.Table, distinct: np.ndarray, sizes: list[int]) -> pa.Ta
 
 def live_anchors(table: pa.Table) -> pa.Table:
     """An anchor is live if two documents of a bucket or two buckets hold it."""
-    arrays = [np.frombuffer(v.as_py(), "<u4") for v in table["hashes"]]
-    shared = [np.unpackbits(np.frombuffer(v.as_py(), np.uint8), count=len(a)) for v, a in zip(table["shared"], arrays)]
+    arrays = [np.frombuffer(v.as_buffer(), "<u4") for v in table["hashes"]]
+    shared = [np.unpackbits(np.frombuffer(v.as_buffer(), np.uint8), count=len(a)) for v, a in zip(table["shared"], arrays)]
     _, back, many = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
     return per_bucket(table, (many > 1)[back] | np.concatenate(shared).astype(bool), [len(a) for a in arrays])
 
 
 def earlier_windows(table: pa.Table) -> pa.Table:
     """Whether another bucket holds the window in a document with a smaller id."""
-    arrays = [np.frombuffer(v.as_py(), "<u8") for v in table["hashes"]]
-    low = np.concatenate([np.frombuffer(v.as_py(), "<i8") for v in table["low"]])
+    arrays = [np.frombuffer(v.as_buffer(), "<u8") for v in table["hashes"]]
+    low = np.concatenate([np.frombuffer(v.as_buffer(), "<i8") for v in table["low"]])
     _, back = np.unique(np.concatenate(arrays), return_inverse=True)
     first = np.full(int(back.max(initial=-1)) + 1, np.iinfo(np.int64).max)
     np.minimum.at(first, back, low)
@@ -207,58 +228,56 @@ def deduplicated(documents: DataFrame, s: Settings | None = None) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` of every document: what stays, words joined by one space."""
     s = s or Settings()
     spark = documents.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(max(s.bucket, 4 << 20)))  # a row is a bucket: one or two at a time
     buckets = bucketed(documents, s)
     size = buckets.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)")).alias("n")).head()["n"] or 0  # one row
-    bits = max(s.parts - 1, size // s.part).bit_length()
+    bits = s.bits(size)
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = Bucket(row, s)
-                at, distinct, back = b.anchors()
-                shared = b.shared(at, len(distinct), back)
-                low = ((distinct << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
-                cut = sliced(distinct, bits)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b.key] * len(cut), pa.int64()), pa.array([p for p, _, _ in cut], pa.int64()),
-                     pa.array([low[a:z].tobytes() for _, a, z in cut], pa.binary()),
-                     pa.array([packed(shared[a:z]) for _, a, z in cut], pa.binary())],
-                    ["bucket", "part", "hashes", "shared"],
-                )
+        for row in single(batches):
+            b = Bucket(row, s)
+            at, distinct, back = b.anchors()
+            shared = b.shared(at, len(distinct), back)
+            low = ((distinct << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
+            cut = sliced(distinct, bits)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([b.key] * len(cut), pa.int64()), pa.array([p for p, _, _ in cut], pa.int64()),
+                 pa.array([low[a:z].tobytes() for _, a, z in cut], pa.binary()),
+                 pa.array([packed(shared[a:z]) for _, a, z in cut], pa.binary())],
+                ["bucket", "part", "hashes", "shared"],
+            )
 
     def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = Bucket(row, s)
-                _, distinct, _, low = b.candidates(joined(row["live"], b.anchors()[1], bits))
-                cut = sliced(distinct, bits)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b.key] * len(cut), pa.int64()), pa.array([p for p, _, _ in cut], pa.int64()),
-                     pa.array([distinct[a:z].astype("<u8").tobytes() for _, a, z in cut], pa.binary()),
-                     pa.array([low[a:z].astype("<i8").tobytes() for _, a, z in cut], pa.binary())],
-                    ["bucket", "part", "hashes", "low"],
-                )
+        for row in single(batches):
+            b = Bucket(row, s)
+            _, distinct, _, low = b.candidates(joined(row["live"], b.anchors()[1], bits))
+            cut = sliced(distinct, bits)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([b.key] * len(cut), pa.int64()), pa.array([p for p, _, _ in cut], pa.int64()),
+                 pa.array([distinct[a:z].astype("<u8").tobytes() for _, a, z in cut], pa.binary()),
+                 pa.array([low[a:z].astype("<i8").tobytes() for _, a, z in cut], pa.binary())],
+                ["bucket", "part", "hashes", "low"],
+            )
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = Bucket(row, s)
-                live = joined(row["live"], b.anchors()[1], bits)
-                gone = b.covered(live, joined(row["earlier"], b.candidates(live)[1], bits))
-                first = np.searchsorted(b.own, np.arange(len(b.ids) + 1))
-                lost = np.add.reduceat(np.append(gone, False), first[:-1]) * (first[1:] > first[:-1]) if len(b.ids) else first[:0]
-                step = max(1, int(len(b.ids) * (1 << 20) // max(len(b.body), 1)))
-                for lo in range(0, len(b.ids), step):
-                    kept = []
-                    for d in range(lo, min(lo + step, len(b.ids))):
-                        words = b.body[b.edge[d] : b.edge[d + 1]].split()
-                        kept.append(b" ".join(compress(words, ~gone[first[d] : first[d + 1]]) if lost[d] else words))
-                    hi = lo + len(kept)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(b.names[lo:hi], pa.int64()), pa.array(np.diff(first)[lo:hi], pa.int64()),
-                         pa.array(lost[lo:hi], pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-                        ["doc_id", "n_words", "n_removed", "kept"],
-                    )
+        for row in single(batches):
+            b = Bucket(row, s)
+            live = joined(row["live"], b.anchors()[1], bits)
+            gone = b.covered(live, joined(row["earlier"], b.candidates(live)[1], bits))
+            first = np.searchsorted(b.own, np.arange(len(b.ids) + 1))
+            lost = np.add.reduceat(np.append(gone, False), first[:-1]) * (first[1:] > first[:-1]) if len(b.ids) else first[:0]
+            step = max(1, int(len(b.ids) * (1 << 20) // max(len(b.body), 1)))
+            for lo in range(0, len(b.ids), step):
+                kept = []
+                for d in range(lo, min(lo + step, len(b.ids))):
+                    words = b.body[b.edge[d] : b.edge[d + 1]].split()
+                    kept.append(b" ".join(compress(words, ~gone[first[d] : first[d + 1]]) if lost[d] else words))
+                hi = lo + len(kept)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(b.names[lo:hi], pa.int64()), pa.array(np.diff(first)[lo:hi], pa.int64()),
+                     pa.array(lost[lo:hi], pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+                    ["doc_id", "n_words", "n_removed", "kept"],
+                )
 
     anchors = buckets.mapInArrow(send_anchors, "bucket long, part long, hashes binary, shared binary")
     live = returned(spark, anchors, live_anchors, "live")
