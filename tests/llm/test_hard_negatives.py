@@ -100,3 +100,25 @@ def test_sql_gives_the_same(spark, tmp_path):
 def test_empty_table(spark):
     frame = spark.createDataFrame([], SCHEMA)
     assert hn.mined(frame, frame).collect() == []
+
+
+def test_tasks_are_bounded_whatever_the_number_of_pieces(spark):
+    """The driver keeps something for each task; 260 rows in packs of 5 and sets of 2 make thousands of pieces."""
+    rows = random_rows(260, 5, 3)
+    s = hn.Settings(pack=5, set=2, tasks=7)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    packed = hn.stored(hn.packs(hn.usable(df), s), "packs")
+    anchors = hn.usable(df).selectExpr("vec_id AS anchor_id", "label", "v", "array(0L) AS asked")
+    work = hn.pieces(anchors, packed, s)
+    assert work.rdd.getNumPartitions() <= 7 and work.count() >= 52 * 100
+    got = sorted(tuple(r) for r in hn.mined(df, anchor_rows(spark, range(0, 260, 10)), s).collect())
+    assert got == brute(rows, set(range(0, 260, 10)), s)
+
+
+def test_a_thousand_anchors_share_a_copy_of_the_candidates(spark):
+    """A pack is shuffled once for each set; sets of 256 anchors sent it four times."""
+    rows = random_rows(1000, 3, 4)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(1)
+    packed = hn.packs(hn.usable(df), hn.Settings())
+    anchors = hn.usable(df).selectExpr("vec_id AS anchor_id", "label", "v", "array(0L) AS asked")
+    assert hn.pieces(anchors, packed, hn.Settings()).count() == 1

@@ -7,7 +7,8 @@ added from the sign plane down, the sum doubling at each step. So scores are who
 
 Candidates are packed into packs and anchors into sets of bounded size; each (set, pack) is one row and one
 piece of work, joined by equality, so neither side is collected or broadcast whole and both grow only in
-number. A piece keeps, per anchor, a few of the best rows; the pieces' winners are merged by key. A first
+number. Packs and sets are large and tasks bounded in number, as the driver keeps something for each task and a pack
+is shuffled once for each set. A piece keeps, per anchor, a few of the best rows; the pieces' winners are merged by key. A first
 round scores rows of the anchor's label for its positives; the second scores the rest against the bounds
 those positives give.
 
@@ -32,10 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from windrow.functions.memory import give_back
 from windrow.llm.frames import stored
 from windrow.llm.registry import query, table
 
 GROUP = 8  # dimensions whose bits make one byte
+BATCH = str(4 << 20)  # bytes of one batch on its way to a Python worker
 
 
 @dataclass(frozen=True)
@@ -44,9 +47,10 @@ class Settings:
     negatives: int = 3
     lowest: int = 50  # percent of the positive's score a negative must reach
     highest: int = 95  # and must not pass
-    pack: int = 8192  # candidates of a pack
-    set: int = 256  # anchors of a set
+    pack: int = 32_768  # candidates of a pack
+    set: int = 2048  # anchors of a set
     tile: int = 64  # anchors whose tables are looked up side by side
+    tasks: int = 1024  # at most so many tasks score the pieces, however many there are
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -155,7 +159,15 @@ def pieces(anchors: DataFrame, packed: DataFrame, s: Settings) -> DataFrame:
     names = packed.select("pack")
     each = sets.join(names.withColumn("anchor_set", F.explode(F.sequence(F.lit(0), F.lit(n_sets - 1)))), "anchor_set")
     work = each.join(packed, "pack")
-    return work.repartition(max(1, min(n_sets * packed.count(), 1 << 14)), "anchor_set", "pack")
+    return work.repartition(max(1, min(n_sets * packed.count(), s.tasks)), "anchor_set", "pack")
+
+
+def single(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Pieces one at a time; a task may have several."""
+    for batch in batches:
+        for k in range(len(batch)):
+            yield batch.slice(k, 1).to_pylist()[0]
+            give_back()
 
 
 def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -207,18 +219,18 @@ def mined(embeddings: DataFrame, anchors: DataFrame, s: Settings | None = None)
     ``anchor_id, positive_id, rank, negative_id, positive_score, negative_score``.
     """
     s = s or Settings()
+    embeddings.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)  # a row is a piece: one or a few at a time
     rows = usable(embeddings)
     packed = stored(packs(rows, s), "packs")
     chosen = rows.join(anchors.select("vec_id").distinct(), "vec_id", "left_semi").dropDuplicates(["vec_id"])
     chosen = stored(chosen.select(F.col("vec_id").alias("anchor_id"), "label", "v", F.array().cast("array<long>").alias("asked")), "anchors")
 
     def score_positives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                out = []
-                for m, ids, score in tiles(row, True, s):
-                    out += [(m["anchor_id"], int(ids[k]), int(score[k])) for k in best(ids, score, s.positives)]
-                yield from rows_out(out, ["anchor_id", "positive_id", "positive_score"])
+        for row in single(batches):
+            out = []
+            for m, ids, score in tiles(row, True, s):
+                out += [(m["anchor_id"], int(ids[k]), int(score[k])) for k in best(ids, score, s.positives)]
+            yield from rows_out(out, ["anchor_id", "positive_id", "positive_score"])
 
     near = pieces(chosen, packed, s).mapInArrow(score_positives, "anchor_id long, positive_id long, positive_score long")
     order = [F.desc("positive_score"), "positive_id"]
@@ -227,18 +239,17 @@ def mined(embeddings: DataFrame, anchors: DataFrame, s: Settings | None = None)
     queries = stored(chosen.drop("asked").join(asked, "anchor_id"), "queries")
 
     def score_negatives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                out = []
-                for m, ids, score in tiles(row, False, s):
-                    for p in m["asked"]:
-                        if p < 0:
-                            continue  # the lower bound lies above the upper one
-                        low, high = -(-s.lowest * p // 100), s.highest * p // 100
-                        fit = np.flatnonzero((score >= low) & (score <= high))
-                        fit = fit[best(ids[fit], score[fit], s.negatives)]
-                        out += [(m["anchor_id"], p, int(ids[k]), int(score[k])) for k in fit]
-                yield from rows_out(out, ["anchor_id", "positive_score", "negative_id", "negative_score"])
+        for row in single(batches):
+            out = []
+            for m, ids, score in tiles(row, False, s):
+                for p in m["asked"]:
+                    if p < 0:
+                        continue  # the lower bound lies above the upper one
+                    low, high = -(-s.lowest * p // 100), s.highest * p // 100
+                    fit = np.flatnonzero((score >= low) & (score <= high))
+                    fit = fit[best(ids[fit], score[fit], s.negatives)]
+                    out += [(m["anchor_id"], p, int(ids[k]), int(score[k])) for k in fit]
+            yield from rows_out(out, ["anchor_id", "positive_score", "negative_id", "negative_score"])
 
     schema = "anchor_id long, positive_score long, negative_id long, negative_score long"
     found = pieces(queries, packed, s).mapInArrow(score_negatives, schema)
