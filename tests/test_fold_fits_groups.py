@@ -1,8 +1,9 @@
 """Trees over few blocks are grown where all their bins lie, those over many blocks from sums: the same scores."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from test_fold_fits import FITS, rows, scores  # noqa: F401
+from test_fold_fits import COLUMNS, FITS, rows, scores  # noqa: F401
 from windrow.operators import fold_fits as ff
 
 
@@ -34,3 +35,27 @@ def test_a_fold_is_scored_from_the_rows_it_holds_out(spark, rows, monkeypatch):
     monkeypatch.setattr(ff, "held_slices", kept)
     scores(rows, FITS, size=70)
     assert seen[0]["n"] == 240 and seen[0]["slices"] <= 16
+
+
+def test_pieces_of_work_read_the_blocks_without_a_shuffle(spark, rows):  # noqa: F811
+    """Eight pieces on all rows: what is shuffled once for each of them would be eight copies of the table."""
+    facts, _, blocks, _ = ff.laid_out(rows, COLUMNS, F.array(F.lit(True)), F.array(F.lit(1).cast("tinyint")), 1, FITS, 7, "window_uid", 70)
+    seen = ff.pieces_of(blocks, facts, 8, lambda piece, b, numbers, sizes: pa.table({"piece": [piece], "rows": [len(b.labels)], "blocks": [len(numbers)]}), "piece long, rows long, blocks long")
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    got = sorted(map(tuple, seen.collect()))
+    assert [g[0] for g in got] == list(range(8)) and {g[1] for g in got} == {240} and len({g[2] for g in got}) == 1
+
+
+def test_more_pieces_than_tasks(rows, monkeypatch):  # noqa: F811
+    trees = [f for f in FITS if f.name in ("hgb", "rf")]
+    each = scores(rows, trees, size=70)
+    monkeypatch.setattr(ff, "TASKS", 3)
+    assert scores(rows, trees, size=70) == each
+
+
+def test_values_are_stored_only_where_fits_ask_for_them(rows):  # noqa: F811
+    every = F.array(F.lit(True)), F.array(F.lit(1).cast("tinyint"))
+    for name, valued in (("rf", False), ("logreg", True)):
+        blocks = ff.laid_out(rows, COLUMNS, *every, 1, [ff.Fit(0, name)], 7, "window_uid", 70)[2]
+        assert {r["values"] is not None for r in blocks.collect()} == {valued}

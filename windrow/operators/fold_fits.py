@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from windrow.functions.memory import give_back
 from windrow.operators import histogram_trees as ht
@@ -31,7 +32,8 @@ from windrow.session import pinned
 
 BLOCK = 16_384  # rows of a block
 CELLS = 1 << 20  # and values of a block, which bounds it also for wide tables
-GATHERED = 40  # blocks whose bins and labels one piece of work may hold: 40 MB of bins
+GATHERED = 96  # blocks whose bins and labels one piece of work may hold: 96 MB of bins
+TASKS = 1024  # at most so many tasks do the pieces of work
 DRAWN = 1 << 22  # rows times trees that one piece of work grows at once
 ASKED = 64  # groups of nodes whose histograms are added up apart
 BINS = 255
@@ -140,7 +142,7 @@ def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
 def together(rows: list[dict], facts: Facts) -> Block:
     """Some blocks, without their values, as one; ``block`` is the number of the first."""
     names = ("hashes", "labels", "bins", "train", "held")
-    return Block({"block": rows[0]["block"], **{n: b"".join(bytes(r[n]) for r in rows) for n in names}}, facts)
+    return Block({"block": rows[0]["block"], **{n: b"".join(r[n] for r in rows) for n in names}}, facts)
 
 
 # Boosting
@@ -223,7 +225,7 @@ def salts_of(facts: Facts, fold: int, trees: range) -> np.ndarray:
 def forest_here(b: Block, fit: Fit, trees: range) -> ht.Trees:
     """Some trees of one fold in one task, grown side by side."""
     p, drawn = forest_growth(fit, b.facts.columns), drawn_classes(b, fit.fold, trees)
-    stats = np.stack([forest_stats(b, fit.fold, t, drawn[k]) for k, t in enumerate(trees)])
+    stats = (forest_stats(b, fit.fold, t, drawn[k]) for k, t in enumerate(trees))  # one tree's rows at a time
     return ht.grow(ht.Rows(b.coarse(fit.fold), stats, p), len(trees), b.facts.columns, p, salts_of(b.facts, fit.fold, trees))
 
 
@@ -320,10 +322,10 @@ def gathered(rows: DataFrame, columns: list[str], uid: str, train: Column, held:
     )
     blocks = rows.groupBy(F.pmod(F.xxhash64(uid), F.lit(n_blocks)).cast("int").alias("block")).agg(F.array_sort(F.collect_list(item)).alias("x"))
     each = lambda f: F.transform("x", lambda r: r[f])
-    return pinned(blocks.select(
+    return blocks.select(
         "block", each("key").alias("keys"), each("h").alias("hashes"), each("y").alias("labels"),
         F.flatten(each("v")).alias("values"), F.flatten(each("t")).alias("train"), F.flatten(each("r")).alias("held"),
-    )), n_blocks
+    ), n_blocks
 
 
 def long_values(rows: DataFrame, columns: list[str], *more: Column) -> DataFrame:
@@ -355,8 +357,9 @@ def fold_medians(rows: DataFrame, columns: list[str], gaps: np.ndarray, train: C
     return out
 
 
-def numbered(blocks: DataFrame, edges: list[np.ndarray]) -> DataFrame:
-    """The blocks' numbers in binary, with bins."""
+def numbered(blocks: DataFrame, edges: list[np.ndarray], valued: bool) -> tuple[DataFrame, DataFrame]:
+    """The blocks' keys, and their numbers in binary with bins, from one stored table; values only where fits ask for them."""
+    names = [f.split()[0] for f in NUMERIC.split(", ")]
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -367,11 +370,14 @@ def numbered(blocks: DataFrame, edges: list[np.ndarray]) -> DataFrame:
                 bins[np.isnan(values)] = BINS
                 kinds = {"hashes": "<i8", "labels": np.int8, "train": np.uint8, "held": np.uint8}
                 flat = {n: part[n].to_numpy(zero_copy_only=False).astype(t).tobytes() for n, t in kinds.items()}
-                row = [batch.column("block")[k].as_py(), flat["hashes"], flat["labels"], values.astype("<f8").tobytes(), bins.tobytes(), flat["train"], flat["held"], None]
-                names = [f.split()[0] for f in NUMERIC.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32() if n == "block" else pa.binary()) for n, v in zip(names, row)], names)
+                own = values.astype("<f8").tobytes() if valued else None
+                row = [batch.column("block")[k].as_py(), flat["hashes"], flat["labels"], own, bins.tobytes(), flat["train"], flat["held"], None]
+                cells = [pa.array([v], pa.int32() if n == "block" else pa.binary()) for n, v in zip(names, row)]
+                yield pa.RecordBatch.from_arrays([*cells, batch.column("keys").slice(k, 1)], [*names, "keys"])
 
-    return pinned(blocks.drop("keys").mapInArrow(convert, NUMERIC))
+    fields = T.StructType.fromDDL(NUMERIC).fields
+    kept = pinned(blocks.mapInArrow(convert, T.StructType([*fields, blocks.schema["keys"]])))
+    return kept.select("block", "keys"), kept.select(*names)
 
 
 # Sums over all blocks
@@ -606,7 +612,7 @@ def models_of(spark: SparkSession, blocks: DataFrame, n_blocks: int, facts: Fact
     if n_blocks <= GATHERED:
         trees = sorted((x for x in work.items() if x[0][0] != "logreg"), key=lambda x: x[0][0])  # boosting takes longest and comes first
 
-        def fit_trees(piece: int, b: Block, rows: list[dict]) -> pa.Table:
+        def fit_trees(piece: int, b: Block, numbers: np.ndarray, sizes: np.ndarray) -> pa.Table:
             (_, _, part), some = trees[piece]
             return model_table(fitted_here(b, some, part))
 
@@ -630,19 +636,31 @@ def models_of(spark: SparkSession, blocks: DataFrame, n_blocks: int, facts: Fact
 
 
 def pieces_of(blocks: DataFrame, facts: Facts, pieces: int, run, schema: str) -> DataFrame:
-    """Rows that ``run(piece, block, rows)`` gives for each piece of work from all of few blocks' bins and labels.
+    """Rows that ``run(piece, block, numbers, sizes)`` gives for each piece of work from all of few blocks' bins and labels.
 
-    Each piece is a group of its own, of at most ``GATHERED`` blocks, and ranges of them are tasks.
+    ``numbers`` and ``sizes`` are those of the blocks that ``block`` joins, at most ``GATHERED``. Every task reads the
+    stored blocks itself: a product of one partition of blocks with one row for each task shuffles nothing.
     """
 
-    def one_piece(t: pa.Table) -> pa.Table:
-        rows = sorted((r for batch in t.to_batches() for r in rows_of(batch)), key=lambda r: r["block"])
-        found = run(t["piece"][0].as_py(), together(rows, facts), rows)
-        give_back()
-        return found
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, mine = [], []
+        for batch in batches:
+            mine = batch.column("pieces")[0].as_py()
+            rows += rows_of(batch.drop_columns("pieces"))
+        rows.sort(key=lambda r: r["block"])
+        if not rows:
+            return
+        numbers, sizes = np.array([r["block"] for r in rows]), np.array([len(r["labels"]) for r in rows])
+        every = together(rows, facts)
+        rows.clear()
+        for piece in mine:
+            yield from run(piece, every, numbers, sizes).to_batches()
+            give_back()
 
-    each = blocks.drop("values", "raw").withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
-    return each.repartitionByRange(min(pieces, 1024), "piece").groupBy("piece").applyInArrow(one_piece, schema)
+    tasks = min(pieces, TASKS)
+    mine = blocks.sparkSession.range(0, tasks, 1, tasks).select(F.sequence("id", F.lit(pieces - 1), F.lit(tasks)).alias("pieces"))
+    each = blocks.drop("values", "raw").coalesce(1).crossJoin(mine.hint("shuffle_replicate_nl"))
+    return each.mapInArrow(task, schema)
 
 
 def model_table(rows: list[tuple]) -> pa.Table:
@@ -659,17 +677,17 @@ def scored_trees(blocks: DataFrame, facts: Facts, fits: list[Fit], run: dict[int
     works = [(k, part) for k in run for part in range(len(fits[k].parts()) if fits[k].name == "rf" else 1)]
     works.sort(key=lambda x: fits[x[0]].name)  # boosting takes longest and comes first
 
-    def score_piece(piece: int, b: Block, rows: list[dict]) -> pa.Table:
+    def score_piece(piece: int, b: Block, numbers: np.ndarray, sizes: np.ndarray) -> pa.Table:
         k, part = works[piece]
         fit = replace(fits[k], fold=int(facts.same[fits[k].fold]))
-        sizes = [len(r["labels"]) for r in rows]
-        block = np.repeat([r["block"] for r in rows], sizes)
+        block = np.repeat(numbers, sizes)
         place = np.arange(len(block)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         ends = [(j, np.flatnonzero(b.held[:, fits[j].fold])) for j in run[k]]
         found = [np.zeros(len(at)) for _, at in ends]
         for kind, body in trees_here(b, fit, part):
             for x, (_, at) in zip(found, ends):
-                x += scored_here(b.taken(at), fit.fold, kind, body)
+                for lo in range(0, len(at), BLOCK):  # a block's worth of rows at a time
+                    x[lo : lo + BLOCK] += scored_here(b.taken(at[lo : lo + BLOCK]), fit.fold, kind, body)
         out = []
         for x, (j, at) in zip(found, ends):
             cells = block[at], place[at], np.full(len(at), fits[j].fold), np.full(len(at), j), b.held[at, fits[j].fold]
@@ -714,7 +732,7 @@ def laid_out(
     arrays, n_blocks = gathered(rows, columns, uid, train, held, size)
     edges, centre, gaps = quantile_edges(rows, columns)
     median = fold_medians(rows, columns, gaps, train, folds) if gaps.any() else np.zeros((folds, len(columns)))
-    blocks = numbered(arrays, edges)
+    arrays, blocks = numbered(arrays, edges, any(f.name == "logreg" for f in fits))
     facts = Facts(len(columns), np.zeros(folds), np.zeros(folds), median, edges, centre, seed)
 
     def counts(b: Block) -> list[tuple[int, np.ndarray]]:
@@ -754,7 +772,8 @@ def held_slices(blocks: DataFrame, facts: Facts) -> DataFrame:
                 b = Block(row, facts)
                 for fold in np.flatnonzero(b.held.any(axis=0)).tolist():
                     at = np.flatnonzero(b.held[:, fold])
-                    parts = [at.astype("<i4"), b.held[at, fold], b.hashes[at], b.labels[at].astype(np.int8), b.values[at], b.bins[at], b.train[at]]
+                    parts = [at.astype("<i4"), b.held[at, fold], b.hashes[at], b.labels[at].astype(np.int8), b.bins[at], b.train[at]]
+                    parts.insert(4, np.zeros(0) if b.values is None else b.values[at])
                     cells = [pa.array([v], pa.int32()) for v in (row["block"], fold)] + [pa.array([x.tobytes()], pa.binary()) for x in parts]
                     yield pa.RecordBatch.from_arrays(cells, names)
 

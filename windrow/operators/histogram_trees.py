@@ -192,7 +192,7 @@ def best_of_cells(cell: np.ndarray, sums: np.ndarray, total: np.ndarray, feats:
 class JobRows:
     """The rows of one job. A count and a sum of curvatures are kept as one whole number where a double has room."""
 
-    def __init__(self, job: int, row: np.ndarray, stats: np.ndarray, bins: np.ndarray, by_feature: np.ndarray, p: Growth):
+    def __init__(self, job: int, row: np.ndarray, stats: np.ndarray, bins: np.ndarray, by_feature: np.ndarray | None, p: Growth):
         self.row, self.bins, self.by_feature, self.p = row, bins, by_feature, p
         self.at = np.full(len(row), job)
         bits = [int(stats[k].sum()).bit_length() for k in (0, 2)]
@@ -209,7 +209,7 @@ class JobRows:
         own = slot[self.at]
         live = np.flatnonzero(own >= 0)
         own, row = own[live], self.row[live]
-        if (feats == feats[:1]).all():
+        if self.by_feature is not None and (feats == feats[:1]).all():
             bins_of = lambda j: self.by_feature[feats[0, j] * n : (feats[0, j] + 1) * n][row]
         else:
             drawn, flat, d = np.empty((len(row), m), self.bins.dtype), self.bins.reshape(-1), self.bins.shape[1]
@@ -271,12 +271,13 @@ class Rows:
     """Rows of one block under several jobs, numbered from ``first``; answers with their histograms."""
 
     def __init__(self, bins: np.ndarray, stats: np.ndarray, p: Growth, by_feature: np.ndarray | None = None, first: int = 0):
-        """``stats``: ``[job, (count, g, h), row]``, fixed-point; rows of count 0 take no part.
+        """``stats``: ``[job, (count, g, h), row]``, or one job's after another, fixed-point; rows of count 0 take no part.
 
-        ``by_feature``: the bins feature by feature, where a caller has them.
+        ``by_feature``: the bins feature by feature, where a caller has them; forests, whose nodes draw their own, do
+        without.
         """
         bins, self.p, self.first = np.ascontiguousarray(bins), p, first
-        by_feature = np.ascontiguousarray(bins.T).ravel() if by_feature is None else by_feature
+        by_feature = np.ascontiguousarray(bins.T).ravel() if by_feature is None and not p.some else by_feature
         self.jobs = []
         for j, x in enumerate(stats):
             row = np.flatnonzero(x[0])
