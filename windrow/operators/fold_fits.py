@@ -358,8 +358,14 @@ def fold_medians(rows: DataFrame, columns: list[str], gaps: np.ndarray, train: C
 
 
 def numbered(blocks: DataFrame, edges: list[np.ndarray], valued: bool) -> tuple[DataFrame, DataFrame]:
-    """The blocks' keys, and their numbers in binary with bins, from one stored table; values only where fits ask for them."""
+    """The blocks' keys, and their numbers in binary with bins; values only where fits ask for them.
+
+    Without values both are one stored table. Rows with values are large, and are stored before they are converted, so
+    that no task holds what it gathers beside what it sends.
+    """
     names = [f.split()[0] for f in NUMERIC.split(", ")]
+    also = [] if valued else ["keys"]
+    blocks = pinned(blocks, "zstd") if valued else blocks
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -373,11 +379,12 @@ def numbered(blocks: DataFrame, edges: list[np.ndarray], valued: bool) -> tuple[
                 own = values.astype("<f8").tobytes() if valued else None
                 row = [batch.column("block")[k].as_py(), flat["hashes"], flat["labels"], own, bins.tobytes(), flat["train"], flat["held"], None]
                 cells = [pa.array([v], pa.int32() if n == "block" else pa.binary()) for n, v in zip(names, row)]
-                yield pa.RecordBatch.from_arrays([*cells, batch.column("keys").slice(k, 1)], [*names, "keys"])
+                yield pa.RecordBatch.from_arrays([*cells, *(batch.column(n).slice(k, 1) for n in also)], [*names, *also])
+            give_back()
 
-    fields = T.StructType.fromDDL(NUMERIC).fields
-    kept = pinned(blocks.mapInArrow(convert, T.StructType([*fields, blocks.schema["keys"]])))
-    return kept.select("block", "keys"), kept.select(*names)
+    fields = [*T.StructType.fromDDL(NUMERIC).fields, *(blocks.schema[n] for n in also)]
+    kept = pinned((blocks.drop("keys") if valued else blocks).mapInArrow(convert, T.StructType(fields)), "zstd")
+    return (blocks if valued else kept).select("block", "keys"), kept.select(*names)
 
 
 # Sums over all blocks
@@ -453,7 +460,7 @@ class Everywhere:
                 e.trees.append(one)
                 e.values.append(leaf_values(one, rate))
             if (k + 1) % REFRESH == 0 and k + 1 < fits[0].rounds:
-                self.blocks = pinned(with_raw(self.blocks, facts, raw_of, len(fits)))
+                self.blocks = pinned(with_raw(self.blocks, facts, raw_of, len(fits)), "zstd")
                 recent.clear()
         self.blocks = kept
         return out
