@@ -59,3 +59,15 @@ def test_values_are_stored_only_where_fits_ask_for_them(rows):  # noqa: F811
     for name, valued in (("rf", False), ("logreg", True)):
         blocks = ff.laid_out(rows, COLUMNS, *every, 1, [ff.Fit(0, name)], 7, "window_uid", 70)[2]
         assert {r["values"] is not None for r in blocks.collect()} == {valued}
+
+
+def test_blocks_are_stored_without_page_sized_buffers(rows):  # noqa: F811
+    """Snappy's buffers outside the heap are as large as a page, which rows of megabytes make as large as a file."""
+    every = F.array(F.lit(True)), F.array(F.lit(1).cast("tinyint"))
+    for name in ("rf", "logreg"):
+        for table in ff.laid_out(rows, COLUMNS, *every, 1, [ff.Fit(0, name)], 7, "window_uid", 70)[1:3]:
+            assert all(f.endswith(".zstd.parquet") for f in table.inputFiles())
+
+
+def test_a_million_rows_need_no_job_per_level():
+    assert 1_000_000 <= ff.GATHERED * ff.BLOCK

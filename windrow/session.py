@@ -51,8 +51,8 @@ def pinned(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Cut lineage: write the rows once to a table in the shared folder and read it back.
 
     What follows reads columns of that table instead of repeating the work before it, also
-    after executors are lost. Snappy, the usual ``compression``, takes buffers outside the heap as large as a page, and a hundred rows are a page
-    at least: rows of megabytes want another compression.
+    after executors are lost. Snappy, the usual ``compression``, takes buffers outside the heap as large as a
+    page, and a page has a hundred rows at least: rows of megabytes want another one.
     """
     target = f"{shared_folder(df.sparkSession)}/windrow-{uuid.uuid4().hex}"
     df.write.parquet(target, compression=compression)
